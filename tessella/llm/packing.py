@@ -36,6 +36,16 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 MEMO, MEMO_WORD = 300_000, 64
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """A word with a small first letter and without one closing mark, and the mark: the vocabulary
+    is lower case, and a lone mark after a letter or digit is always apart."""
+    if "A" <= word[:1] <= "Z":
+        word = word[0].lower() + word[1:]
+    if word[-1:] in (".", ",") and word[-2:-1].isalnum():
+        return word[:-1], word[-1]
+    return word, ""
+
+
 class WordEncoder:
     """Ids by the tokenizers library, each word between blanks once: no token of this kind of
     vocabulary spans a blank, so a text's ids are those of its words one after another."""
@@ -48,23 +58,33 @@ class WordEncoder:
         self._lib.encode_special_tokens = True
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._marks = {m: array("I", self._lib.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.replace("\n", " ").split(" ")
         memo = self._memo
-        new = list(set(words).difference(memo))
+        new = set(words).difference(memo)
         extra = {}
         if new:
             if len(memo) >= MEMO:
                 self._older, self._memo = memo, {}
-                memo, new = self._memo, list(set(words))
+                memo, new = self._memo, set(words)
             older = self._older
-            for w in [w for w in new if w in older]:
-                memo[w] = older[w]
-            new = [w for w in new if w not in older]
-            for w, e in zip(new, self._lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            stems, unknown = {}, {}
+            for w in new:
+                if w in older:
+                    memo[w] = older[w]
+                    continue
+                stems[w] = stem, _ = _stem(w)
+                if stem not in memo and stem not in older:
+                    unknown[stem] = None
+            made = dict(zip(unknown, self._lib.encode_batch_fast(list(unknown), add_special_tokens=False), strict=True)) if unknown else {}
+            for w, e in made.items():
                 (memo if len(w) <= MEMO_WORD else extra)[w] = array("I", e.ids).tobytes()
+            for w, (stem, mark) in stems.items():
+                ids = memo.get(stem) or older.get(stem) or extra.get(stem, b"")
+                (memo if len(w) <= MEMO_WORD else extra)[w] = ids + self._marks[mark]
         if extra:
             return b"".join([memo[w] if w in memo else extra[w] for w in words])
         return b"".join(map(memo.__getitem__, words))
