@@ -3,7 +3,8 @@
 Every link is found. Documents with equal shingle sets are one class from the start. Classes
 meet only where they share a token of their prefixes: in one order of all tokens (rare ones
 first, by a count sketch of fixed size) two sets that overlap enough share one of their first
-few. Two rounds follow.
+few. Large sets must share several such tokens, so those that meet others in fewer are left
+out. Two rounds follow.
 
 1. Classes are dealt by the least class they meet, a bounded number at a time; a signature
    tree over each lot (nodes hold the OR of token bitmaps, and the range of set sizes) is
@@ -45,7 +46,8 @@ _ONE = np.uint64(1)
 @dataclass(frozen=True)
 class Settings:
     """Shingles of words; links at percent; counters of the sketch; lot and block bound what a
-    task holds at once in rounds 1 and 2; leaf is the size of a tree's leaves."""
+    task holds at once in rounds 1 and 2; leaf is the size of a tree's leaves; common: tokens
+    that the prefixes of linked sets must share, where the sets are large enough."""
 
     words: int = 4
     percent: int = 85
@@ -54,14 +56,26 @@ class Settings:
     carried: int = 64
     block: int = 1024
     leaf: int = 8
+    common: int = 8
 
+    def prefix(self, n: int) -> int:
+        """Tokens of a set's prefix. Of linked sets, each holds the first common tokens of both in its prefix:
+        at least percent of either's tokens are in both, so behind the k-th of these at least that many less k follow."""
+        least = (self.percent * n + 99) // 100
+        return n - least + (self.common if least >= 2 * self.common else 1)
 
-def shingles(text: bytes, words: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit tokens; the whole sequence is one if it is shorter."""
+
+def occurrences(text: bytes, words: int = 4) -> np.ndarray:
+    """64-bit tokens, one for each shingle; the whole sequence is one if it is shorter."""
     w = text.translate(_LOWER).split()
     if not w:
         return np.empty(0, np.uint64)
-    return np.unique(common.windows(common.word_hashes(w), min(words, len(w))))
+    return common.windows(common.word_hashes(w), min(words, len(w)))
+
+
+def shingles(text: bytes, words: int = 4) -> np.ndarray:
+    """Sorted distinct tokens."""
+    return np.unique(occurrences(text, words))
 
 
 def class_key(tokens: np.ndarray) -> int:
@@ -211,13 +225,14 @@ def _grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
 
 
 def sketch(docs: DataFrame, s: Settings) -> np.ndarray:
-    """How many sets hold tokens of each counter: sums of per-task arrays, compressed for their way."""
+    """How often tokens of each counter occur: sums of per-task arrays, compressed for their way."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s.counters, np.uint32)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                np.add.at(total, (shingles(text or b"", s.words) % np.uint64(s.counters)).astype(np.int64), _one)
+            found = [occurrences(text or b"", s.words) for text in batch.column(0).cast(pa.binary()).to_pylist()]
+            if found:
+                total += np.bincount((np.concatenate(found) % np.uint64(s.counters)).astype(np.int64), minlength=s.counters).astype(np.uint32)
         packer = zstandard.ZstdCompressor(level=1)
         chunks = np.split(total, 16)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([packer.compress(c.tobytes()) for c in chunks], pa.binary())], names=["chunk", "counts"])
@@ -231,7 +246,6 @@ def sketch(docs: DataFrame, s: Settings) -> np.ndarray:
         out = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array([zstandard.compress(sums[c].tobytes()) for c in out], pa.binary())], names=["chunk", "counts"])
 
-    _one = np.uint32(1)
     schema = "chunk int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema).collect()
     total = np.zeros(s.counters, np.uint32)
@@ -261,8 +275,7 @@ def _classes(docs: DataFrame, level: np.ndarray, s: Settings) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(key)
-                first = len(t) - (s.percent * len(t) + 99) // 100 + 1
-                order = np.lexsort((t, shared.value[(t % counted).astype(np.int64)]))[:first]
+                order = np.lexsort((t, shared.value[(t % counted).astype(np.int64)]))[: s.prefix(len(t))]
                 prefixes.append(t[order].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n", "key", "prefix"])
 
@@ -358,9 +371,10 @@ def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     token = Window.partitionBy("token")
     met = classes.select("key", F.explode("prefix").alias("token")).select("token", "key", F.min("key").over(token).alias("least"), F.max("key").over(token).alias("most"))
     met = common.materialise(met.where("least <> most").select("token", "key", "least").distinct())
-    # Round 1.
-    blocks = met.groupBy("key").agg(F.min("least").alias("block"))
-    one = classes.select("doc_id", "key").join(blocks, "key").groupBy("key", "block").agg(F.min("doc_id").alias("doc_id"))
+    # Round 1. A linked set may be as much smaller as percent allows, and then has a prefix of one shared token only.
+    blocks = met.groupBy("key").agg(F.min("least").alias("block"), F.count("*").alias("tokens"))
+    enough = (F.col("tokens") >= s.common) | F.expr(f"({s.percent} * (({s.percent} * n + 99) DIV 100) + 99) DIV 100 < {2 * s.common}")
+    one = classes.select("doc_id", "key", "n").join(blocks, "key").where(enough).groupBy("key", "block").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"])).select("block", "key", "text")
     first = common.materialise(_round1(texts.repartition(common.partitions(spark), "block").sortWithinPartitions("block"), s))
     sets = first.where("tokens IS NOT NULL")
@@ -371,7 +385,9 @@ def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = rows.withColumn("r", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("token", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "key", "label").join(sets.select("key", "n", "bits"), "key")
     rows = rows.select("token", "i", "j", "key", "label", "n", "bits").repartition(common.partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = _candidates(rows, s).distinct()
+    pairs = common.materialise(_candidates(rows, s).distinct())
+    used = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    sets = sets.select("key", "tokens").join(used, "key", "left_semi")
     pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     links = first.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(_verified(pairs, s))
     found = common.components(links)
