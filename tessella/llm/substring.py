@@ -19,7 +19,7 @@ hashes name anchors, and anchor and segment hash together name a segment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,16 +117,22 @@ def _texts(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("text", "wanted").mapInArrow(run, schema)
 
 
-def _looked_up(rows: DataFrame, s: Settings) -> DataFrame:
+def by_index(held: list[tuple[int, list[bytes]]], search: np.ndarray, s: Settings) -> list[int]:
+    """Masks of the repeated windows of (anchor, words) segments, by an FM-index of them all."""
+    ids: dict[bytes, int] = {}
+    symbols = [np.array([ids.setdefault(w, len(ids) + 1) for w in words], np.int64) for _, words in held]
+    return fm.repeated_windows(symbols, search, s.width)
+
+
+def _looked_up(rows: DataFrame, s: Settings, lookup: Callable = by_index) -> DataFrame:
     """Shards of _texts(), sorted by anchor and part: (anchor, segment, mask) of segments with repeated windows."""
     schema = "anchor long, segment long, mask long"
 
     def search(held: list[tuple]) -> pa.RecordBatch:
-        ids: dict[bytes, int] = {}
-        symbols = [np.array([ids.setdefault(w, len(ids) + 1) for w in r[5].split(b" ")], np.int64) for r in held]
-        masks = fm.repeated_windows(symbols, np.array([not r[4] for r in held]), s.width)
+        texts = [(r[0], r[5].split(b" ")) for r in held]
+        masks = lookup(texts, np.array([not r[4] for r in held]), s)
         rows = []
-        for r, m, x in zip(held, masks, symbols, strict=True):
+        for r, m, (_, x) in zip(held, masks, texts, strict=True):
             if r[4]:  # occurs twice as a whole
                 m = (1 << len(x) - s.width + 1) - 1
             if m := m << r[3]:
@@ -153,7 +159,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
 
 
-def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def repeats(docs: DataFrame, settings: Settings = Settings(), lookup: Callable = by_index) -> DataFrame:
     """(id, found): for each id with repeated windows, its segments' hashes and masks. docs has id and text."""
     s, spark = settings, docs.sparkSession
     if s.width - s.anchor + 1 > 62:
@@ -168,7 +174,7 @@ def repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     wanted = different.join(parts, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "segment", "twice", "parts")).alias("wanted"))
     rows = _texts(docs.select("id", "text").join(wanted, "id"), s)
     dealt = rows.repartition(common.partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part")
-    masks = common.materialise(_looked_up(dealt, s).groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
+    masks = common.materialise(_looked_up(dealt, s, lookup).groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
     hits = met.join(masks, ["anchor", "segment"]).select("id", "segment", "mask").distinct()
     return hits.groupBy("id").agg(F.collect_list(F.struct("segment", "mask")).alias("found"))
 
@@ -193,9 +199,10 @@ def covered(words: list[bytes], found: list[dict] | None, s: Settings) -> np.nda
     return common.covered((mask[window] >> place) & 1 == 1, s.width, n)
 
 
-def _with_found(docs: DataFrame, s: Settings) -> DataFrame:
+def with_found(docs: DataFrame, s: Settings, lookup: Callable = by_index) -> DataFrame:
+    """docs and a column found, for covered()."""
     docs = _keyed(docs)
-    return docs.join(repeats(docs, s), "id", "left").drop("id")
+    return docs.join(repeats(docs, s, lookup), "id", "left").drop("id")
 
 
 def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -213,7 +220,7 @@ def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~out).tolist()] if gone[-1] else words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = _with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), s)
+    rows = with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), s)
     return rows.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
@@ -236,9 +243,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols[:f] + cols[f + 1 :], names=[c for c in batch.schema.names if c != "found"])
 
-    return _with_found(docs, s).select(*docs.columns, "found").mapInArrow(run, schema)
+    return with_found(docs, s).select(*docs.columns, "found").mapInArrow(run, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as strings, counted; at most for small tables.
+SQL = r"""
+WITH toks AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT r, i, count(*) OVER (PARTITION BY md5(array_to_string(list_slice(ws, i, i + 34), ' '))) AS c FROM toks, unnest(range(1, len(ws) - 33)) AS t(i)),
+p AS (SELECT DISTINCT r, i + o AS p FROM w, range(0, 35) AS q(o) WHERE c > 1),
+g AS (SELECT r, list(p) AS ps FROM p GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, k: NOT list_contains(coalesce(ps, []), k)), ' '), '')) AS kept_sha256
+FROM toks LEFT JOIN g USING (r)
+"""
