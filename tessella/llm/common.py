@@ -41,6 +41,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bits(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """Words of a bitmap of bits over the hashes of keys: at most bits / 64 rows, whatever the number of keys."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    return keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 AS int)))").alias("_set"))
+
+
+def split(df: DataFrame, keys: DataFrame, columns: list[str], bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """(rows of df that may have a partner in keys, rows that surely have none), by equal columns, nulls being equal.
+
+    The bitmap has a fixed size, so it can always be broadcast. It spares most rows the shuffle of
+    the join that must follow; with very many keys it lets more of them through.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    words = F.broadcast(_bits(keys, columns, bits))
+    marked = df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(words, "_word", "left")
+    inside = F.coalesce(F.expr("getbit(_set, cast(_at & 63 AS int))"), F.lit(0).cast("byte")) == 1
+    return marked.where(inside).select(*df.columns), marked.where(~inside).select(*df.columns)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote for df, once nothing reads it any more."""
     spark = df.sparkSession
