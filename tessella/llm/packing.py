@@ -46,6 +46,17 @@ def _stem(word: str) -> tuple[str, str]:
     return word, ""
 
 
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the others as the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _plain(word: str) -> bool:
+    """Only Latin letters below U+0250: normal as they are, of simple lower case, and one piece for the
+    vocabulary, so that the library's model can take them without its other steps."""
+    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+
+
 class WordEncoder:
     """Ids by the tokenizers library, each word between blanks once: no token of this kind of
     vocabulary spans a blank, so a text's ids are those of its words one after another."""
@@ -56,6 +67,7 @@ class WordEncoder:
 
         self._lib = Tokenizer.from_file(path)
         self._lib.encode_special_tokens = True
+        self._model = self._lib.model
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._marks = {m: array("I", self._lib.encode(m, add_special_tokens=False).ids).tobytes() for m in ("", ".", ",")}
@@ -79,6 +91,10 @@ class WordEncoder:
                 stems[w] = stem, _ = _stem(w)
                 if stem not in memo and stem not in older:
                     unknown[stem] = None
+            for w in [w for w in unknown if _plain(w)]:
+                del unknown[w]
+                ids = array("I", [t.id for t in self._model.tokenize(w.lower().encode().decode("latin-1").translate(_SHOWN))]).tobytes()
+                (memo if len(w) <= MEMO_WORD else extra)[w] = ids
             made = dict(zip(unknown, self._lib.encode_batch_fast(list(unknown), add_special_tokens=False), strict=True)) if unknown else {}
             for w, e in made.items():
                 (memo if len(w) <= MEMO_WORD else extra)[w] = array("I", e.ids).tobytes()
