@@ -169,7 +169,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = materialise(small.select("e.u", "e.v").where("u <> v").distinct())
+        old, e = e, materialise(small.select("e.u", "e.v").where("u <> v").distinct())
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if now == before:
             break

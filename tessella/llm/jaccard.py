@@ -370,7 +370,7 @@ def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     classes = common.materialise(_classes(docs, level, s))
     token = Window.partitionBy("token")
     met = classes.select("key", F.explode("prefix").alias("token")).select("token", "key", F.min("key").over(token).alias("least"), F.max("key").over(token).alias("most"))
-    met = common.materialise(met.where("least <> most").select("token", "key", "least").distinct())
+    met = common.materialise(met.where("least <> most").select("token", "key", "least"))  # a key may come several times; that does no harm
     # Round 1. A linked set may be as much smaller as percent allows, and then has a prefix of one shared token only.
     blocks = met.groupBy("key").agg(F.min("least").alias("block"), F.count("*").alias("tokens"))
     enough = (F.col("tokens") >= s.common) | F.expr(f"({s.percent} * (({s.percent} * n + 99) DIV 100) + 99) DIV 100 < {2 * s.common}")
@@ -381,7 +381,7 @@ def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     first = common.materialise(_round1(texts.repartition(common.partitions(spark), "block").sortWithinPartitions("block"), s))
     sets = first.where("tokens IS NOT NULL")
     # Round 2.
-    rows = met.select("token", "key").join(sets.select("key", "label"), "key")
+    rows = met.select("token", "key").join(sets.select("key", "label"), "key").distinct()
     member = [F.bit_xor(F.xxhash64("key", F.lit(k))).over(token).alias(f"s{k}") for k in (0, 1)]
     rows = rows.select("*", F.min("label").over(token).alias("least"), F.max("label").over(token).alias("most"), F.count("*").over(token).alias("size"), *member).where("least <> most")
     # Many tokens have the same members; one of these is enough.
@@ -396,13 +396,17 @@ def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     links = first.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(_verified(pairs, s))
     found = common.components(links)
+    for done in (met, one, first, pairs, used):
+        common.discard(done)
     named = classes.select("doc_id", "text_hash", "n", "key").join(found.select(F.col("u").alias("key"), "c"), "key", "left")
-    return named.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("c", "key")).alias("c"))
+    out = common.materialise(named.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("c", "key")).alias("c")))
+    common.discard(classes)
+    return out
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    labelled = common.materialise(labels(docs, settings))
+    labelled = labels(docs, settings)
     worded = labelled.where("n > 0")
     named = worded.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     rest = worded.join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -413,12 +417,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings
     """docs with one document of each component, that of the smallest id (of a repeated id, the
     smallest hash of the text; rows equal in both stay once); columns as in docs. Documents
     without words all stay."""
+    keys = ["_none", "_id", "_hash"]
     row = (F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"))
     found = labels(docs, settings).select(*row, F.col("text_hash").alias("_hash"), "c")
     first = found.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("_none", "_id", "_hash")).alias("r")).select("r.*")
     kept = first.unionByName(found.where("c IS NULL").drop("c")).distinct()
-    once = docs.select("*", *row, F.xxhash64("text").alias("_hash")).dropDuplicates(["_none", "_id", "_hash"])
-    return once.join(kept, ["_none", "_id", "_hash"], "left_semi").select(*docs.columns)
+    each = found.groupBy("_none", "_id", "_hash").agg(F.count("*").alias("rows")).join(kept.withColumn("stays", F.lit(True)), keys, "left")
+    # What goes, and what repeats, is the smaller part; all other rows pass without a shuffle.
+    special = common.materialise(each.where("stays IS NULL OR rows > 1").select(*keys, F.coalesce("stays", F.lit(False)).alias("stays")))
+    marked = docs.select("*", *row, F.xxhash64("text").alias("_hash"))
+    some, rest = common.split(marked, special, keys)
+    some = some.join(special, keys, "left").where(F.coalesce("stays", F.lit(True)))
+    once = some.where("stays IS NOT NULL").dropDuplicates(keys).unionByName(some.where("stays IS NULL"))
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

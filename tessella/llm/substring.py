@@ -171,12 +171,15 @@ def repeats(docs: DataFrame, settings: Settings = Settings(), lookup: Callable =
     common.discard(anchors)
     different = met.groupBy("anchor", "segment").agg((F.count("*") > 1).alias("twice"), F.min("id").alias("id"))
     parts = different.groupBy("anchor").agg(F.ceil(F.count("*") / s.wide).cast("int").alias("parts"))
-    wanted = different.join(parts, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "segment", "twice", "parts")).alias("wanted"))
-    rows = _texts(docs.select("id", "text").join(wanted, "id"), s)
+    wanted = common.materialise(different.join(parts, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "segment", "twice", "parts")).alias("wanted")))
+    rows = _texts(common.split(docs.select("id", "text"), wanted.select("id"), ["id"])[0].join(wanted, "id"), s)
     dealt = rows.repartition(common.partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part")
     masks = common.materialise(_looked_up(dealt, s, lookup).groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
     hits = met.join(masks, ["anchor", "segment"]).select("id", "segment", "mask").distinct()
-    return hits.groupBy("id").agg(F.collect_list(F.struct("segment", "mask")).alias("found"))
+    found = common.materialise(hits.groupBy("id").agg(F.collect_list(F.struct("segment", "mask")).alias("found")))
+    for done in (met, wanted, masks):
+        common.discard(done)
+    return found
 
 
 def covered(words: list[bytes], found: list[dict] | None, s: Settings) -> np.ndarray:
@@ -202,7 +205,9 @@ def covered(words: list[bytes], found: list[dict] | None, s: Settings) -> np.nda
 def with_found(docs: DataFrame, s: Settings, lookup: Callable = by_index) -> DataFrame:
     """docs and a column found, for covered()."""
     docs = _keyed(docs)
-    return docs.join(repeats(docs, s, lookup), "id", "left").drop("id")
+    found = repeats(docs, s, lookup)
+    some, rest = common.split(docs, found.select("id"), ["id"])
+    return some.join(found, "id", "left").unionByName(rest.withColumn("found", F.lit(None).cast(found.schema["found"].dataType))).drop("id")
 
 
 def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
