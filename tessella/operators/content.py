@@ -18,7 +18,7 @@ SOUND, DEPTH = ("Sound Level", "Noise Level"), ("Depth With Door Open", "Depth")
 
 
 def with_parts(df: DataFrame) -> DataFrame:
-    """df and column _p, a struct of everything that the texts use, looked up once."""
+    """df and columns _p_*, everything that the texts use, looked up once."""
     a = F.col("attributes")
     full = lambda c: F.nullif(strip(c), F.lit(""))
     kind = F.coalesce(full(_A("product_name")), F.nullif(singular(full(_A("fine"))), F.lit("")), full(_A("class_name")), full(_A("dept")))
@@ -28,7 +28,14 @@ def with_parts(df: DataFrame) -> DataFrame:
         "volt": value_of(a, *VOLT), "volt_uom": unit_of(a, *VOLT), "amp": value_of(a, *AMP), "amp_uom": unit_of(a, *AMP), "depth": value_of(a, *DEPTH), "depth_uom": unit_of(a, *DEPTH),
         "volts": value_with_unit(a, *VOLT), "amps": value_with_unit(a, *AMP), "sound": value_with_unit(a, *SOUND), "series": value_of(a, "Series"), "color": value_of(a, "Color", "Finish"), "size": value_of(a, "Size"),
     }
-    return df.withColumn("_p", F.struct(*(v.alias(k) for k, v in parts.items())))
+    return df.withColumns({f"_p_{k}": v for k, v in parts.items()})
+
+
+class Parts:
+    """Columns of with_parts() by their short names; columns, not a struct, as Spark copies a struct's fields into each use."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"_p_{name}")
 
 
 def material_short(c: Column) -> Column:
@@ -47,24 +54,24 @@ def _with(head: Column, value: Column) -> Column:
     return join_parts(" ", head, F.concat(F.lit("With "), value))
 
 
-def invoice(p: Column) -> Column:
+def invoice(p: Parts) -> Column:
     text = join_parts(" ", F.upper(p["type"]), F.upper(p["mount"]), p["invoice_cycles"], material_short(p["material"]), _token(p["volt"], p["volt_uom"], "V"), _token(p["amp"], p["amp_uom"], "A"), _token(p["depth"], p["depth_uom"], "in"))
     return F.left(text, F.lit(refdata.LENGTH_LIMITS["INVOICE_DESC"]))
 
 
-def mobile(p: Column) -> Column:
+def mobile(p: Parts) -> Column:
     return head_tail(join_parts(" ", p["manufacturer"], without_marks(p["brand"])), p["type"], p["series"], p["mpn"])
 
 
-def short(p: Column) -> Column:
+def short(p: Parts) -> Column:
     return head_tail(_with(join_parts(" ", p["brand"], p["series"], p["mpn"], p["type"]), p["with"]), F.concat(p["mount"], F.lit(" Mounting")), F.concat(p["cycles"], F.lit(" Wash Cycles")), p["material"])
 
 
-def retail(p: Column) -> Column:
+def retail(p: Parts) -> Column:
     return head_tail(join_parts(" ", p["series"], p["type"]), F.concat(p["mount"], F.lit(" Mounting")), F.concat(p["cycles"], F.lit("-Wash Cycle")), p["material"])
 
 
-def long(p: Column) -> Column:
+def long(p: Parts) -> Column:
     return head_tail(_with(join_parts(" ", p["brand"], p["type"]), p["with"]), p["series"], F.concat(p["cycles"], F.lit(" Wash Cycles")), p["volts"], p["amps"], p["sound"], p["material"])
 
 
@@ -72,17 +79,17 @@ def _given(features: Column) -> Column:
     return F.filter(F.transform(F.coalesce(features, F.array().cast("array<string>")), strip), lambda f: f != "")
 
 
-def marketing(p: Column, features: Column) -> Column:
+def marketing(p: Parts, features: Column) -> Column:
     own = F.array_compact(F.array(F.concat(F.lit("a quiet "), p["sound"], F.lit(" sound rating")), F.concat(p["cycles"], F.lit(" wash cycles to choose from")), F.concat(p["volts"], F.lit(" operation")), F.concat(F.lit("a "), p["material"], F.lit(" construction"))))
     return let(F.slice(distinct_ignoring_case(F.concat(own, _given(features))), 1, 4), lambda phrases: _sentence(p, phrases))
 
 
-def _sentence(p: Column, phrases: Column) -> Column:
+def _sentence(p: Parts, phrases: Column) -> Column:
     start = F.concat(F.coalesce(p["brand"], F.lit("This")), F.lit(" "), F.coalesce(p["type"], F.lit("product")), F.lit(" offers "), english_list(phrases), F.lit(" for dependable everyday performance"))
     return F.when(F.size(phrases) == 0, "").otherwise(F.concat(start, F.coalesce(F.concat(F.lit(", and comes equipped "), F.lower(p["with"]), F.lit(".")), F.lit("."))))
 
 
-def bullets(p: Column, features: Column) -> Column:
+def bullets(p: Parts, features: Column) -> Column:
     said = lambda what, c: F.concat(F.lit(f"{what}: "), c)
     own = F.array_compact(F.array(said("Sound Level", p["sound"]), F.concat(p["cycles"], F.lit(" Wash Cycles")), said("Voltage", p["volts"]), said("Amperage", p["amps"]), said("Material", p["material"]), said("Color", p["color"]), said("Mounting", p["mount"]), said("Size", p["size"]), F.concat(F.lit("With "), p["with"])))
     return F.slice(distinct_ignoring_case(F.concat(_given(features), own)), 1, 20)
@@ -90,7 +97,7 @@ def bullets(p: Column, features: Column) -> Column:
 
 def with_content(df: DataFrame) -> DataFrame:
     """df with descriptions (a map of six texts) and features. Marketing reads the features as they come in."""
-    p, f = F.col("_p"), F.col("features")
+    p, f = Parts(), F.col("features")
     texts = {"MOBILE_DESC": mobile(p), "INVOICE_DESC": invoice(p), "SHORT_DESC": short(p), "LONG_DESC1": long(p), "RETAIL_DESC": retail(p), "MARKETING_DESCRIPTION": marketing(p, f)}
     pairs = [x for k, v in texts.items() for x in (F.lit(k), v)]
     parts = with_parts(df)

@@ -40,7 +40,7 @@ def delivery(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         for i in range(50):
             a = F.get("attributes", F.lit(i))
             made |= {f"ATTRIBUTE_LABEL {i + 1}": _text(a["label"]), f"ATTRIBUTE_VALUE {i + 1}": _text(a["value"]), f"ATTRIBUTE_UOM {i + 1}": _text(a["uom"])}
-    return df.select(*(made.get(c, own(c)).alias(c) for c in columns))
+    return df.select(*((made[c] if c in made else own(c)).alias(c) for c in columns))
 
 
 def slots_to_attributes(df: DataFrame, slots: int = 50) -> Column:

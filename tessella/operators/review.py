@@ -56,8 +56,10 @@ def search(products: DataFrame, query: str, columns: list[str]) -> DataFrame:
 
 def queue(products: DataFrame) -> DataFrame:
     """(key, status, reasons): flagged rows, open or resolved, with the first two reasons."""
-    is_flagged = flagged(F.col("confidence.needs_review"), F.col("attributes"))
-    return products.where(is_flagged).select("key", F.when(resolved(F.col("decision")), "resolved").otherwise("open").alias("state"), F.array_join(F.slice("confidence.reasons", 1, 2), "; ").alias("reasons"))
+    # A filter over one-row arrays: Spark would push a plain one down and work the scores out twice.
+    state = F.when(resolved(F.col("decision")), "resolved").otherwise("open")
+    row = F.struct(flagged(F.col("confidence.needs_review"), F.col("attributes")).alias("flagged"), F.col("key"), state.alias("state"), F.array_join(F.slice("confidence.reasons", 1, 2), "; ").alias("reasons"))
+    return products.select(F.inline(F.filter(F.array(row), lambda r: r["flagged"]))).drop("flagged")
 
 
 def progress(products: DataFrame) -> DataFrame:

@@ -508,7 +508,7 @@ def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- Review ----------------------------------------------------------------------------------------------------------
-_EVENTS_SQL = "ev AS (SELECT CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'edit' ELSE 'view' END AS decision, ts AS at, event_id AS seq FROM events), cur AS (SELECT key, arg_max(decision, (at, seq)) AS decision, max(at) AS at FROM ev WHERE decision IN ('accept', 'reject', 'edit') GROUP BY key)"
+_EVENTS_SQL = "ev AS (SELECT CAST(user_id AS VARCHAR) AS key, CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'edit' ELSE 'view' END AS decision, ts AS happened, event_id AS seq FROM events), cur AS (SELECT key, arg_max(decision, {'h': happened, 's': seq}) AS decision, max(happened) AS happened FROM ev WHERE decision IN ('accept', 'reject', 'edit') GROUP BY key)"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,15 +520,15 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.upsert(products, review.current(_events(spark, sf_dir)))
 
 
-@query(f"WITH {_EVENTS_SQL} SELECT key, decision, CAST(epoch_us(at) AS BIGINT) AS at FROM cur")
+@query(f"WITH {_EVENTS_SQL} SELECT key, decision, strftime(happened, '%Y-%m-%d %H:%M:%S.%f') AS \"at\" FROM cur")
 def review_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.current(_events(spark, sf_dir)).select("key", "decision", F.unix_micros("at").alias("at"))
+    return review.current(_events(spark, sf_dir)).select("key", "decision", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @query(f"WITH {_EVENTS_SQL} SELECT CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey % 5 = 0 THEN 'accept' ELSE decision END AS decision FROM part LEFT JOIN cur ON key = CAST(p_partkey AS VARCHAR)")
 def review_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = standin.part(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("key"))
-    local = standin.part(spark, sf_dir).where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("key"), F.lit("accept").alias("decision"), F.lit(None).cast("timestamp").alias("at"))
+    local = standin.part(spark, sf_dir).where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("key"), F.lit("accept").alias("decision"), F.lit(None).cast("timestamp_ntz").alias("at"))
     return review.overlay(products, review.current(_events(spark, sf_dir)), local).select("key", "decision")
 
 
