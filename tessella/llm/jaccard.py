@@ -377,23 +377,24 @@ def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     one = classes.select("doc_id", "key", "n").join(blocks, "key").where(enough).groupBy("key", "block").agg(F.min("doc_id").alias("doc_id"))
     one = common.materialise(one)
     few, _ = common.split(docs, one, ["doc_id"])
-    texts = few.join(one, few["doc_id"].eqNullSafe(one["doc_id"])).select("block", "key", "text")
+    # Merge joins throughout: the plan is then the same at every size, and nothing is broadcast that grows with the corpus.
+    texts = few.join(one.hint("merge"), few["doc_id"].eqNullSafe(one["doc_id"])).select("block", "key", "text")
     first = common.materialise(_round1(texts.repartition(common.partitions(spark), "block").sortWithinPartitions("block"), s))
     sets = first.where("tokens IS NOT NULL")
     # Round 2.
-    rows = met.select("token", "key").join(sets.select("key", "label"), "key").distinct()
+    rows = met.select("token", "key").join(sets.select("key", "label").hint("merge"), "key").distinct()
     member = [F.bit_xor(F.xxhash64("key", F.lit(k))).over(token).alias(f"s{k}") for k in (0, 1)]
     rows = rows.select("*", F.min("label").over(token).alias("least"), F.max("label").over(token).alias("most"), F.count("*").over(token).alias("size"), *member).where("least <> most")
     # Many tokens have the same members; one of these is enough.
     rows = rows.withColumn("first", F.min("token").over(Window.partitionBy("size", "s0", "s1", "key"))).where("token = first")
     parts = F.ceil(F.col("size") / s.block).cast("int")
     rows = rows.withColumn("r", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "key", "label").join(sets.select("key", "n", "bits"), "key")
+    rows = rows.select("token", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "key", "label").join(sets.select("key", "n", "bits").hint("merge"), "key")
     rows = rows.select("token", "i", "j", "key", "label", "n", "bits").repartition(common.partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = common.materialise(_candidates(rows, s).distinct())
     used = common.materialise(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
     sets = common.split(sets.select("key", "tokens"), used, ["key"])[0]
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     links = first.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(_verified(pairs, s))
     found = common.components(links)
     for done in (met, one, first, pairs, used):
