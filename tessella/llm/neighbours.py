@@ -5,7 +5,10 @@ and cut into short sub-vectors with 16 centres each. Centres and codes minimise
 weighs the part of the residual along the vector more than the part across it, as only the
 former moves the inner products that matter. Two 4-bit codes make a byte; a query's table of
 partial scores is added up byte by byte for all rows, and the best of each block of rows are
-ranked again by the exact measure on the original vectors.
+ranked again by the exact measure on the original vectors. The k-th of these scores is then a
+floor: the angle between a row and its code, and the rounding of the table, bound the row's
+true cosine from above, and every row whose bound reaches the floor is ranked exactly too. So
+no neighbour is lost to the codes, however many rows share theirs.
 
 The codebook is fitted on a bounded sample (Settings.sample rows, by hash order of vec_id);
 every row is coded and scanned. Queries are taken in blocks of bounded size.
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
+#: More than rounding can move a bound by: the root of 1 - c * c is off by up to 1e-7 near 1.
+SLACK = 1e-6
 SCHEMA = "query_id long, query_row long, vec_id long, score double, own boolean"
 
 
@@ -34,7 +39,8 @@ SCHEMA = "query_id long, query_row long, vec_id long, score double, own boolean"
 class Settings:
     """k: neighbours; sample: rows that the codebook is fitted on; width: components of a
     sub-vector; threshold: cosine above which scores matter, which sets the loss's weight;
-    rerank: rows of each block that are ranked exactly; block: queries in a block."""
+    rerank: rows of each block that are ranked exactly at first, to find the floor that the other
+    rows' bounds must reach; block: queries in a block."""
 
     k: int = 5
     sample: int = 4096
@@ -79,15 +85,25 @@ class Codebook:
                 total = rest + along[:, s]
         return codes
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, bytes, 256) partial scores as unsigned bytes' range integers, two codes to a byte."""
+    def bounds(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For unit rows x and what their codes stand for: the latter's length, and the cosine and sine of the angle between."""
+        back = self.centres[np.arange(len(self.centres)), codes[:, : len(self.centres)]]
+        length = np.sqrt((back * back).sum((1, 2)))
+        scale = np.divide(1, length, out=np.zeros_like(length), where=length > 1e-9)
+        cos = np.clip((back * self._split(x)).sum((1, 2)) * scale, -1, 1)
+        return length * (scale > 0), cos, np.sqrt(1 - cos * cos)
+
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(queries, bytes, 256) partial scores as unsigned bytes' range integers, two codes to a byte;
+        what a step is worth, and the largest score that a sum of no steps can stand for."""
         dots = np.einsum("qsk,sck->qsc", self._split(q), self.centres)
         if dots.shape[1] % 2:
             dots = np.concatenate([dots, np.zeros_like(dots[:, :1])], 1)
         low = dots.min(2, keepdims=True)
         scale = np.maximum((dots - low).max((1, 2), keepdims=True), 1e-12)
         steps = np.rint((dots - low) * (255 / scale)).astype(np.uint16)
-        return (steps[:, 1::2, :, None] + steps[:, 0::2, None, :]).reshape(len(q), -1, 256)
+        step = scale[:, 0, 0] / 255
+        return (steps[:, 1::2, :, None] + steps[:, 0::2, None, :]).reshape(len(q), -1, 256), step, low.sum((1, 2)) + len(self.centres) * step / 2
 
 
 def fit(x: np.ndarray, settings: Settings = Settings()) -> Codebook:
@@ -150,7 +166,9 @@ def _scan(book: Codebook, ids: list[int | None], x: np.ndarray, queries: list[tu
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
     x = x[order]
     ids = [ids[i] for i in order]
-    codes = book.codes(_units(x)[0])
+    units = _units(x)[0]
+    codes = book.codes(units)
+    length, cos, sin = book.bounds(units, codes)
     if codes.shape[1] % 2:
         codes = np.concatenate([codes, np.zeros_like(codes[:, :1])], 1)
     packed = (codes[:, 0::2] | codes[:, 1::2] << 4).T.copy()
@@ -158,12 +176,18 @@ def _scan(book: Codebook, ids: list[int | None], x: np.ndarray, queries: list[tu
     keep = min(len(ids), settings.rerank)
     place = np.arange(len(ids), dtype=np.int64)
     out = []
-    for (query_id, row), vector, table in zip(queries, q, tables, strict=True):
+    for (query_id, row), vector, table, step, least in zip(queries, q, *tables, strict=True):
         score = np.zeros(len(ids), np.int64)
         for byte, code in zip(table, packed, strict=True):
             score += byte[code]
         key = place - (score << 32)
-        best = np.sort(np.argpartition(key, keep - 1)[:keep])
+        best = np.argpartition(key, keep - 1)[:keep]
+        if keep < len(ids):
+            floor = np.sort(_cosines(x[best], vector))[-settings.k - 1] - SLACK if keep > settings.k else -1.0
+            # The angle of query to code is at most that of query to row and that of row to code together.
+            need = np.where(cos > -floor, floor * cos - np.sqrt(max(0.0, 1 - floor * floor)) * sin, -1) * length - SLACK
+            best = np.flatnonzero(score * step + least >= need)
+        best = np.sort(best)
         exact = _cosines(x[best], vector)
         for j in np.lexsort((best, -exact))[: settings.k + 1]:
             i = int(best[j])

@@ -56,3 +56,33 @@ def test_anisotropic_codes_lower_the_parallel_error():
         return (((x - back) * x).sum(1) ** 2).mean()
 
     assert parallel(0.3) < 0.5 * parallel(0.0)
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.05, 0.2])
+def test_recall_among_thousands_of_near_copies(spark, noise):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(6000, 64))
+    x[::2] = rnd.normal(size=64) + rnd.normal(size=(3000, 64)) * noise
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in nn.search(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    x = x.astype(float)
+    for i in range(0, 6000, 50):
+        order = np.lexsort((np.arange(6000), -nn._cosines(x, x[i])))
+        assert sorted(got[i]) == [(r + 1, j) for r, j in enumerate([j for j in order if j != i][:5])]
+
+
+def test_bounds_hold_for_every_row():
+    rnd = np.random.default_rng(6)
+    for dims in (7, 64):
+        x = nn._units(np.concatenate([rnd.normal(size=(800, dims)), 1 + rnd.normal(size=(800, dims)) * 0.02]))[0]
+        book = nn.fit(x)
+        ids = list(range(len(x)))
+        narrow = nn.Settings(rerank=6)
+        found = nn._scan(book, ids, x, [(i, 0) for i in ids[::40]], x[::40], narrow)
+        for i in ids[::40]:
+            order = np.lexsort((ids, -nn._cosines(x, x[i])))[:6]
+            assert [f[2] for f in found if f[0] == i] == order.tolist()
