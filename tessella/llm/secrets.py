@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and novelty under a dictionary-primed compressor.
 
 A candidate string in a sensitive context is compressed after the text around it, with a
-dictionary of code and identifiers in front; the bytes that it adds are its novelty. Strings
-that add nearly their whole length cannot be names or words that code already holds, and are
+dictionary of code and identifiers in front; the bytes that it adds are its novelty. Other
+copies of the string, and long pieces of it, are blanked out of the text around first: a
+secret is no less one for being written twice. Strings that add nearly their whole length cannot be names or words that code already holds, and are
 reported as kind "novel". Spans are code points, end exclusive.
 
 Null text counts as empty text: no spans. Every row gives one row; other columns are not read.
@@ -45,11 +46,13 @@ _PLAIN = (
 @dataclass(frozen=True)
 class Novelty:
     """before: characters of context looked at; share: least added bytes for each character;
-    kinds: least number of different characters."""
+    kinds: least number of different characters; piece: length from which on a part of the
+    candidate is blanked out of the context."""
 
     before: int = 64
     share: float = 0.70
     kinds: int = 10
+    piece: int = 12
     level: int = 3
 
 
@@ -70,6 +73,17 @@ def novelty(context: str, candidate: str, level: int = 3) -> float:
     return (len(z.compress(before + candidate.encode())) - len(z.compress(before))) / len(candidate)
 
 
+def _without(text: str, start: int, end: int, pieces: set[str], size: int) -> str:
+    """text[start:end] with blanks for all that belongs to one of pieces (of size characters), also where the cut goes through it."""
+    out, at = [], start
+    for k in range(max(0, start - size + 1), min(end, len(text) - size + 1)):
+        if text[k : k + size] in pieces:
+            if k > at:
+                out += [text[at:k], " "]
+            at = max(at, k + size)
+    return "".join(out) + text[at:end]
+
+
 def base_spans(text: str, low: str) -> list[tuple[str, int, int]]:
     out = []
     if any(w in low for w in _ASSIGN_WORDS):
@@ -90,7 +104,11 @@ def scan(text: str, rules: Novelty = Novelty()) -> tuple[list[tuple[str, int, in
             context = text[max(0, a - rules.before) : a]
             if len(set(m[0])) < rules.kinds or not _CONTEXT.search(context) or any(x < b and a < y for _, x, y in base):
                 continue
-            around = context + text[b : b + rules.before]
+            size = rules.piece
+            pieces = {m[0][k : k + size] for k in range(len(m[0]) - size + 1)}
+            # The candidate itself is on neither side, so that no piece of it is met in its own place.
+            left, right = text[max(0, a - rules.before - size) : a], text[b : b + rules.before + size]
+            around = _without(left, max(0, len(left) - rules.before), len(left), pieces, size) + _without(right, 0, rules.before, pieces, size)
             if novelty(around, m[0], rules.level) >= rules.share:
                 added.append(("novel", a, b))
     return base, added

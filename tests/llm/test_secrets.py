@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from tessella.llm import secrets as s
 
@@ -45,3 +47,15 @@ def test_stage_redacts(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefgh b", "en", 21), (2, None, None, None), (3, "clean", "fr", 5)], "doc_id long, text string, lang string, n_chars long")
     out = {r.doc_id: r for r in s.stage(spark, docs, "").collect()}
     assert out[1].text == "a [SECRET] b" and out[1].n_chars == 12 and out[2].text is None and out[3].text == "clean"
+
+
+def test_a_secret_written_twice_is_reported_and_redacted_twice(spark):
+    rnd, letters = random.Random(9), string.ascii_letters + string.digits
+    for n in (20, 32, 40, 64, 200):
+        x = "".join(rnd.choice(letters) for _ in range(n - 2)) + "q7"
+        for text in (f"Authorization: Bearer {x}\nAuthorization: Bearer {x}\n", f"token {x[:-3]}8 then auth {x} end", f"auth a1{x} bearer {x}", *(f"bearer {x} {'w ' * k}auth {x} secret {x}" for k in (0, 9, 20, 25, 30))):
+            want = [m.span() for m in re.finditer(r"(?=\w*[0-9])\w{17,}", text)]
+            assert [(a, b) for _, a, b in s.scan(text)[1]] == want, text
+    docs = spark.createDataFrame([(1, f"auth {RANDOM} bearer {RANDOM}", "en", 0)], "doc_id long, text string, lang string, n_chars long")
+    assert s.stage(spark, docs, "").first().text == "auth [SECRET] bearer [SECRET]"
+    assert s.scan("auth handler get_user_by_id_2 token get_user_by_id_2 secret max_length_0123456789 max_length_0123456789")[1] == []
