@@ -154,7 +154,7 @@ def resolve_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.fuzzy(_raw(spark, sf_dir).where("raw LIKE '% of %' OR raw LIKE '-%'"), standin.master(standin.part(spark, sf_dir)), 0.4)
+    return resolve.fuzzy(_raw(spark, sf_dir), standin.master(standin.part(spark, sf_dir)), 0.4)
 
 
 @query()

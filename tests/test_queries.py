@@ -1,6 +1,7 @@
 """Every catalogue query against its SQL on the smallest tables."""
 
 import os
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -43,3 +44,16 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fuzzy_resolution_looks_at_every_spelling(spark):
+    raws = [r.raw for r in queries._raw(spark, SF).collect()]
+    master = queries.standin.master(queries.standin.part(spark, SF)).orderBy("ordinal").collect()
+    want = {}
+    for raw in raws:
+        scores = [(-round(SequenceMatcher(None, raw.lower(), m.name.lower()).ratio(), 4), m.ordinal, m.name) for m in master]
+        score, _, name = min(scores)
+        if -score >= 0.4:
+            want[raw] = (name, -score)
+    got = {r.raw: (r.name, r.confidence) for r in queries.resolve_fuzzy(spark, SF).collect()}
+    assert got == want and len(got) == len(raws)
