@@ -9,6 +9,10 @@ so that no sequence needs padding.
 
 Null text counts as empty text and gives one piece, the end mark alone. Every row is packed,
 repeated rows each on their own; other columns are not read.
+
+Marks that a text spells out, such as <|endoftext|>, are text like any other and become the
+ids of their letters, since no document holds them as marks. The library's default would give the mark's
+own id; ids of all other texts are the default's.
 """
 
 from __future__ import annotations

@@ -70,3 +70,16 @@ def test_table(spark):
             end += n
         assert end <= 2048 and end & (end - 1) == 0
     assert p.pack(docs.where("false"), PATH).count() == 0
+
+
+def test_only_spelled_out_marks_differ_from_the_default_encoder():
+    default, own = Tokenizer.from_file(PATH), p.WordEncoder(PATH)
+
+    def both(text):
+        return np.frombuffer(own.encode(text), "<u4").tolist(), default.encode(text, add_special_tokens=False).ids
+
+    for text in ("", "The quick brown fox, it's 12 \u00c9t\u00e9.\n\nend", "<|endof text|> <endoftext> |endoftext|", "\u65e5\u672c \u0391\u03a3 \u0130"):
+        assert both(text)[0] == both(text)[1], text
+    for mark in ("<|startoftext|>", "<|endoftext|>"):
+        ours, theirs = both(f"end {mark} next")
+        assert default.token_to_id(mark) in theirs and default.token_to_id(mark) not in ours and (ours[0], ours[-1]) == (theirs[0], theirs[-1])
