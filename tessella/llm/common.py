@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _U = np.uint64
@@ -21,53 +25,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-        folder = sc.getCheckpointDir()
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
+
+
+def materialise(df: DataFrame, tidy: bool = True) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it again; tidy: free the shuffle files of spent plans."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Shuffle files go when the driver's JVM finds their plan unreachable, which may take long by itself.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if (noted := _written.get()) is not None:
+        noted.append(path)
+    if tidy:
+        # Shuffle files go when the driver's JVM finds their plan unreachable, which may take long by itself.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _bits(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
-    """Words of a bitmap of bits over the hashes of keys: at most bits / 64 rows, whatever the number of keys."""
-    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    return keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at & 63 AS int)))").alias("_set"))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def split(df: DataFrame, keys: DataFrame, columns: list[str], bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("t-"):
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def spent(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Deletes at its end what was materialised inside, but for the last keep tables."""
+    noted: list[str] = []
+    token = _written.set(noted)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in noted[: len(noted) - keep]:
+            _delete(spark, path)
+        if (outer := _written.get()) is not None:
+            outer += noted[len(noted) - keep :]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, longer where df has such columns."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever marks their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def split(df: DataFrame, keys: DataFrame, on: list[str], bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """(rows of df that may have a partner in keys, rows that surely have none), by equal columns, nulls being equal.
 
     The bitmap has a fixed size, so it can always be broadcast. It spares most rows the shuffle of
     the join that must follow; with very many keys it lets more of them through.
     """
-    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    words = F.broadcast(_bits(keys, columns, bits))
-    marked = df.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(words, "_word", "left")
-    inside = F.coalesce(F.expr("getbit(_set, cast(_at & 63 AS int))"), F.lit(0).cast("byte")) == 1
-    return marked.where(inside).select(*df.columns), marked.where(~inside).select(*df.columns)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName().startswith("t-"):
-            path.getFileSystem(conf).delete(path, True)
+    at, word, held = fresh(df, "_at", "_word", "_set")
+    hashed = F.pmod(F.xxhash64(*on), F.lit(bits))
+    words = keys.select(hashed.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({at} & 63 AS int)))").alias(held))
+    marked = df.withColumn(at, hashed).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(words), word, "left")
+    inside = F.coalesce(F.expr(f"getbit({held}, cast({at} & 63 AS int))"), F.lit(0).cast("byte")) == 1
+    return marked.where(inside).select(*columns(df)), marked.where(~inside).select(*columns(df))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -93,7 +129,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 class _Memo(dict):
     """Hashes of the words seen, kept while they are few enough to stay in memory."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -106,7 +142,35 @@ class _Memo(dict):
         return value
 
 
-stable_hash = _Memo().__getitem__
+_memo = _Memo()
+stable_hash = _memo.__getitem__
+
+
+def release() -> None:
+    """Give back what a worker process needs no more: it stays, and serves later stages too."""
+    _memo.clear()
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(mapper: Mapper, rows: int = 1024) -> Mapper:
+    """The mapper over slices of few rows, so that little is held at once; at a task's end its memory is given back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapper(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        finally:
+            release()
+
+    return run
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -154,28 +218,28 @@ def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(step[:total]) > 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v): one row (u, c) for each vertex, c the smallest vertex reachable.
 
-    Alternating large-star and small-star steps; each is a partial-aggregated minimum and a
-    join, and nothing is collected but one checksum a round. Empty edges give no rows.
+    Alternating large-star and small-star steps until no edge changes; each is a partial-aggregated
+    minimum and a join. The minima are written first, so that the join reads two plain shuffles and
+    Spark can split a hub's rows. Nothing is collected but counts. Empty edges give no rows.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
+    n = e.count()
+    while n:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        old, e = e, materialise(small.select("e.u", "e.v").where("u <> v").distinct())
-        discard(old)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == before:
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), tidy=False)
+        large = materialise(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), tidy=False)
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), tidy=False)
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        old, was = e, n
+        e = materialise(small.select("e.u", "e.v").where("u <> v").distinct())
+        n = e.count()
+        settled = n == was and e.join(old.hint("merge"), ["u", "v"], "left_anti").isEmpty()
+        for done in (low, large, least, old):
+            discard(done)
+        if settled:
             break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
     stars = e.select("u", F.col("v").alias("c"))
     return stars.unionByName(stars.select(F.col("c").alias("u"), "c").distinct())

@@ -1,22 +1,27 @@
 """N-gram Jaccard join with signature trees, and the components of its links.
 
-Every link is found. Documents with equal shingle sets are one class from the start. Classes
-meet only where they share a token of their prefixes: in one order of all tokens (rare ones
-first, by a count sketch of fixed size) two sets that overlap enough share one of their first
-few. Large sets must share several such tokens, so those that meet others in fewer are left
-out. Two rounds follow.
-
-1. Classes are dealt by the least class they meet, a bounded number at a time; a signature
-   tree over each lot (nodes hold the OR of token bitmaps, and the range of set sizes) is
-   traversed against itself. Node pairs whose greatest possible overlap is too small are cut
-   off, as are those that are linked already; what is left is compared exactly. This joins
-   most copies, and need not be complete.
+Every link is found. Documents with equal shingle sets are one class from the start. Tokens
+have one order, that of their hashes, and classes meet where they share a token of their
+prefixes in this order: two linked sets share at least Settings.common(n) of them, n being
+the size of the smaller. How many classes hold a token is counted by a partial aggregation
+of prefix tokens, so what is known of a token does not blur as the corpus grows. Tokens of more
+than Settings.often classes are hot. A class that has fewer hot tokens than it must share goes
+without them, as some other token is then shared; so hot tokens bring only those classes
+together that consist of them to a large part. Two rounds follow.
+
+1. Classes that meet others in enough tokens are dealt by the least class they meet, a bounded
+   number at a time; a signature tree over each lot (nodes hold the OR of token bitmaps, and
+   the range of set sizes) is traversed against itself. Node pairs whose greatest possible
+   overlap is too small are cut off, as are those that are linked already; what is left is
+   compared exactly. Large lots are dealt in parts, and one set of each group that the parts
+   have found goes on to a lot of such sets. This joins most copies, and need not be complete.
 2. Within each prefix token's group the same traversal runs over the members that round 1
-   left apart, and every pair that the trees can't rule out is compared exactly. Groups
-   beyond a bound are cut into blocks that meet pair by pair.
+   left apart. Groups beyond a bound are cut into blocks; members of the group's main label
+   meet only the others. Pairs that the trees can't rule out, and that met in as many tokens as
+   linked sets must share, are compared exactly.
 
-Connected components of the links give the result. Sets, bitmaps and links stay in the
-cluster; only the sketch (Settings.counters numbers) goes through the driver.
+Connected components of the links give the result. Sets, bitmaps, counts and links stay in
+the cluster; nothing is collected or broadcast but bitmaps of fixed size.
 
 Null or wordless text has an empty set and is linked with nothing: its component is its own
 doc_id. Repeated rows are one class. A null doc_id takes part, and is the component's id only
@@ -32,8 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import common
@@ -45,24 +49,37 @@ _ONE = np.uint64(1)
 
 @dataclass(frozen=True)
 class Settings:
-    """Shingles of words; links at percent; counters of the sketch; lot and block bound what a
-    task holds at once in rounds 1 and 2; leaf is the size of a tree's leaves; common: tokens
-    that the prefixes of linked sets must share, where the sets are large enough."""
+    """Shingles of words; links at percent; often: classes beyond which a token is hot; lot, part and
+    block bound what a task holds at once in rounds 1 and 2, carried what a lot keeps from one
+    filling to the next; leaf is the size of a tree's leaves."""
 
     words: int = 4
     percent: int = 85
-    counters: int = 1 << 20
+    often: int = 64
     lot: int = 384
+    part: int = 4096
     carried: int = 64
     block: int = 1024
-    leaf: int = 8
-    common: int = 8
+    leaf: int = 32
+
+    def least(self, n: int) -> int:
+        """Tokens of a set of n that any linked set has too; so also the least size of a linked set."""
+        return (self.percent * n + 99) // 100
+
+    def common(self, n: int) -> int:
+        """Prefix tokens that two linked sets share, n being the smaller size."""
+        return max(1, min(4 + n // 16, self.least(n)))
 
     def prefix(self, n: int) -> int:
-        """Tokens of a set's prefix. Of linked sets, each holds the first common tokens of both in its prefix:
-        at least percent of either's tokens are in both, so behind the k-th of these at least that many less k follow."""
-        least = (self.percent * n + 99) // 100
-        return n - least + (self.common if least >= 2 * self.common else 1)
+        """Tokens of a set's prefix. Behind the k-th token that linked sets share, at least
+        least(n) - k others of these follow, so the first common(n) are all in the prefix."""
+        return n - self.least(n) + self.common(n)
+
+    def least_sql(self, n: str) -> str:
+        return f"(({self.percent} * ({n}) + 99) DIV 100)"
+
+    def common_sql(self, n: str) -> str:
+        return f"greatest(1, least(4 + ({n}) DIV 16, {self.least_sql(n)}))"
 
 
 def occurrences(text: bytes, words: int = 4) -> np.ndarray:
@@ -224,44 +241,11 @@ def _grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield key, rows
 
 
-def sketch(docs: DataFrame, s: Settings) -> np.ndarray:
-    """How often tokens of each counter occur: sums of per-task arrays, compressed for their way."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(s.counters, np.uint32)
-        for batch in batches:
-            found = [occurrences(text or b"", s.words) for text in batch.column(0).cast(pa.binary()).to_pylist()]
-            if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(s.counters)).astype(np.int64), minlength=s.counters).astype(np.uint32)
-        packer = zstandard.ZstdCompressor(level=1)
-        chunks = np.split(total, 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([packer.compress(c.tobytes()) for c in chunks], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(zstandard.decompress(data), np.uint32)
-                sums[chunk] = sums[chunk] + counts if chunk in sums else counts.copy()
-        out = list(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), pa.array([zstandard.compress(sums[c].tobytes()) for c in out], pa.binary())], names=["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema).collect()
-    total = np.zeros(s.counters, np.uint32)
-    width = s.counters // 16
-    for r in rows:
-        total[r.chunk * width : (r.chunk + 1) * width] += np.frombuffer(zstandard.decompress(bytes(r.counts)), np.uint32)
-    return total
-
-
-def _classes(docs: DataFrame, level: np.ndarray, s: Settings) -> DataFrame:
+def _classes(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, text_hash, n, key, prefix) of every row; a task gives a class's prefix once, if it remembers."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        counted = np.uint64(len(shared.value))
         for batch in batches:
             n, keys, prefixes = [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
@@ -272,21 +256,30 @@ def _classes(docs: DataFrame, level: np.ndarray, s: Settings) -> DataFrame:
                 if key in seen or not len(t):
                     prefixes.append(None)
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add(key)
-                order = np.lexsort((t, shared.value[(t % counted).astype(np.int64)]))[: s.prefix(len(t))]
-                prefixes.append(t[order].view(np.int64))
+                prefixes.append(t[: s.prefix(len(t))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n", "key", "prefix"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, key long, prefix array<long>")
+    return docs.mapInArrow(common.lean(run), "doc_id long, text_hash long, n long, key long, prefix array<long>")
 
 
-_ROUND1 = "key long, label long, n int, bits binary, tokens binary"
+_ROUND1 = "key long, label long, bits binary"
+
+
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys(doc_id, text_hash, ...) with the text of each; a row of docs that is there several times comes several times."""
+    on = ["doc_id", "text_hash"]
+    few = common.split(docs, keys, on)[0].alias("d")
+    keys = keys.hint("merge").alias("k")
+    # Merge joins throughout: the plan is then the same at every size, and nothing is broadcast that grows with the corpus.
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
+    return few.join(keys, same).select(*(f"k.{c}" for c in keys.columns if c not in on), "d.text")
 
 
 def _round1(rows: DataFrame, s: Settings) -> DataFrame:
-    """rows(block, key, text): sorted by block in each partition. _ROUND1; a row without tokens is a pair of labels."""
+    """rows(block, part, key, text) to _ROUND1; a row without bits is a pair of labels. Each lot is a block's part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, block, new, had, out = Lot(s), None, [], set(), []
@@ -294,30 +287,28 @@ def _round1(rows: DataFrame, s: Settings) -> DataFrame:
         def close() -> None:
             nonlocal new
             labels, same = lot.join(new)
-            out.extend((k, v, len(t), bitmap(t).tobytes(), t.tobytes()) for (k, v), (_, t) in zip(labels, new, strict=True))
-            out.extend((a, b, 0, None, None) for a, b in same)
+            out.extend((k, v, bitmap(t).tobytes()) for (k, v), (_, t) in zip(labels, new, strict=True))
+            out.extend((a, b, None) for a, b in same)
             new = []
 
         def flush() -> pa.RecordBatch:
             nonlocal out
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _ROUND1.split(", ")])
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "label", "bits"])
             out = []
             return made
 
         for batch in batches:
-            for b, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                if b != block:
+            for b, part, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                if (b, part) != block:
                     if new:
                         close()
-                    lot, block, had = Lot(s), b, set()
-                t = shingles(text or b"", s.words)
-                if key in had or class_key(t) != key:  # another row of the same doc_id
+                    lot, block, had = Lot(s), (b, part), set()
+                if key in had:  # a row that is there several times
                     continue
-                if len(had) > 1_000_000:
+                if len(had) > 50_000:
                     had.clear()
                 had.add(key)
-                new.append((key, t))
+                new.append((key, shingles(text or b"", s.words)))
                 if len(new) >= s.lot:
                     close()
                 if len(out) >= 1000:
@@ -326,83 +317,151 @@ def _round1(rows: DataFrame, s: Settings) -> DataFrame:
             close()
         yield flush()
 
-    return rows.mapInArrow(run, _ROUND1)
+    dealt = rows.select("block", "part", "key", "text").repartition(common.partitions(rows.sparkSession), "block", "part").sortWithinPartitions("block", "part")
+    return dealt.mapInArrow(common.lean(run), _ROUND1)
+
+
+def _first_round(docs: DataFrame, one: DataFrame, s: Settings) -> DataFrame:
+    """_ROUND1 of all classes in one(doc_id, text_hash, key, n, block): lots of at most s.part classes each,
+    then lots of their labels, until each block has become one lot."""
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        sizes = common.materialise(rows.groupBy("block").agg(F.ceil(F.count("*") / s.part).cast("int").alias("parts")).where("parts > 1"), tidy=False)
+        parts = F.coalesce("parts", F.lit(1))
+        return rows.join(sizes.hint("merge"), "block", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+    rows = common.materialise(dealt(one), tidy=False)
+    out = common.materialise(_round1(_texts(docs, rows), s))
+    level = out
+    while not (large := rows.where("parts > 1")).isEmpty():
+        # A label stands for what its part has joined; parts are closed, so labels of one part meet once more at most.
+        heads = level.where("bits IS NOT NULL AND key = label").select("key")
+        left = common.materialise(large.drop("parts", "part").join(heads.hint("merge"), "key"), tidy=False)
+        if left.count() >= large.count():
+            break  # nothing was joined: the same lots would come again
+        rows = common.materialise(dealt(left), tidy=False)
+        level = common.materialise(_round1(_texts(docs, rows), s))
+        out = out.unionByName(level.select("key", "label", F.lit(None).cast("binary").alias("bits")))
+    return out
 
 
 def _candidates(rows: DataFrame, s: Settings) -> DataFrame:
-    """rows(token, i, j, key, label, n, bits) sorted by the first three: pairs (a, b) that trees can't rule out."""
+    """rows(token, i, j, weight, key, label, n, bits, main) dealt by the first three: (a, b, weight) of pairs that trees can't rule out.
+    Where a cell holds two blocks, only pairs across count: those within a block meet in a cell of their own."""
+    names = ["a", "b", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for _, members in _grouped(batches, 3):
-            keys, labels = [m[0] for m in members], [m[1] for m in members]
+        out: list[tuple[int, int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=names)
+            out = []
+            return made
+
+        for (_, i, j, weight), members in _grouped(batches, 4):
+            across = i >= 0 or (i < -1 and j != -2 - i)
+            keys, labels, main = ([m[k] for m in members] for k in (0, 1, 4))
             if len(set(labels)) < 2:
                 continue
             tree = SignatureTree(np.frombuffer(b"".join(m[3] for m in members), np.uint64).reshape(len(members), -1), np.array([m[2] for m in members], np.int64), s.percent, s.leaf)
-            for i, j in tree.pairs(labels.__getitem__):
-                a.append(min(keys[i], keys[j]))
-                b.append(max(keys[i], keys[j]))
-                if len(a) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for x, y in tree.pairs(labels.__getitem__):
+                if across and main[x] == main[y]:
+                    continue
+                out.append((min(keys[x], keys[y]), max(keys[x], keys[y]), weight))
+                if len(out) >= 20_000:
+                    yield flush()
+        yield flush()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(common.lean(run), "a long, b long, weight long")
 
 
 def _verified(pairs: DataFrame, s: Settings) -> DataFrame:
-    """pairs(a, b, x, y), x and y the tokens: those that are linked."""
+    """pairs(a, b, x, y), x and y the texts: those that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), s.percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            both = zip(*(batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3)), strict=True)
+            good = [linked(shingles(x, s.words), shingles(y, s.words), s.percent) for x, y in both]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(common.lean(run, 64), "u long, v long")
+
+
+def _met(classes: DataFrame, s: Settings) -> DataFrame:
+    """(token, key, n, hot, least) of the prefix tokens that several classes hold; least is the least class of them."""
+    each = classes.where("prefix IS NOT NULL").select("key", "n", F.explode("prefix").alias("token"))
+    held = each.groupBy("token").agg(F.count("*").alias("c"), F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    held = held.select("token", "least", (F.col("c") > s.often).alias("hot"))
+    # A class that several tasks have given comes several times.
+    return each.join(held.hint("merge"), "token").groupBy("token", "key").agg(F.first("n").alias("n"), F.first("hot").alias("hot"), F.first("least").alias("least"))
 
 
 def labels(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, text_hash, n, c) for every row of docs(doc_id, text): c is equal for the rows of one component, null without words."""
-    s, spark = settings, docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = sketch(docs, s)
-    level = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint8)
-    classes = common.materialise(_classes(docs, level, s))
-    token = Window.partitionBy("token")
-    met = classes.select("key", F.explode("prefix").alias("token")).select("token", "key", F.min("key").over(token).alias("least"), F.max("key").over(token).alias("most"))
-    met = common.materialise(met.where("least <> most").select("token", "key", "least"))  # a key may come several times; that does no harm
-    # Round 1. A linked set may be as much smaller as percent allows, and then has a prefix of one shared token only.
-    blocks = met.groupBy("key").agg(F.min("least").alias("block"), F.count("*").alias("tokens"))
-    enough = (F.col("tokens") >= s.common) | F.expr(f"({s.percent} * (({s.percent} * n + 99) DIV 100) + 99) DIV 100 < {2 * s.common}")
-    one = classes.select("doc_id", "key", "n").join(blocks, "key").where(enough).groupBy("key", "block").agg(F.min("doc_id").alias("doc_id"))
-    one = common.materialise(one)
-    few, _ = common.split(docs, one, ["doc_id"])
-    # Merge joins throughout: the plan is then the same at every size, and nothing is broadcast that grows with the corpus.
-    texts = few.join(one.hint("merge"), few["doc_id"].eqNullSafe(one["doc_id"])).select("block", "key", "text")
-    first = common.materialise(_round1(texts.repartition(common.partitions(spark), "block").sortWithinPartitions("block"), s))
-    sets = first.where("tokens IS NOT NULL")
-    # Round 2.
-    rows = met.select("token", "key").join(sets.select("key", "label").hint("merge"), "key").distinct()
-    member = [F.bit_xor(F.xxhash64("key", F.lit(k))).over(token).alias(f"s{k}") for k in (0, 1)]
-    rows = rows.select("*", F.min("label").over(token).alias("least"), F.max("label").over(token).alias("most"), F.count("*").over(token).alias("size"), *member).where("least <> most")
-    # Many tokens have the same members; one of these is enough.
-    rows = rows.withColumn("first", F.min("token").over(Window.partitionBy("size", "s0", "s1", "key"))).where("token = first")
-    parts = F.ceil(F.col("size") / s.block).cast("int")
-    rows = rows.withColumn("r", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "key", "label").join(sets.select("key", "n", "bits").hint("merge"), "key")
-    rows = rows.select("token", "i", "j", "key", "label", "n", "bits").repartition(common.partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    pairs = common.materialise(_candidates(rows, s).distinct())
-    used = common.materialise(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
-    sets = common.split(sets.select("key", "tokens"), used, ["key"])[0]
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-    links = first.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(_verified(pairs, s))
-    found = common.components(links)
-    for done in (met, one, first, pairs, used):
-        common.discard(done)
+    with common.spent(docs.sparkSession):
+        return _labels(docs, settings)
+
+
+def _labels(docs: DataFrame, s: Settings) -> DataFrame:
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    classes = common.materialise(_classes(docs.select("doc_id", "text_hash", "text"), s))
+    met = common.materialise(_met(classes, s))
+    least = s.common_sql(s.least_sql("n"))
+    own = met.groupBy("key", "n").agg(F.count_if("hot").alias("hot"), F.count_if(~F.col("hot")).alias("cool"), F.min("least").alias("any"), F.min(F.when(~F.col("hot"), F.col("least"))).alias("first"))
+    # A class with fewer hot tokens than it must share meets others in its other tokens too.
+    own = own.where(f"hot + cool >= {least}").withColumn("plain", F.expr(f"hot < {least}"))
+    own = own.where("NOT plain OR cool > 0").select("key", "plain", F.when(F.col("plain"), F.col("hot")).otherwise(0).alias("spared"), F.when(F.col("plain"), F.col("first")).otherwise(F.col("any")).alias("block"))
+    named = classes.where("n > 0").groupBy("key").agg(F.min(F.struct("n", "doc_id", "text_hash")).alias("r")).select("key", "r.*")
+    one = common.materialise(named.join(own.hint("merge"), "key"))
+    first = _first_round(docs, one, s)
+    # Round 2. Labels of one component are one, so that groups that lots have joined stay out.
+    known = common.components(first.select(F.col("key").alias("u"), F.col("label").alias("v")))
+    known = common.materialise(known.select(F.col("u").alias("key"), F.col("c").alias("label")), tidy=False)
+    sets = one.join(first.where("bits IS NOT NULL").select("key", "bits").hint("merge"), "key").join(known.hint("merge"), "key", "left")
+    sets = common.materialise(sets.select("key", "n", "plain", "spared", F.coalesce("label", "key").alias("label"), "bits"), tidy=False)
+    rows = met.select("token", "key", "hot").join(sets.select("key", "label", "plain").hint("merge"), "key").where("NOT (hot AND plain)").select("token", "key", "label")
+    rows = common.materialise(rows)
+    member = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    groups = rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("size"), *member).where("least <> most")
+    # Many tokens have the same members; one of these stands for all.
+    groups = common.materialise(groups.groupBy("size", "s0", "s1").agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "size", "weight"), tidy=False)
+    rows = common.materialise(rows.join(groups.hint("merge"), "token"))
+    cells = _cells(rows, s).join(sets.select("key", "n", "bits").hint("merge"), "key").select("token", "i", "j", "weight", "key", "label", "n", "bits", "main")
+    cells = cells.repartition(common.partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = common.materialise(_candidates(cells, s).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("spared").alias(f"spared{side}")).hint("merge"), side)
+    pairs = common.materialise(pairs.where(f"weight >= {s.common_sql('least(na, nb)')} - greatest(spareda, sparedb)").select("a", "b"))
+    used = one.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().hint("merge"), "key").select("doc_id", "text_hash", "key")
+    texts = common.materialise(_texts(docs, common.materialise(used, tidy=False)).groupBy("key").agg(F.first("text").alias("text")))
+    for side, name in zip("ab", "xy", strict=True):
+        pairs = pairs.join(texts.select(F.col("key").alias(side), F.col("text").alias(name)).hint("merge"), side)
+    found = common.components(known.select(F.col("key").alias("u"), F.col("label").alias("v")).unionByName(_verified(pairs, s)))
     named = classes.select("doc_id", "text_hash", "n", "key").join(found.select(F.col("u").alias("key"), "c"), "key", "left")
-    out = common.materialise(named.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("c", "key")).alias("c")))
-    common.discard(classes)
-    return out
+    return common.materialise(named.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("c", "key")).alias("c")))
+
+
+def _cells(rows: DataFrame, s: Settings) -> DataFrame:
+    """rows(token, key, label, size, weight) dealt to cells (token, i, j) of bounded size, with main: has it the label of the group's most members?
+
+    A group within the bound is one cell, i = -1. Of others, blocks of main members meet blocks of the others (i >= 0),
+    and blocks of the others meet each other (i = -2 - the first block, main: is it of that one?).
+    """
+    small = rows.where(f"size <= {s.block}").select("token", F.lit(-1).alias("i"), F.lit(0).alias("j"), "weight", "key", "label", F.lit(True).alias("main"))
+    large = rows.where(f"size > {s.block}")
+    most = large.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"))
+    most = common.materialise(most.select("token", F.col("m.label").alias("top"), F.col("m.c").alias("tops")), tidy=False)
+    half = s.block // 2
+    large = large.join(most.hint("merge"), "token").withColumn("main", F.expr("label = top"))
+    large = large.withColumn("mains", F.ceil(F.col("tops") / half).cast("int")).withColumn("others", F.ceil((F.col("size") - F.col("tops")) / half).cast("int"))
+    large = large.withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    across = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("others")).otherwise(F.col("mains")) - 1)))
+    across = across.select("token", F.when(F.col("main"), F.col("own")).otherwise(F.col("other")).cast("int").alias("i"), F.when(F.col("main"), F.col("other")).otherwise(F.col("own")).cast("int").alias("j"), "weight", "key", "label", "main")
+    among = large.where("NOT main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    among = among.select("token", (-2 - F.least("own", "other")).cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "weight", "key", "label", (F.col("own") <= F.col("other")).alias("main"))
+    return small.unionByName(across).unionByName(among)
 
 
 def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -416,21 +475,23 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """docs with one document of each component, that of the smallest id (of a repeated id, the
-    smallest hash of the text; rows equal in both stay once); columns as in docs. Documents
-    without words all stay."""
-    keys = ["_none", "_id", "_hash"]
-    row = (F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"))
-    found = labels(docs, settings).select(*row, F.col("text_hash").alias("_hash"), "c")
-    first = found.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("_none", "_id", "_hash")).alias("r")).select("r.*")
-    kept = first.unionByName(found.where("c IS NULL").drop("c")).distinct()
-    each = found.groupBy("_none", "_id", "_hash").agg(F.count("*").alias("rows")).join(kept.withColumn("stays", F.lit(True)), keys, "left")
+    smallest hash of the text; rows equal in both stay once); columns as in docs, whatever their
+    names. Documents without words all stay, null texts among them."""
+    found = labels(docs, settings)
+    keys = common.fresh(docs, "_none", "_id", "_hash")
+    stays, rows = common.fresh(docs, "_stays", "_rows")
+    found = found.select(F.col("doc_id").isNull().alias(keys[0]), F.coalesce("doc_id", F.lit(0)).alias(keys[1]), F.col("text_hash").alias(keys[2]), "n", "c")
+    first = found.where("n > 0").groupBy("c").agg(F.min(F.struct(*keys)).alias("r")).select("r.*").withColumn(stays, F.lit(True))
+    each = found.where("n > 0").groupBy(*keys).agg(F.count("*").alias(rows)).join(first.hint("merge"), keys, "left")
     # What goes, and what repeats, is the smaller part; all other rows pass without a shuffle.
-    special = common.materialise(each.where("stays IS NULL OR rows > 1").select(*keys, F.coalesce("stays", F.lit(False)).alias("stays")))
-    marked = docs.select("*", *row, F.xxhash64("text").alias("_hash"))
+    special = common.materialise(each.where(F.col(stays).isNull() | (F.col(rows) > 1)).select(*keys, F.coalesce(stays, F.lit(False)).alias(stays)))
+    text = F.col("text").cast("string")
+    marked = docs.select(*common.columns(docs), F.col("doc_id").isNull().alias(keys[0]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[1]), F.xxhash64(text).alias(keys[2]))
     some, rest = common.split(marked, special, keys)
-    some = some.join(special, keys, "left").where(F.coalesce("stays", F.lit(True)))
-    once = some.where("stays IS NOT NULL").dropDuplicates(keys).unionByName(some.where("stays IS NULL"))
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+    some = some.join(special.hint("merge"), keys, "left").where(F.coalesce(stays, F.lit(True)))
+    once = some.where(F.col(stays).isNotNull()).dropDuplicates(keys).unionByName(some.where(F.col(stays).isNull()))
+    own = common.columns(docs)
+    return rest.select(*own).unionByName(once.select(*own))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             cols = [batch.column(0), *(pa.array([m[k] for m in rows], pa.int64()) for k in range(5)), pa.array([m[5] for m in rows], pa.float64()), pa.array([m[6] for m in rows], pa.list_(pa.float64())), pa.array([b[0] for b in both], pa.bool_()), pa.array([b[1] for b in both], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), SCHEMA)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, rules: Rules = Rules()) -> DataFrame:
@@ -113,7 +113,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, rules: Rules = Rule
             keep = [verdict(measure(t or b"", rules), rules)[1] for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def find(docs: DataFrame, rules: Novelty = Novelty()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "base", "added"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, base array<struct<kind:string,start:long,end:long>>, added array<struct<kind:string,start:long,end:long>>"
+        common.lean(run), "doc_id long, base array<struct<kind:string,start:long,end:long>>, added array<struct<kind:string,start:long,end:long>>"
     )
 
 
@@ -156,7 +156,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, rules: Novelty = No
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def _anchors(docs: DataFrame, s: Settings) -> DataFrame:
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(anchors, kind), pa.array(segs, kind)], names=["id", "anchor", "segment"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, anchor array<long>, segment array<long>")
+    return docs.select("id", "text").mapInArrow(common.lean(run), "id long, anchor array<long>, segment array<long>")
 
 
 def _texts(rows: DataFrame, s: Settings) -> DataFrame:
@@ -114,7 +114,7 @@ def _texts(rows: DataFrame, s: Settings) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.select("text", "wanted").mapInArrow(run, schema)
+    return rows.select("text", "wanted").mapInArrow(common.lean(run), schema)
 
 
 def by_index(held: list[tuple[int, list[bytes]]], search: np.ndarray, s: Settings) -> list[int]:
@@ -152,7 +152,7 @@ def _looked_up(rows: DataFrame, s: Settings, lookup: Callable = by_index) -> Dat
         if held:
             yield search(held)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.lean(run), schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     rows = with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), s)
-    return rows.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return rows.select("doc_id", "text", "found").mapInArrow(common.lean(run), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
@@ -248,7 +248,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols[:f] + cols[f + 1 :], names=[c for c in batch.schema.names if c != "found"])
 
-    return with_found(docs, s).select(*docs.columns, "found").mapInArrow(run, schema)
+    return with_found(docs, s).select(*docs.columns, "found").mapInArrow(common.lean(run), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,7 +90,7 @@ def passages(docs: DataFrame, settings: substring.Settings = SETTINGS) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(spans, span)], names=["doc_id", "n_words", "n_repeated", "spans"])
 
     rows = substring.with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), settings, by_neighbours)
-    return rows.select("doc_id", "text", "found").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", "found").mapInArrow(common.lean(run), SCHEMA)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def corpus(seed, families=14):
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize("settings", [j.Settings(), j.Settings(common=3), j.Settings(lot=3, carried=1, block=4, leaf=1, counters=64)])
+@pytest.mark.parametrize("settings", [j.Settings(), j.Settings(often=2, lot=3, part=5, carried=1, block=4, leaf=1), j.Settings(often=0, lot=2, part=2, carried=1, block=2, leaf=1)])
 def test_equals_brute_force(spark, settings):
     rows = corpus(3) + [(7, "one two three four five"), (7, "another text with that id here"), (None, "x " * 5000), (None, "only null id one two"), (101, None)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(4)
