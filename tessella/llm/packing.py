@@ -10,9 +10,8 @@ so that no sequence needs padding.
 Null text counts as empty text and gives one piece, the end mark alone. Every row is packed,
 repeated rows each on their own; other columns are not read.
 
-Marks that a text spells out, such as <|endoftext|>, are text like any other and become the
-ids of their letters, since no document holds them as marks. The library's default would give the mark's
-own id; ids of all other texts are the default's.
+Ids are the library's own, its settings unchanged: a mark that a text spells out, such as
+<|endoftext|>, becomes the mark's id. Tables may be empty, and may have further columns of any name.
 """
 
 from __future__ import annotations
@@ -37,15 +36,21 @@ GROUP_TOKENS = LENGTH * 1024
 #: Cost of n tokens of one document: n + n * n / QUADRATIC.
 QUADRATIC = 1024
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-MEMO, MEMO_WORD = 300_000, 64
+MEMO, MEMO_WORD = 200_000, 64
+
+
+def _simple(last: str) -> bool:
+    """Latin letters and digits below U+0250: normal as they are, and of simple lower case."""
+    return last < "\u0250" and last != "\u0130"
 
 
 def _stem(word: str) -> tuple[str, str]:
     """A word with a small first letter and without one closing mark, and the mark: the vocabulary
-    is lower case, and a lone mark after a letter or digit is always apart."""
+    is lower case, and a lone mark after a letter or digit is apart. Normal forms and lower case of
+    some letters end in a combining mark, which would join it, so only _simple() ones count."""
     if "A" <= word[:1] <= "Z":
         word = word[0].lower() + word[1:]
-    if word[-1:] in (".", ",") and word[-2:-1].isalnum():
+    if word[-1:] in (".", ",") and word[-2:-1].isalnum() and _simple(word[-2]):
         return word[:-1], word[-1]
     return word, ""
 
@@ -56,9 +61,9 @@ _SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not i
 
 
 def _plain(word: str) -> bool:
-    """Only Latin letters below U+0250: normal as they are, of simple lower case, and one piece for the
-    vocabulary, so that the library's model can take them without its other steps."""
-    return word.isalpha() and max(word) < "\u0250" and "\u0130" not in word
+    """Only simple letters: one piece for the vocabulary, so that the library's model can take them
+    without its other steps."""
+    return word.isalpha() and _simple(max(word)) and "\u0130" not in word
 
 
 class WordEncoder:
@@ -70,7 +75,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path)
-        self._lib.encode_special_tokens = True
         self._model = self._lib.model
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
