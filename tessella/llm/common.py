@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -218,6 +219,13 @@ def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.cumsum(step[:total]) > 0
 
 
+def over(df: DataFrame, mapper: Mapper, schema: StructType) -> DataFrame:
+    """df.mapInArrow() for a mapper that returns df's first columns; names may hold any marks."""
+    names = [c if c.isidentifier() else fresh(df, f"_{k}")[0] for k, c in enumerate(df.columns)]
+    safe = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields)])
+    return df.toDF(*names).mapInArrow(lean(mapper), safe).toDF(*schema.names)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(u, v): one row (u, c) for each vertex, c the smallest vertex reachable.
 

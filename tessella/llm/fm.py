@@ -10,9 +10,10 @@ _LOW = np.uint64(63)
 
 
 class FMIndex:
-    """text: symbols from 1; 0 is the end of a segment. Suffixes are ordered by their first depth symbols at least."""
+    """text: symbols from 1; 0 is the end of a segment. Suffixes are ordered by their first depth symbols at
+    least; weights says how often the text at each place counts."""
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
+    def __init__(self, text: np.ndarray, weights: np.ndarray, depth: int) -> None:
         n = len(text)
         rank = text.astype(np.int64)
         span = 1
@@ -29,6 +30,7 @@ class FMIndex:
                 break
         last = text[order - 1]  # the symbol before each suffix; the first suffix's is the text's last
         self.n = n
+        self.weight = np.concatenate(([0], np.cumsum(weights[order])))
         self.symbols = int(text.max(initial=0)) + 1
         counts = np.bincount(text, minlength=self.symbols)
         self.levels = max(1, (self.symbols - 1).bit_length())
@@ -41,7 +43,7 @@ class FMIndex:
             small = np.packbits(bit.astype(np.uint8), bitorder="little")
             packed[: len(small)] = small
             words = packed.view("<u8").astype(np.uint64)
-            sums = np.zeros(len(words), np.int64)
+            sums = np.zeros(len(words), np.int32)
             np.cumsum(np.bitwise_count(words[:-1]), out=sums[1:])
             self.words.append(words)
             self.sums.append(sums)
@@ -65,16 +67,16 @@ class FMIndex:
         return both[: len(low)], both[len(low) :]
 
 
-def repeated_windows(segments: list[np.ndarray], search: np.ndarray, width: int) -> list[int]:
-    """For each segment of symbols from 1, the windows of width that occur twice or more in all segments: a bit mask.
+def repeated_windows(segments: list[np.ndarray], weights: np.ndarray, width: int) -> list[int]:
+    """For each segment of symbols from 1, the windows of width that weigh 2 or more in all segments: a bit mask.
 
-    Only segments marked in search are looked up; the others get 0. A segment has at most 64 windows.
-    Backward search from some end down to the lowest window that is not yet settled either gets
-    there, which settles all windows between, or stops where the match becomes unique, which
-    rules out the windows that hold that stretch.
+    weights: how often each segment counts. A segment has at most 64 windows. Backward search from
+    some end down to the lowest window that is not yet settled either gets there, which settles
+    all windows between, or stops where the match weighs less than 2, which rules out the windows
+    that hold that stretch.
     """
     out = np.zeros(len(segments), np.uint64)
-    todo = np.flatnonzero(search)
+    todo = np.arange(len(segments))
     if not len(todo):
         return out.tolist()
     sizes = np.array([len(s) for s in segments], np.int64)
@@ -82,7 +84,7 @@ def repeated_windows(segments: list[np.ndarray], search: np.ndarray, width: int)
     text = np.zeros(int((sizes + 1).sum()), np.int64)
     for o, s in zip(offset.tolist(), segments, strict=True):
         text[o : o + len(s)] = s
-    index = FMIndex(text, int(sizes.max()))
+    index = FMIndex(text, np.repeat(weights, sizes + 1), int(sizes.max()))
     n = index.n
     base, last = offset[todo], sizes[todo] - 1
     first = np.zeros(len(todo), np.int64)
@@ -92,7 +94,7 @@ def repeated_windows(segments: list[np.ndarray], search: np.ndarray, width: int)
     live = np.arange(len(todo))
     while len(live):
         low[live], high[live] = index.step(low[live], high[live], text[base[live] + at[live]])
-        unique = high[live] - low[live] < 2
+        unique = index.weight[high[live]] - index.weight[low[live]] < 2
         there = ~unique & (at[live] == first[live])
         at[live] -= 1
         u, g = live[unique], live[there]

@@ -113,7 +113,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, rules: Rules = Rule
             keep = [verdict(measure(t or b"", rules), rules)[1] for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(common.lean(run), docs.schema)
+    return common.over(docs, run, docs.schema)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

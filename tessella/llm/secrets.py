@@ -156,7 +156,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, rules: Novelty = No
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(common.lean(run), docs.schema)
+    return common.over(docs, run, docs.schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,21 @@
 A window of consecutive words is judged by its own text. Each window names one anchor, the
 least of the rolling hashes inside it, so equal windows name equal anchors, and a run of
 windows with one anchor is a segment. Only segments whose anchor occurs twice need a look.
-They are dealt by anchor, each different segment once with its count; a shard builds a
-compressed FM-index of its segments (module fm) and streams them through it: backward search
-over the wavelet tree gives matching statistics, and matches as long as a window whose
-interval holds two places are reported.
-
-An anchor with very many different segments is dealt window by window, by the windows' own
-hashes, so that no shard grows without bound. All joins with documents go by doc_id and may
-be split; what a segment is found to be depends on its words alone.
-
-Null text has no words. Repeated rows count as occurrences of each other, so all their
-windows go. Other columns are not read. Words are compared as words in the index; 64-bit
-hashes name anchors, and anchor and segment hash together name a segment.
+They are dealt by anchor, each different segment once with its weight (2 if it occurs more
+than once); a shard builds a compressed FM-index of its segments (module fm) and streams them
+through it: backward search over the wavelet tree gives matching statistics, and matches as
+long as a window whose interval weighs 2 or more are reported.
+
+An anchor with very many different segments is dealt window by window instead: equal windows
+are merged, with their weights added up before the shuffle, and the index judges each different
+window once. So no shard grows with the number of copies or of surroundings of a passage. All
+joins with documents go by a hash of id and text, and what a segment is found to be depends on
+its words alone.
+
+Null text has no words; an empty table gives no rows. Repeated rows count as occurrences of each
+other, so all their windows go. Other columns are not read, and may have any name. Words are
+compared as words in the index; 64-bit hashes name anchors and windows, and anchor and segment
+hash together name a segment.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ class Settings:
     width: int = 35
     anchor: int = 10
     shard: int = 150_000
-    wide: int = 4096
+    wide: int = 2048
 
 
 def segments(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,13 +92,24 @@ def _anchors(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("id", "text").mapInArrow(common.lean(run), "id long, anchor array<long>, segment array<long>")
 
 
-def _texts(rows: DataFrame, s: Settings) -> DataFrame:
-    """rows(text, wanted: array of (anchor, segment, twice, parts)): the wanted segments' words, or their windows' where parts > 1."""
-    schema = "anchor long, part int, segment long, place int, twice boolean, words binary"
+_PIECES = "anchor long, piece long, segment long, place int, weight long, words binary"
+
+
+def _texts(rows: DataFrame, s: Settings, wide: bool) -> DataFrame:
+    """rows(text, wanted: array of (anchor, segment, weight)): the wanted segments' words, or those of each of their windows."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names = [c.split()[0] for c in _PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
             out = []
+            return made
+
+        for batch in batches:
             for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
                 want = {w["segment"]: w for w in wanted}
@@ -106,94 +120,111 @@ def _texts(rows: DataFrame, s: Settings) -> DataFrame:
                     if w is None:
                         continue
                     own = words[first[k] : first[k] + count[k] + s.width - 1]
-                    if w["parts"] == 1:
-                        out.append((w["anchor"], 0, w["segment"], 0, w["twice"], b" ".join(own)))
+                    if not wide:
+                        out.append((w["anchor"], w["segment"], w["segment"], 0, w["weight"], b" ".join(own)))
                         continue
-                    parts = common.windows(common.word_hashes(own), s.width) % np.uint64(w["parts"])
-                    out += [(w["anchor"], p, w["segment"], o, w["twice"], b" ".join(own[o : o + s.width])) for o, p in enumerate(parts.astype(int).tolist())]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in schema.split(", ")])
+                    pieces = common.windows(common.word_hashes(own), s.width).view(np.int64)
+                    out += [(w["anchor"], p, w["segment"], o, w["weight"], b" ".join(own[o : o + s.width])) for o, p in enumerate(pieces.tolist())]
+                    if len(out) >= 10_000:
+                        yield flush()
+            if len(out) >= 10_000:
+                yield flush()
+        yield flush()
+
+    return rows.select("text", "wanted").mapInArrow(common.lean(run, 256), _PIECES)
+
 
-    return rows.select("text", "wanted").mapInArrow(common.lean(run), schema)
+Lookup = Callable[[list[tuple[int, list[bytes]]], np.ndarray, Settings], list[int]]
 
 
-def by_index(held: list[tuple[int, list[bytes]]], search: np.ndarray, s: Settings) -> list[int]:
-    """Masks of the repeated windows of (anchor, words) segments, by an FM-index of them all."""
+def by_index(held: list[tuple[int, list[bytes]]], weights: np.ndarray, s: Settings) -> list[int]:
+    """Masks of the repeated windows of (anchor, words) pieces, by an FM-index of them all."""
     ids: dict[bytes, int] = {}
     symbols = [np.array([ids.setdefault(w, len(ids) + 1) for w in words], np.int64) for _, words in held]
-    return fm.repeated_windows(symbols, search, s.width)
+    return fm.repeated_windows(symbols, weights, s.width)
 
 
-def _looked_up(rows: DataFrame, s: Settings, lookup: Callable = by_index) -> DataFrame:
-    """Shards of _texts(), sorted by anchor and part: (anchor, segment, mask) of segments with repeated windows."""
-    schema = "anchor long, segment long, mask long"
+def _looked_up(rows: DataFrame, s: Settings, lookup: Lookup) -> DataFrame:
+    """Shards of rows(anchor, piece, weight, words), sorted by anchor: (anchor, piece, mask) of pieces with repeated windows.
+    All pieces of an anchor that may hold equal windows must be in one shard: s.wide at most, or windows that are all different."""
 
     def search(held: list[tuple]) -> pa.RecordBatch:
-        texts = [(r[0], r[5].split(b" ")) for r in held]
-        masks = lookup(texts, np.array([not r[4] for r in held]), s)
-        rows = []
-        for r, m, (_, x) in zip(held, masks, texts, strict=True):
-            if r[4]:  # occurs twice as a whole
-                m = (1 << len(x) - s.width + 1) - 1
-            if m := m << r[3]:
-                rows.append((r[0], r[2], m))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], names=["anchor", "segment", "mask"])
+        masks = lookup([(r[0], r[3].split(b" ")) for r in held], np.array([r[2] for r in held], np.int64), s)
+        rows = [(r[0], r[1], m) for r, m in zip(held, masks, strict=True) if m]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], names=["anchor", "piece", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, key = [], 0, None
+        held, words, anchor, pieces = [], 0, None, 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != key and words >= s.shard:
+                pieces = pieces + 1 if row[0] == anchor else 1
+                if (row[0] != anchor or pieces > s.wide) and words >= s.shard:
                     yield search(held)
                     held, words = [], 0
-                key = row[:2]
+                anchor = row[0]
                 held.append(row)
-                words += row[5].count(b" ") + 1
+                words += row[3].count(b" ") + 1 + len(row[3]) // 64
         if held:
             yield search(held)
 
-    return rows.mapInArrow(common.lean(run), schema)
+    return rows.select("anchor", "piece", "weight", "words").mapInArrow(common.lean(run), "anchor long, piece long, mask long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+def repeats(docs: DataFrame, settings: Settings = Settings(), lookup: Lookup = by_index) -> DataFrame:
+    """(id, segments, masks): for each id with repeated windows, its segments' hashes and masks. docs has id and text."""
+    with common.spent(docs.sparkSession):
+        return _repeats(docs, settings, lookup)
 
 
-def repeats(docs: DataFrame, settings: Settings = Settings(), lookup: Callable = by_index) -> DataFrame:
-    """(id, found): for each id with repeated windows, its segments' hashes and masks. docs has id and text."""
-    s, spark = settings, docs.sparkSession
+def _repeats(docs: DataFrame, s: Settings, lookup: Lookup) -> DataFrame:
     if s.width - s.anchor + 1 > 62:
         raise ValueError("a segment's windows must fit a mask")
+    n = common.partitions(docs.sparkSession)
     anchors = common.materialise(_anchors(docs, s))
     each = anchors.select("id", F.explode(F.arrays_zip("anchor", "segment")).alias("r")).select("id", "r.anchor", "r.segment")
     often = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     met = common.materialise(each.join(often, "anchor"))
     common.discard(anchors)
-    different = met.groupBy("anchor", "segment").agg((F.count("*") > 1).alias("twice"), F.min("id").alias("id"))
-    parts = different.groupBy("anchor").agg(F.ceil(F.count("*") / s.wide).cast("int").alias("parts"))
-    wanted = common.materialise(different.join(parts, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "segment", "twice", "parts")).alias("wanted")))
-    rows = _texts(common.split(docs.select("id", "text"), wanted.select("id"), ["id"])[0].join(wanted, "id"), s)
-    dealt = rows.repartition(common.partitions(spark), "anchor", "part").sortWithinPartitions("anchor", "part")
-    masks = common.materialise(_looked_up(dealt, s, lookup).groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
+    different = met.groupBy("anchor", "segment").agg(F.least(F.count("*"), F.lit(2)).alias("weight"), F.min("id").alias("id"))
+    wide = common.materialise(different.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > s.wide).select("anchor"), tidy=False)
+    some = not wide.isEmpty()
+
+    def pieces(rows: DataFrame, windows: bool) -> DataFrame:
+        wanted = common.materialise(rows.groupBy("id").agg(F.collect_list(F.struct("anchor", "segment", "weight")).alias("wanted")))
+        return _texts(common.split(docs, wanted.select("id"), ["id"])[0].join(wanted, "id"), s, windows)
+
+    whole = pieces(different.join(wide.hint("merge"), "anchor", "left_anti") if some else different, False)
+    masks = _looked_up(whole.repartition(n, "anchor").sortWithinPartitions("anchor"), s, lookup).select("anchor", F.col("piece").alias("segment"), "mask")
+    if some:
+        cut = common.materialise(pieces(different.join(wide.hint("merge"), "anchor"), True))
+        each = cut.groupBy("anchor", "piece", "words").agg(F.sum("weight").alias("weight"))
+        found = _looked_up(each.repartition(n, "anchor", "piece").sortWithinPartitions("anchor", "piece"), s, lookup).select("anchor", "piece").distinct()
+        bit = F.expr("shiftleft(1L, place)")
+        masks = masks.unionByName(cut.select("anchor", "piece", "segment", bit.alias("mask")).join(found.hint("merge"), ["anchor", "piece"]).groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
+    masks = common.materialise(masks)
     hits = met.join(masks, ["anchor", "segment"]).select("id", "segment", "mask").distinct()
-    found = common.materialise(hits.groupBy("id").agg(F.collect_list(F.struct("segment", "mask")).alias("found")))
-    for done in (met, wanted, masks):
-        common.discard(done)
-    return found
+    found = hits.groupBy("id").agg(F.collect_list(F.struct("segment", "mask")).alias("r"))
+    return common.materialise(found.select("id", F.col("r.segment").alias("segments"), F.col("r.mask").alias("masks")))
+
+
+def lists(column: pa.Array) -> list[np.ndarray | None]:
+    """The rows of a list column of numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat, ends, gone = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+    return [None if g else flat[a:b] for a, b, g in zip(ends[:-1].tolist(), ends[1:].tolist(), gone.tolist(), strict=True)]
 
 
-def covered(words: list[bytes], found: list[dict] | None, s: Settings) -> np.ndarray:
-    """Which words lie in a repeated window."""
-    n = len(words)
-    if not found:
+def covered(words: list[bytes], found: tuple[np.ndarray | None, np.ndarray | None], s: Settings) -> np.ndarray:
+    """Which words lie in a repeated window; found: segments and masks of the text's id."""
+    n, (keys, masks) = len(words), found
+    if keys is None or not len(keys):
         return np.zeros(n, bool)
     first, count, _, g = segments(words, s)
     if not len(g):
         return np.zeros(n, bool)
-    keys = np.array([f["segment"] for f in found], np.int64)
     order = np.argsort(keys)
-    masks = np.array([f["mask"] for f in found], np.int64)[order]
-    keys = keys[order]
+    keys, masks = keys[order], masks[order]
     at = np.searchsorted(keys, g.view(np.int64))
     at[at == len(keys)] = 0
     mask = np.where(keys[at] == g.view(np.int64), masks[at], 0)
@@ -202,12 +233,16 @@ def covered(words: list[bytes], found: list[dict] | None, s: Settings) -> np.nda
     return common.covered((mask[window] >> place) & 1 == 1, s.width, n)
 
 
-def with_found(docs: DataFrame, s: Settings, lookup: Callable = by_index) -> DataFrame:
-    """docs and a column found, for covered()."""
-    docs = _keyed(docs)
-    found = repeats(docs, s, lookup)
-    some, rest = common.split(docs, found.select("id"), ["id"])
-    return some.join(found, "id", "left").unionByName(rest.withColumn("found", F.lit(None).cast(found.schema["found"].dataType))).drop("id")
+def with_found(docs: DataFrame, s: Settings, lookup: Lookup = by_index) -> tuple[DataFrame, list[str]]:
+    """docs with two more columns for covered(), and their names."""
+    key, *names = common.fresh(docs, "_id", "_segments", "_masks")
+    text = F.col("text").cast("string")
+    by = F.xxhash64(F.col("doc_id").cast("string"), text)
+    found = repeats(docs.select(by.alias("id"), text.alias("text")), s, lookup)
+    found = found.select(F.col("id").alias(key), *(F.col(c).alias(n) for c, n in zip(("segments", "masks"), names, strict=True)))
+    some, rest = common.split(docs.select(*common.columns(docs), by.alias(key)), found.select(key), [key])
+    none = rest.select(*common.columns(rest), *(F.lit(None).cast("array<long>").alias(n) for n in names))
+    return some.join(found, key, "left").select(*common.columns(none)).unionByName(none).drop(key), names
 
 
 def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -217,7 +252,7 @@ def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, *found in zip(batch.column(1).cast(pa.binary()).to_pylist(), lists(batch.column(2)), lists(batch.column(3)), strict=True):
                 words = (text or b"").split()
                 out = covered(words, found, s)
                 n.append(len(words))
@@ -225,30 +260,35 @@ def removed(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(~out).tolist()] if gone[-1] else words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), s)
-    return rows.select("doc_id", "text", "found").mapInArrow(common.lean(run), "doc_id long, n_words long, n_removed long, kept binary")
+    rows, found = with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), s)
+    return rows.select("doc_id", "text", *found).mapInArrow(common.lean(run), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: Settings = Settings()) -> DataFrame:
     """docs with repeated words taken out of text and n_chars counted anew. A text that loses
-    nothing stays as it is; what is left of the others is joined by blanks. All rows stay."""
+    nothing stays as it is, null too; what is left of the others is joined by blanks. All rows
+    stay, repeated ones too, and columns are as in docs, whatever their names."""
     s, schema = settings, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, n, f = (batch.schema.get_field_index(c) for c in ("text", "n_chars", "found"))
+            k, n = (batch.schema.get_field_index(c) for c in ("text", "n_chars"))
             texts = []
-            for text, found in zip(batch.column(k).to_pylist(), batch.column(f).to_pylist(), strict=True):
-                words = (text or "").encode().split()
+            for text, *found in zip(batch.column(k).to_pylist(), lists(batch.column(batch.num_columns - 2)), lists(batch.column(batch.num_columns - 1)), strict=True):
+                if found[0] is None or text is None:
+                    texts.append(text)
+                    continue
+                words = text.encode().split()
                 out = covered(words, found, s)
                 texts.append(b" ".join([words[i] for i in np.flatnonzero(~out).tolist()]).decode() if out.any() else text)
-            cols = list(batch.columns)
+            cols = list(batch.columns)[:-2]
             cols[k] = pa.array(texts, batch.schema.field(k).type)
             if n >= 0:
                 cols[n] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(n).type)
-            yield pa.RecordBatch.from_arrays(cols[:f] + cols[f + 1 :], names=[c for c in batch.schema.names if c != "found"])
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-2])
 
-    return with_found(docs, s).select(*docs.columns, "found").mapInArrow(common.lean(run), schema)
+    rows, found = with_found(docs, s)
+    return common.over(rows.select(*common.columns(docs), *found), run, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

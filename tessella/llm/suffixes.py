@@ -36,8 +36,10 @@ def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-def by_neighbours(held: list[tuple[int, list[bytes]]], search: np.ndarray, s: substring.Settings) -> list[int]:
-    """Masks of the repeated windows of (anchor, words) segments."""
+def by_neighbours(held: list[tuple[int, list[bytes]]], weights: np.ndarray, s: substring.Settings) -> list[int]:
+    """Masks of the repeated windows of (anchor, words) pieces; one that weighs more than 1 is there twice."""
+    single, copies = len(held), np.flatnonzero(weights > 1)
+    held = held + [held[k] for k in copies.tolist()]
     ids: dict[bytes, int] = {}
     reach, most, m = s.width, s.width - s.anchor, len(held)
     right, left = np.zeros((m, reach + 1), np.int64), np.zeros((m, max(most, 1)), np.int64)
@@ -70,7 +72,7 @@ def by_neighbours(held: list[tuple[int, list[bytes]]], search: np.ndarray, s: su
         masks[good] |= np.uint64(1) << window[good].astype(np.uint64)
     out = np.zeros(m, np.uint64)
     out[order] = masks
-    return np.where(search, out, np.uint64(0)).tolist()
+    return out[:single].tolist()
 
 
 def passages(docs: DataFrame, settings: substring.Settings = SETTINGS) -> DataFrame:
@@ -80,7 +82,7 @@ def passages(docs: DataFrame, settings: substring.Settings = SETTINGS) -> DataFr
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             n, total, spans = [], [], []
-            for text, found in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, *found in zip(batch.column(1).cast(pa.binary()).to_pylist(), substring.lists(batch.column(2)), substring.lists(batch.column(3)), strict=True):
                 words = (text or b"").split()
                 edge = np.diff(substring.covered(words, found, settings).view(np.int8), prepend=0, append=0)
                 both = list(zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), strict=True))
@@ -89,8 +91,8 @@ def passages(docs: DataFrame, settings: substring.Settings = SETTINGS) -> DataFr
                 spans.append([{"start": a, "end": b} for a, b in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(spans, span)], names=["doc_id", "n_words", "n_repeated", "spans"])
 
-    rows = substring.with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), settings, by_neighbours)
-    return rows.select("doc_id", "text", "found").mapInArrow(common.lean(run), SCHEMA)
+    rows, found = substring.with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), settings, by_neighbours)
+    return rows.select("doc_id", "text", *found).mapInArrow(common.lean(run), SCHEMA)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_stage_keeps_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    docs = spark.createDataFrame([(5, text, "a"), (3, text + " end", "b"), (9, "quite another text that stays", "c"), (8, None, None), (3, text + " end", "b"), (3, "the same id and quite other words", "b"), (None, text, "z")], "doc_id long, text string, lang string")
+    own = "doc_id long, text string, lang string, _hash string, _none string, _id string, _word string, _set string"
+    docs = spark.createDataFrame([(*r, *["x"] * 5) for r in [(5, text, "a"), (3, text + " end", "b"), (9, "quite another text that stays", "c"), (8, None, None), (3, text + " end", "b"), (3, "the same id and quite other words", "b"), (None, text, "z")]], own)
     out = j.stage(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [3, 3, 8, 9]

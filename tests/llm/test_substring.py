@@ -49,7 +49,7 @@ def test_empty_table(spark):
 def test_index_counts_places():
     rnd = np.random.default_rng(3)
     text = np.concatenate([np.append(rnd.integers(1, 6, 300), 0) for _ in range(4)])
-    index = fm.FMIndex(text, 40)
+    index = fm.FMIndex(text, np.ones(len(text), np.int64), 40)
     plain = text.tolist()
     for _ in range(300):
         k, at = rnd.integers(1, 9), rnd.integers(0, len(text) - 10)
@@ -66,15 +66,19 @@ def test_masks_equal_counting():
     rnd = np.random.default_rng(4)
     for _ in range(60):
         segs = [rnd.integers(1, 3, rnd.integers(6, 24)) for _ in range(12)]
-        search = rnd.random(12) < 0.8
-        seen = Counter(tuple(x[i : i + 6]) for x in segs for i in range(len(x) - 5))
-        want = [sum(1 << i for i in range(len(x) - 5) if seen[tuple(x[i : i + 6])] > 1) if f else 0 for x, f in zip(segs, search)]
-        assert fm.repeated_windows(segs, search, 6) == want
+        weights = 1 + (rnd.random(12) < 0.2)
+        seen = Counter()
+        for x, w in zip(segs, weights.tolist()):
+            for i in range(len(x) - 5):
+                seen[tuple(x[i : i + 6])] += w
+        want = [sum(1 << i for i in range(len(x) - 5) if seen[tuple(x[i : i + 6])] > 1) for x in segs]
+        assert fm.repeated_windows(segs, weights, 6) == want
 
 
 def test_stage(spark):
     p = " ".join(f"p{i}" for i in range(40))
-    docs = spark.createDataFrame([(1, "start " + p + "\nend", "en", 1), (2, p, None, 2), (3, "clean\n text", "fr", 11), (4, None, None, None)], "doc_id long, text string, lang string, n_chars long")
+    own = "doc_id long, text string, lang string, n_chars long, id string, found string, _at string, _id string, _word string, `a.b` string"
+    docs = spark.createDataFrame([(*r, *["x"] * 6) for r in [(1, "start " + p + "\nend", "en", 1), (2, p, None, 2), (3, "clean\n text", "fr", 11), (4, None, None, None)]], own)
     out = s.stage(spark, docs, "")
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("start end", 9), 2: ("", 0), 3: ("clean\n text", 11), 4: (None, None)}
