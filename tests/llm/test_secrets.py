@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from tessella.llm import secrets as s
 
@@ -59,3 +60,14 @@ def test_a_secret_written_twice_is_reported_and_redacted_twice(spark):
     docs = spark.createDataFrame([(1, f"auth {RANDOM} bearer {RANDOM}", "en", 0)], "doc_id long, text string, lang string, n_chars long")
     assert s.stage(spark, docs, "").first().text == "auth [SECRET] bearer [SECRET]"
     assert s.scan("auth handler get_user_by_id_2 token get_user_by_id_2 secret max_length_0123456789 max_length_0123456789")[1] == []
+
+
+def test_long_texts_take_linear_time():
+    rnd, letters = random.Random(12), string.ascii_letters + string.digits
+    own = lambda n: "".join(rnd.choice(letters) for _ in range(n - 2)) + "a7"
+    text = "".join(f"auth {own(24)} password={own(8)}, " for _ in range(8000))
+    start = time.time()
+    base, added = s.scan(text)
+    assert time.time() - start < 6 and len(base) == 8000 and len(added) > 7000
+    spans = sorted((a, b) for _, a, b in base + added)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
