@@ -62,7 +62,7 @@ def measure(text: bytes, rules: Rules = Rules()) -> tuple:
     for line in text.split(b"\n"):
         if line in seen:
             dup_lines += 1
-            dup_chars += len(line)
+            dup_chars += len(line.decode())
         elif line and not line.isspace():
             seen.add(line)
     edge = np.diff(inside.view(np.int8), prepend=0, append=0)
@@ -81,7 +81,7 @@ def measure(text: bytes, rules: Rules = Rules()) -> tuple:
     for k, _ in rules.grams:
         m = mask(k)
         shares.append(0.0 if m is None else float(sizes[m].sum()) / word_chars)
-    return n, word_chars, n_symbols, dup_lines, 0 if base is None else int(base.sum()), dup_chars / len(text), shares
+    return n, word_chars, n_symbols, dup_lines, 0 if base is None else int(base.sum()), dup_chars / int(np.count_nonzero(char)), shares
 
 
 def verdict(m: tuple, rules: Rules) -> tuple[bool, bool]:
@@ -105,7 +105,8 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, rules: Rules = Rules()) -> DataFrame:
-    """docs without the rows whose text the rules reject; columns as in docs."""
+    """docs without the rows whose text the rules reject; columns as in docs, whatever their names. Null and
+    empty texts are rejected, repeated rows judged each on its own; an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,12 +129,12 @@ SQL = f"""
 WITH toks AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 lines AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS k FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM toks) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-dup AS (SELECT r, count(*) AS n, sum(strlen(line)) AS b FROM lines WHERE k > 1 GROUP BY r),
+dup AS (SELECT r, count(*) AS n, sum(length(line)) AS b FROM lines WHERE k > 1 GROUP BY r),
 {",".join(_GRAM.format(k=k) for k in (5, 8, 13))},
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c8.n, 0) AS BIGINT) AS n_repeat_words,
-    CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(dup.b, 0) / strlen(text) END AS line_share,
+    CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(dup.b, 0) / length(text) END AS line_share,
     coalesce(c5.ch, 0) AS a, coalesce(c8.ch, 0) AS b, coalesce(c13.ch, 0) AS c
   FROM toks LEFT JOIN dup USING (r) LEFT JOIN c5 USING (r) LEFT JOIN c8 USING (r) LEFT JOIN c13 USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -26,7 +26,7 @@ def brute(text):
     dup = [x for i, x in enumerate(lines) if x in lines[:i]]
     chars = sum(map(len, words))
     failed = n < 20 or 100 * len(cover(8)) > 30 * n
-    fine = len("".join(dup).encode()) <= 0.5 * len(text.encode()) and all(sum(len(words[i]) for i in cover(k)) <= s * chars for k, s in q.Rules().grams)
+    fine = len("".join(dup)) <= 0.5 * len(text) and all(sum(len(words[i]) for i in cover(k)) <= s * chars for k, s in q.Rules().grams)
     return n, chars, len(re.findall(r"[#*$%&|<>]", text)), len(dup), len(cover(8)), failed, fine and not failed
 
 
