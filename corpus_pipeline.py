@@ -25,8 +25,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each stage's rows are written as Parquet in the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """STAGES applied to documents; each stage's rows are written as Parquet in the shared folder and read again.
+
+    What a stage has written on its way goes with the rows it began with, once its own are written.
+    """
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir))
+        with common.spent(spark):
+            docs = common.materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
