@@ -57,7 +57,7 @@ class Settings:
     percent: int = 85
     often: int = 64
     lot: int = 384
-    part: int = 4096
+    part: int = 1024
     carried: int = 64
     block: int = 1024
     leaf: int = 32
@@ -468,8 +468,9 @@ def join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
     labelled = labels(docs, settings)
     worded = labelled.where("n > 0")
-    named = worded.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    rest = worded.join(named, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # Written first, so that the join reads two plain shuffles and Spark can split a large component.
+    named = common.materialise(worded.groupBy("c").agg(F.min("doc_id").alias("component_id")), tidy=False)
+    rest = worded.join(named.hint("merge"), "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return rest.unionByName(labelled.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

@@ -70,7 +70,8 @@ class WordEncoder:
     """Ids by the tokenizers library, each word between blanks once: no token of this kind of
     vocabulary spans a blank, so a text's ids are those of its words one after another."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = MEMO) -> None:
+        self._most = memo
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,7 +88,7 @@ class WordEncoder:
         new = set(words).difference(memo)
         extra = {}
         if new:
-            if len(memo) >= MEMO:
+            if len(memo) >= self._most:
                 self._older, self._memo = memo, {}
                 memo, new = self._memo, set(words)
             older = self._older
@@ -114,13 +115,13 @@ class WordEncoder:
         return b"".join(map(memo.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, memo: int = MEMO) -> WordEncoder:
+    if (path, memo) not in _encoders:
+        _encoders[path, memo] = WordEncoder(path, memo)
+    return _encoders[path, memo]
 
 
 def capacities(total: int, length: int = LENGTH) -> list[int]:
@@ -159,11 +160,11 @@ def assign(sizes: list[int], length: int = LENGTH, quadratic: float = QUADRATIC)
     return out
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """SCHEMA, one row a piece; ids holds the piece's ids, little-endian unsigned 32-bit."""
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, group_tokens: int = GROUP_TOKENS, memo: int = MEMO) -> DataFrame:
+    """SCHEMA, one row a piece; ids holds the piece's ids, little-endian unsigned 32-bit. memo: words that a worker remembers at most, twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, names = encoder(path), array("I", [end_id]).tobytes(), [c.split()[0] for c in SCHEMA.split(", ")]
+        enc, end, names = encoder(path, memo), array("I", [end_id]).tobytes(), [c.split()[0] for c in SCHEMA.split(", ")]
         next_id = TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, bytes]] = []
         tokens = 0
@@ -195,12 +196,14 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of docs, as op10_packing gives them; the last stage, so with columns of its own."""
-    return op10_of(docs)
+    """The pieces of docs, as op10_packing gives them; the last stage, so with columns of its own. Null text
+    gives one piece, repeated rows their own pieces each, an empty table none. A worker has served other
+    stages before, so it remembers fewer words."""
+    return op10_of(docs, MEMO // 4)
 
 
-def op10_of(docs: DataFrame) -> DataFrame:
-    return digests(pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+def op10_of(docs: DataFrame, memo: int = MEMO) -> DataFrame:
+    return digests(pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=memo))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def _repeats(docs: DataFrame, s: Settings, lookup: Lookup) -> DataFrame:
     if some:
         cut = common.materialise(pieces(different.join(wide.hint("merge"), "anchor"), True))
         each = cut.groupBy("anchor", "piece", "words").agg(F.sum("weight").alias("weight"))
-        found = _looked_up(each.repartition(n, "anchor", "piece").sortWithinPartitions("anchor", "piece"), s, lookup).select("anchor", "piece").distinct()
+        found = common.materialise(_looked_up(each.repartition(n, "anchor", "piece").sortWithinPartitions("anchor", "piece"), s, lookup).select("anchor", "piece").distinct(), tidy=False)
         bit = F.expr("shiftleft(1L, place)")
         masks = masks.unionByName(cut.select("anchor", "piece", "segment", bit.alias("mask")).join(found.hint("merge"), ["anchor", "piece"]).groupBy("anchor", "segment").agg(F.bit_or("mask").alias("mask")))
     masks = common.materialise(masks)
