@@ -9,12 +9,14 @@ The trees are fitted by the driver on SAMPLE labelled snippets that this module
 their features come from the same expressions. Spans are code points, end exclusive. A
 proposed span that overlaps a base span, or a better proposal, is dropped.
 
-Null text counts as empty text: no spans. Every row gives one row; other columns are not read.
+Null text counts as empty text: no spans. Every row gives one row, repeated rows too, and an empty table
+none; other columns are not read. The time taken is linear in a text's length and in its spans.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -55,6 +57,8 @@ _CONTEXT = {
     "net": "ip|host|server|address|login|from",
     "other": "order|invoice|part|sku|version|isbn|serial|model|page|item|ref|batch|build",
 }
+#: Characters before a span that its features see.
+CONTEXT = 32
 FEATURES = ("digits", "letters", "marks", "distinct", "size", "luhn", *(f"near_{k}" for k in _CONTEXT), "before_word", "after_word", "brackets", "source")
 
 
@@ -69,7 +73,46 @@ def luhn(digits: Column) -> Column:
     return F.when((n >= 1) & (n <= 40), F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0).otherwise(False)
 
 
-_SPANS = "array<struct<start:int,end:int,s:string>>"
+#: A fold goes over blocks of so many items, since each step of an aggregate copies all that it holds.
+_BLOCK = 64
+_SPAN = "struct<start:int,end:int,s:string,before:string,after:string>"
+Step = Callable[[Column, Column], tuple[dict[str, Column], Column]]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _fold(items: Column, kind: str, state: dict[str, Column], step: Step) -> Column:
+    """array<kind> of what step(state, item) gives for each item in turn: the next state, and an array of outputs.
+
+    The first pass finds each block's state at its start, the second each block's outputs, so the
+    time is linear, but for one small state a block.
+    """
+    zero, empty = F.struct(*(v.alias(k) for k, v in state.items())), F.array().cast(f"array<{kind}>")
+
+    def packed(new: dict[str, Column]) -> Column:
+        return F.struct(*(new[k].alias(k) for k in state))
+
+    def outputs(block: Column, first: Column) -> Column:
+        def merge(acc: Column, x: Column) -> Column:
+            new, out = step(acc["state"], x)
+            return F.struct(packed(new).alias("state"), F.when(F.size(out) > 0, F.concat(acc["out"], out)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(first.alias("state"), empty.alias("out")), merge, lambda acc: acc["out"])
+
+    def next_block(acc: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, acc["state"], lambda st, x: packed(step(st, x)[0])).alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+    def over(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(zero.alias("state"), F.slice(F.array(zero), 1, 0).alias("starts")), next_block, lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(blocks, starts, outputs))
+
+    def cut(its: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(its) - 1) / _BLOCK).cast("int")), lambda b: F.slice(its, b * _BLOCK + 1, _BLOCK))
+
+    return _let(items, lambda its: F.when(F.size(its) <= _BLOCK, outputs(its, zero)).otherwise(_let(cut(its), over)))
 
 
 def _matches(text: Column, need: str, pattern: str) -> Column:
@@ -77,18 +120,25 @@ def _matches(text: Column, need: str, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(need)), found).otherwise(F.lit(None)) if need else found
 
 
-def _located(text: Column, matches: Column, pattern: str) -> Column:
-    """Places of matches: the text between them is what splitting leaves."""
-    pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("s")))
+def _located(text: Column, matches: Column, pattern: str, context: bool = False) -> Column:
+    """Places of matches: the text between them is what splitting leaves. With context also the CONTEXT
+    characters before each, and the one after it."""
+    pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(gap.alias("gap"), m.alias("s")))
+    none, empty = F.lit(None).cast(_SPAN), F.array().cast(f"array<{_SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        # The match before is given out now that what follows it is known.
+        start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["s"])
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["s"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"))))).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(CONTEXT)) if context else F.lit("")
+        tail = F.right(F.concat(before, x["s"]), F.lit(CONTEXT)) if context else F.lit("")
+        held, after = acc["held"], F.concat(x["gap"], F.coalesce(F.left(x["s"], F.lit(1)), F.lit("")))
+        shown = F.struct(held["start"].alias("start"), held["end"].alias("end"), held["s"].alias("s"), held["before"].alias("before"), (F.left(after, F.lit(1)) if context else F.lit("")).alias("after"))
+        new = F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"), before.alias("before"), F.lit("").alias("after"))
+        return {"at": F.coalesce(end, start), "tail": F.coalesce(tail, F.lit("")), "held": F.when(x["s"].isNotNull(), new).otherwise(none)}, F.when(held.isNotNull(), F.array(shown)).otherwise(empty)
 
-    none = F.lit(None).cast(_SPANS)
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, folded).otherwise(none)
+    folded = _fold(pairs, _SPAN, {"at": F.lit(0), "tail": F.lit(""), "held": none}, step)
+    return F.when(F.size(matches) > 0, folded).otherwise(F.lit(None).cast(f"array<{_SPAN}>"))
 
 
 def _valid(kind: str) -> object:
@@ -105,10 +155,9 @@ def _valid(kind: str) -> object:
     return None
 
 
-def features(text: Column, span: Column, source: int) -> Column:
+def features(span: Column, source: int) -> Column:
     """Of one proposed span: its format, and what stands around it."""
-    s, start, end = span["s"], span["start"], span["end"]
-    before = F.substring(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32)))
+    s, before = span["s"], span["before"]
     low = F.lower(before)
     digits = F.regexp_replace(s, "[^0-9]", "")
     letters = F.length(F.regexp_replace(s, "[^A-Za-z]", ""))
@@ -121,7 +170,7 @@ def features(text: Column, span: Column, source: int) -> Column:
         "luhn": luhn(digits).cast("int"),
         **{f"near_{k}": low.rlike(rf"\b(?:{words})").cast("int") for k, words in _CONTEXT.items()},
         "before_word": before.rlike("[A-Za-z0-9]$").cast("int"),
-        "after_word": F.substring(text, end + 1, F.lit(1)).rlike("[A-Za-z0-9]").cast("int"),
+        "after_word": span["after"].rlike("[A-Za-z0-9]").cast("int"),
         "brackets": s.rlike(r"[(\[{]").cast("int"),
         "source": F.lit(source),
     }
@@ -131,10 +180,10 @@ def features(text: Column, span: Column, source: int) -> Column:
 def _proposals(df: DataFrame) -> DataFrame:
     """df(text, ...) with column proposed: array of (kind, start, end, x), x the features."""
     raw = df.select("*", *(_matches(F.col("text"), need, p).alias(f"_g{k}") for k, (_, need, p) in enumerate(GENERATORS)))
-    placed = raw.select(*df.columns, *(_located(F.col("text"), F.col(f"_g{k}"), p).alias(f"_g{k}") for k, (_, _, p) in enumerate(GENERATORS)))
+    placed = raw.select(*df.columns, *(_located(F.col("text"), F.col(f"_g{k}"), p, True).alias(f"_g{k}") for k, (_, _, p) in enumerate(GENERATORS)))
 
     def each(k: int, kind: str) -> Column:
-        out = F.transform(f"_g{k}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(F.col("text"), s, k).alias("x")))
+        out = F.transform(f"_g{k}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), features(s, k).alias("x")))
         return F.coalesce(out, F.array().cast(_PROPOSED))
 
     return placed.select(*df.columns, F.when(F.coalesce(*(f"_g{k}" for k in range(len(GENERATORS)))).isNotNull(), F.concat(*(each(k, g[0]) for k, g in enumerate(GENERATORS)))).alias("proposed"))
@@ -292,14 +341,31 @@ def find(docs: DataFrame, model: Trees | None = None) -> DataFrame:
 
     based = _proposals(placed.select(*df.columns, F.concat(*map(kept, BASE)).alias("base")))
     scored = F.transform("proposed", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), model.probability(p["x"]).alias("p")))
-    chosen = F.array_sort(F.filter(scored, lambda s: (s["p"] >= model.threshold) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        clash = F.coalesce(last["end"] > x["start"], F.lit(False))
-        return F.when(~clash, F.concat(acc, F.array(x))).when(x["p"] > last["p"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
-
-    best = F.aggregate(chosen, F.array().cast("array<struct<start:int,end:int,kind:string,p:double>>"), step)
+    item = "struct<start:int,rank:int,end:int,kind:string,p:double>"
+    good = F.filter(scored, lambda s: s["p"] >= model.threshold)
+    own = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p")))
+    fixed = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(2.0).alias("p")))
+    none, empty_items = F.lit(None).cast(item), F.array().cast(f"array<{item}>")
+
+    def after_base(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        """Drops proposals that a base span reaches into from the left."""
+        reach = F.when(x["rank"] == 0, F.greatest(acc["reach"], x["end"])).otherwise(acc["reach"])
+        return {"reach": reach}, F.when((x["rank"] == 0) | (acc["reach"] <= x["start"]), F.array(x)).otherwise(empty_items)
+
+    def before_base(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        """From the right: drops proposals that reach into the next base span, and the base spans."""
+        return {"next": F.when(x["rank"] == 0, x["start"]).otherwise(acc["next"])}, F.when((x["rank"] == 1) & (x["end"] <= acc["next"]), F.array(x)).otherwise(empty_items)
+
+    def best_of(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
+        """Of proposals that clash, the better; what no later one can clash with is given out. A last item of rank 2 gives out the rest."""
+        last = acc["last"]
+        clash = F.coalesce(last["end"] > x["start"], F.lit(False)) & (x["rank"] < 2)
+        return {"last": F.when(~clash | (x["p"] > last["p"]), x).otherwise(last)}, F.when(last.isNotNull() & ~clash, F.array(last)).otherwise(empty_items)
+
+    end = F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(2).alias("rank"), F.lit(2**31 - 1).alias("end"), F.lit("").alias("kind"), F.lit(0.0).alias("p")))
+    left = _fold(F.array_sort(F.concat(own, fixed)), item, {"reach": F.lit(-1)}, after_base)
+    apart = F.reverse(_fold(F.reverse(left), item, {"next": F.lit(2**31 - 1)}, before_base))
+    best = _fold(F.concat(apart, end), item, {"last": none}, best_of)
     added = F.transform(best, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return based.select("doc_id", "base", F.coalesce(F.when(F.size("proposed") > 0, added), empty).alias("added"))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -86,6 +87,49 @@ def test_added_spans(spark, tmp_path):
     assert got == {0: "phone:12:26", 1: "", 2: "number:10:21", 3: "", 4: "", 5: "email:0:6,phone:16:30"}
 
 
+def added_by_brute_force(text, model):
+    """Every proposal, its features and all overlaps, one by one."""
+    base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in brute(text))]
+    found = []
+    for k, (kind, _, pattern) in enumerate(p.GENERATORS):
+        for m in re.finditer(pattern, text):
+            t, before, digits = m[0], text[max(0, m.start() - p.CONTEXT) : m.start()], re.sub("[^0-9]", "", m[0])
+            letters = len(re.sub("[^A-Za-z]", "", t))
+            total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(int(c) for c in digits[::-1]))
+            near = [int(bool(re.search(rf"\b(?:{w})", before.lower()))) for w in p._CONTEXT.values()]
+            x = [len(digits), letters, len(t) - len(digits) - letters, len(set(digits)), len(t), int(1 <= len(digits) <= 40 and total % 10 == 0), *near, int(bool(re.search("[A-Za-z0-9]$", before))), int(bool(re.match("[A-Za-z0-9]", text[m.end() : m.end() + 1]))), int(bool(re.search(r"[(\[{]", t))), k]
+            found.append((m.start(), m.end(), kind, x))
+    said = model.predict(np.array([f[3] for f in found], float)) if found else []
+    good = sorted((a, b, kind, q) for (a, b, kind, _), q in zip(found, said) if q >= model.threshold and not any(c < b and a < d for c, d in base))
+    out = []
+    for x in good:
+        if not out or out[-1][1] <= x[0]:
+            out.append(x)
+        elif x[3] > out[-1][3]:
+            out[-1] = x
+    return sorted(f"{kind}:{a}:{b}" for a, b, kind, _ in out)
+
+
+def test_added_spans_equal_brute_force(spark, tmp_path):
+    rnd = random.Random(7)
+    parts = ["call (212) 555-0187", "212-555-0187", "SSN 078-05-1120", "order 078-05-1120", "IBAN DE89 3704 0044 0532 0130 00", "a@b.de", "joexx (at) mailxx dot com", "4012.8888.8888.1881", "card 4012/8888/8888/1881", "0301 1234 567", "+1 988 555 2485", "1.2.3.4", "é", "\n", ",", " ", "x", "host 1:2:3:4:5:6:7:8", "call 212-555-01871.2.3.4", "9"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", " ", ", "]) for _ in range(rnd.randint(1, 300))) for _ in range(150)]
+    model = p.trained(spark)
+    for r in table(spark, tmp_path, list(enumerate(texts))).collect():
+        own = sorted(set(r.spans.split(",")) - set(brute(texts[r.doc_id])) - {""})
+        assert own == sorted(set(added_by_brute_force(texts[r.doc_id], model)) - set(brute(texts[r.doc_id]))), texts[r.doc_id]
+
+
+def test_long_texts_take_linear_time(spark, tmp_path):
+    p.trained(spark)
+    text = "".join(f"call 212-555-{i % 10000:04d} é, a{i}@b.de " for i in range(9000))
+    query = table(spark, tmp_path, [(0, text)])
+    start = time.time()
+    (row,) = query.collect()
+    assert time.time() - start < 15 and len(text) > 280_000
+    assert row.n_email == 9000 and sum(x.startswith("phone") for x in row.spans.split(",")) > 8000
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert p.op5_pii(spark, str(tmp_path)).count() == 0
