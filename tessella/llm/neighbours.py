@@ -11,7 +11,9 @@ true cosine from above, and every row whose bound reaches the floor is ranked ex
 no neighbour is lost to the codes, however many rows share theirs.
 
 The codebook is fitted on a bounded sample (Settings.sample rows, by hash order of vec_id);
-every row is coded and scanned. Queries are taken in blocks of bounded size.
+every row is coded and scanned. Rows are dealt in blocks of bounded size and coded once, in the
+one task that holds their block; the queries are streamed past each block, and the best of all
+blocks are merged by a ranking that each task begins with its own. Neither goes through the driver.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part. A repeated
 row is a candidate of its copies; a query's own row is left out once. Ties go to the smaller
@@ -32,7 +34,7 @@ from tessella.llm import common
 
 #: More than rounding can move a bound by: the root of 1 - c * c is off by up to 1e-7 near 1.
 SLACK = 1e-6
-SCHEMA = "query_id long, query_row long, vec_id long, score double, own boolean"
+FOUND = "query_id long, query_row long, vec_id long, score double, own boolean"
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,7 @@ class Settings:
     """k: neighbours; sample: rows that the codebook is fitted on; width: components of a
     sub-vector; threshold: cosine above which scores matter, which sets the loss's weight;
     rerank: rows of each block that are ranked exactly at first, to find the floor that the other
-    rows' bounds must reach; block: queries in a block."""
+    rows' bounds must reach; block: rows in a block."""
 
     k: int = 5
     sample: int = 4096
@@ -48,7 +50,7 @@ class Settings:
     threshold: float = 0.2
     rounds: int = 6
     rerank: int = 128
-    block: int = 2048
+    block: int = 8192
 
 
 @dataclass(frozen=True)
@@ -145,100 +147,109 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(v.isNotNull() & fine & F.exists(v, lambda c: c != 0))
 
 
-def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1 if len(column) else dims or 1)
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
-def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of length one, and the lengths; scaled first so that squares stay finite."""
-    top = np.abs(x).max(1, keepdims=True)
-    y = x / top
-    return y / np.sqrt((y * y).sum(1, keepdims=True)), top[:, 0]
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one."""
+    y = _scaled(x)
+    return y / np.sqrt((y * y).sum(1, keepdims=True))
 
 
 def _cosines(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The exact measure, each row alike wherever it stands."""
+    """The exact measure for rows and a query that _scaled() gave, each row alike wherever it stands."""
     return (rows * q).sum(1) / (np.sqrt((rows * rows).sum(1)) * np.sqrt((q * q).sum()))
 
 
-def _scan(book: Codebook, ids: list[int | None], x: np.ndarray, queries: list[tuple[int, int]], q: np.ndarray, settings: Settings) -> list[tuple]:
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-    x = x[order]
-    ids = [ids[i] for i in order]
-    units = _units(x)[0]
-    codes = book.codes(units)
-    length, cos, sin = book.bounds(units, codes)
-    if codes.shape[1] % 2:
-        codes = np.concatenate([codes, np.zeros_like(codes[:, :1])], 1)
-    packed = (codes[:, 0::2] | codes[:, 1::2] << 4).T.copy()
-    tables = book.tables(_units(q)[0])
-    keep = min(len(ids), settings.rerank)
-    place = np.arange(len(ids), dtype=np.int64)
-    out = []
-    for (query_id, row), vector, table, step, least in zip(queries, q, *tables, strict=True):
-        score = np.zeros(len(ids), np.int64)
-        for byte, code in zip(table, packed, strict=True):
-            score += byte[code]
-        key = place - (score << 32)
-        best = np.argpartition(key, keep - 1)[:keep]
-        if keep < len(ids):
-            floor = np.sort(_cosines(x[best], vector))[-settings.k - 1] - SLACK if keep > settings.k else -1.0
-            # The angle of query to code is at most that of query to row and that of row to code together.
-            need = np.where(cos > -floor, floor * cos - np.sqrt(max(0.0, 1 - floor * floor)) * sin, -1) * length - SLACK
-            best = np.flatnonzero(score * step + least >= need)
-        best = np.sort(best)
-        exact = _cosines(x[best], vector)
-        for j in np.lexsort((best, -exact))[: settings.k + 1]:
-            i = int(best[j])
-            out.append((query_id, row, ids[i], float(exact[j]), ids[i] == query_id and bool((x[i] == vector).all())))
-    return out
+class Block:
+    """Rows of one length, coded, in order of their ids."""
+
+    def __init__(self, book: Codebook, ids: list[int | None], x: np.ndarray, settings: Settings) -> None:
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        self.book, self.settings = book, settings
+        self.ids, self.x = [ids[i] for i in order], x[order]
+        self.scaled = _scaled(self.x)
+        units = _units(self.x)
+        codes = book.codes(units)
+        self.length, self.cos, self.sin = book.bounds(units, codes)
+        if codes.shape[1] % 2:
+            codes = np.concatenate([codes, np.zeros_like(codes[:, :1])], 1)
+        self.packed = (codes[:, 0::2] | codes[:, 1::2] << 4).T.copy()
+
+    def search(self, queries: list[tuple[int, int]], q: np.ndarray) -> list[tuple]:
+        """(query id, query row, id, score, own) of the k + 1 nearest of this block for each query."""
+        ids, k, out = self.ids, self.settings.k, []
+        keep, place = min(len(ids), self.settings.rerank), np.arange(len(ids), dtype=np.int64)
+        for (query_id, row), own, vector, table, step, least in zip(queries, q, _scaled(q), *self.book.tables(_units(q)), strict=True):
+            score = np.zeros(len(ids), np.int64)
+            for byte, code in zip(table, self.packed, strict=True):
+                score += byte[code]
+            best = np.argpartition(place - (score << 32), keep - 1)[:keep]
+            if keep < len(ids):
+                floor = np.sort(_cosines(self.scaled[best], vector))[-k - 1] - SLACK if keep > k else -1.0
+                # The angle of query to code is at most that of query to row and that of row to code together.
+                need = np.where(self.cos > -floor, floor * self.cos - np.sqrt(max(0.0, 1 - floor * floor)) * self.sin, -1) * self.length - SLACK
+                best = np.flatnonzero(score * step + least >= need)
+            best = np.sort(best)
+            exact = _cosines(self.scaled[best], vector)
+            for j in np.lexsort((best, -exact))[: k + 1]:
+                i = int(best[j])
+                out.append((query_id, row, ids[i], float(exact[j]), ids[i] == query_id and bool((self.x[i] == own).all())))
+        return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The settings.k nearest rows of vectors for each row of queries; both have (vec_id, embedding).
 
-    (query_id, rank, vec_id, score). queries is assumed to be some rows of vectors.
+    (query_id, rank, vec_id, score). queries is assumed to be some rows of vectors. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    rows, asked = valid(vectors), valid(queries)
-    asked = asked.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
-    sizes = [r[0] for r in rows.select(F.size("v")).distinct().collect()]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = asked.count()
-    if not n:
-        return empty
-    found = None
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    blocks = -(-n // settings.block)
+    rows, asked = valid(vectors).withColumn("dims", F.size("v")), valid(queries)
+    asked = asked.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v")).withColumn("row", F.xxhash64("v"))
+    sizes = {r.dims: r["count"] for r in rows.groupBy("dims").count().collect()}
+    books = {}
     for dims in sizes:
-        of = rows.where(F.size("v") == dims)
-        sample = np.array([r.v for r in of.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).collect()])
-        book = fit(_units(sample)[0], settings)
-        for b in range(blocks):
-            block = asked.where((F.size("v") == dims) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", F.xxhash64("v").alias("row"), "v").collect()
-            if not block:
-                continue
-            # At most a block's share of the queries is here; the rows stay where they are.
-            keys, q = [(r.vec_id, r.row) for r in block], np.array([r.v for r in block])
-
-            def run(batches: Iterator[pa.RecordBatch], book=book, keys=keys, q=q) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if batch.num_rows:
-                        hits = _scan(book, batch.column(0).to_pylist(), _matrix(batch.column(1)), keys, q, settings)
-                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-                        yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names=columns)
-
-            part = of.mapInArrow(run, SCHEMA)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return empty
+        sample = rows.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).collect()
+        books[dims] = fit(_units(np.array([r.v for r in sample])), settings)
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    blocks = F.create_map(*(F.lit(x) for dims, n in sizes.items() for x in (dims, -(-n // settings.block))))[F.col("dims")]
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by dims, block and asked: each block's rows, and then the queries."""
+        key, ids, parts, block = None, [], [], None
+        for batch in batches:
+            at = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            ends = [k for k in range(1, len(at)) if at[k] != at[k - 1]] + [len(at)]
+            start = 0
+            for end in ends:
+                piece, (*own, asks) = batch.slice(start, end - start), at[start]
+                x = piece.column(5).flatten().to_numpy(zero_copy_only=False).reshape(end - start, -1)
+                if own != key:
+                    key, ids, parts, block = own, [], [], None
+                if not asks:
+                    ids += piece.column(3).to_pylist()
+                    parts.append(x)
+                elif ids:
+                    block = block or Block(books[own[0]], ids, np.concatenate(parts), settings)
+                    hits = block.search(list(zip(piece.column(3).to_pylist(), piece.column(4).to_pylist(), strict=True)), x)
+                    yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names=columns)
+                start = end
+
+    each = rows.select("dims", F.pmod(F.xxhash64("vec_id", "v"), blocks).alias("block"), F.lit(False).alias("asks"), "vec_id", F.lit(0).cast("long").alias("row"), "v")
+    streamed = asked.where(blocks.isNotNull()).select("dims", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "row", "v")
+    dealt = each.unionByName(streamed).repartition(common.partitions(spark), "dims", "block").sortWithinPartitions("dims", "block", "asks")
+    found = dealt.mapInArrow(common.lean(run, 256), FOUND)
     query = ("query_id", "query_row")
     order = (F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     # The own row is the first of those equal to the query in id and vector; it goes, and k others stay.
     marked = found.withColumn("own", F.col("own") & (F.row_number().over(Window.partitionBy(*query, "own").orderBy(*order)) == 1))
     ranked = marked.where("NOT own").withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(*order))).where(F.col("rank") <= settings.k)
-    copies = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query_row"), "copies")
+    copies = asked.select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), "copies")
     return ranked.join(copies, list(query)).select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 

@@ -47,7 +47,7 @@ def test_many_equal_vectors_give_the_smallest_ids(spark):
 
 def test_anisotropic_codes_lower_the_parallel_error():
     rnd = np.random.default_rng(2)
-    x = nn._units(rnd.normal(size=(2000, 32)))[0]
+    x = nn._units(rnd.normal(size=(2000, 32)))
 
     def parallel(threshold):
         book = nn.fit(x, nn.Settings(threshold=threshold))
@@ -78,11 +78,30 @@ def test_recall_among_thousands_of_near_copies(spark, noise):
 def test_bounds_hold_for_every_row():
     rnd = np.random.default_rng(6)
     for dims in (7, 64):
-        x = nn._units(np.concatenate([rnd.normal(size=(800, dims)), 1 + rnd.normal(size=(800, dims)) * 0.02]))[0]
+        x = nn._units(np.concatenate([rnd.normal(size=(800, dims)), 1 + rnd.normal(size=(800, dims)) * 0.02]))
         book = nn.fit(x)
         ids = list(range(len(x)))
         narrow = nn.Settings(rerank=6)
-        found = nn._scan(book, ids, x, [(i, 0) for i in ids[::40]], x[::40], narrow)
+        found = nn.Block(book, ids, x, narrow).search([(i, 0) for i in ids[::40]], x[::40])
         for i in ids[::40]:
             order = np.lexsort((ids, -nn._cosines(x, x[i])))[:6]
             assert [f[2] for f in found if f[0] == i] == order.tolist()
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 2e200, 3e200]), (1, [1.0, 2.0, 3.1]), (2, [3e-200, 2e-200, 1e-200]), (3, [1e-310, 2e-310, 3e-310]), (4, [1e308, -1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, nn.search(df, df.where("vec_id % 50 = 0")).collect()))
+    assert [r[2] for r in got] == [3, 1, 2, 4]
+    q = np.array([1.0, 2, 3]) / np.sqrt(14)
+    want = [1.0] + [float(np.array(v) @ q / np.sqrt(np.array(v) @ np.array(v))) for v in ([1.0, 2, 3.1], [3.0, 2, 1], [1.0, -1, 1])]
+    assert [r[3] for r in got] == pytest.approx(want, abs=1e-9)
+
+
+def test_many_vectors_under_one_id_and_many_blocks(spark):
+    rnd = np.random.default_rng(9)
+    x = rnd.normal(size=(700, 6)).astype(np.float32)
+    rows = [(50 if i % 2 else i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, nn.search(df, df.where("vec_id % 50 = 0"), nn.Settings(block=40, rerank=8)).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(brute(rows))]
