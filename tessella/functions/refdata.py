@@ -38,7 +38,7 @@ CONTROLLED_LABELS = ["material", "color", "colour", "finish", "mounting type", "
 #: Canonical value: its spellings in lower case.
 VALUES = {
     "Stainless Steel": ["stainless steel", "ss", "sst", "stainless-steel", "stainless", "stainless steel color"], "Steel": ["steel"], "Aluminum": ["aluminum", "aluminium", "alum"],
-    "Plastic": ["plastic"], "Polypropylene": ["polypropylene", "pp"], "ABS Plastic": ["abs", "abs plastic"], "Copper": ["copper"], "Brass": ["brass"], "Cast Iron": ["cast iron"], "Iron": ["iron"],
+    "Plastic": ["plastic"], "Polypropylene": ["polypropylene", "pp"], "ABS Plastic": ["abs", "abs plastic"], "Copper": ["copper"], "Brass": ["brass"], "Cast Iron": ["cast iron", "iron"],
     "Glass": ["glass"], "Tempered Glass": ["tempered glass"], "Rubber": ["rubber"], "Silicone": ["silicone"], "Nylon": ["nylon"], "Black": ["black"], "White": ["white"], "Silver": ["silver"],
     "Gray": ["gray", "grey"], "Red": ["red"], "Blue": ["blue"], "Green": ["green"], "Bronze": ["bronze"], "Nickel": ["nickel"], "Chrome": ["chrome"], "Brushed Nickel": ["brushed nickel"],
     "Leg": ["leg", "leg mounting"], "Built-in": ["built-in", "built in"], "Surface": ["surface"], "Recessed": ["recessed"], "Flush": ["flush"], "Semi-Flush": ["semi-flush"], "Pendant": ["pendant"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,24 +77,53 @@ def facts(reply: Column, known: list[str]) -> tuple[Column, Column]:
     return F.map_filter(all_, lambda k, v: v.isNotNull() & F.array_contains(named, k)), F.map_filter(all_, lambda k, v: v.isNotNull() & ~F.array_contains(named, k))
 
 
-def from_description(facts: Column, titled: bool = False) -> Column:
+def fact_label(name: Column) -> Column:
+    """A fact's label: its words in title case, at most 60 characters."""
+    parts = F.regexp_extract_all(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.left(F.array_join(F.transform(parts, F.initcap), ""), F.lit(60))
+
+
+def known_facts(facts: Column) -> Column:
+    """A map of facts without nulls and without what only tells where they come from."""
+    return F.map_filter(facts, lambda k, v: v.isNotNull() & ~k.isin("row_id", "source_desc", "extra_attributes"))
+
+
+def all_facts(facts: Column, extras: Column) -> Column:
+    """Known facts and extras in one map; an extra of the same name wins."""
+    return F.map_zip_with(known_facts(facts), F.coalesce(extras, F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+
+
+def no_facts(facts: Column, extras: Column) -> Column:
+    return (F.size(known_facts(facts)) == 0) & (F.coalesce(F.size(extras), F.lit(0)) <= 0)
+
+
+def from_description(facts: Column) -> Column:
     """Candidates from a map of facts: a trailing unit apart, no source, confidence 0.35. Names become labels."""
 
     def one(e: Column) -> Column:
         value, uom = split_value_unit(e["value"])
-        label = F.left(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(60))
-        return F.struct(label.alias("label"), value.alias("candidate_value"), uom.alias("candidate_uom"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("source_page"), F.lit(0.35).alias("confidence"))
+        return F.struct(fact_label(e["key"]).alias("label"), value.alias("candidate_value"), uom.alias("candidate_uom"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("source_page"), F.lit(0.35).alias("confidence"))
 
     return F.transform(F.filter(F.map_entries(facts), lambda e: F.length(strip(e["value"])) > 0), one)
 
 
+def keys(attributes: Column) -> Column:
+    """Normal forms of all labels; worth a column of its own where several lookups follow."""
+    return F.transform(F.coalesce(attributes, F.array().cast(f"array<{ATTRIBUTE}>")), lambda a: label_key(F.coalesce(a["label"], F.lit(""))))
+
+
+def position(keys: Column, *labels: str) -> Column:
+    """Index of the first attribute with one of the labels, or else of the first whose label holds one of
+    them or lies in one; null if there is none. No lambda runs where a label is met exactly."""
+    wanted = [" ".join(k.lower().split()) for k in labels]
+    exact = F.array_min(F.array(*(F.nullif(F.array_position(keys, F.lit(k)), F.lit(0).cast("long")) for k in wanted)))
+    alike = F.transform(keys, lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(k)) | F.contains(F.lit(k), x) for k in wanted)))
+    return F.coalesce(exact, F.nullif(F.array_position(alike, F.lit(True)), F.lit(0).cast("long"))).cast("int") - 1
+
+
 def find(attributes: Column, *labels: str) -> Column:
-    """The first attribute with one of the labels, or else the first whose label holds one of them or lies in one."""
-    keys = F.array(*(F.lit(" ".join(k.lower().split())) for k in labels))
-    label = lambda a: label_key(F.coalesce(a["label"], F.lit("")))
-    exact = F.filter(attributes, lambda a: F.array_contains(keys, label(a)))
-    near = F.filter(attributes, lambda a: let(label(a), lambda x: F.exists(keys, lambda k: F.contains(x, k) | F.contains(k, x))))
-    return F.coalesce(F.get(exact, F.lit(0)), F.get(near, F.lit(0)))
+    """The attribute at position()."""
+    return F.get(attributes, let(keys(attributes), lambda k: position(k, *labels)))
 
 
 def value_of(attributes: Column, *labels: str) -> Column:

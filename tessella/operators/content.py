@@ -10,25 +10,37 @@ from pyspark.sql import functions as F
 
 from tessella.functions import refdata
 from tessella.functions.text import clean_number, distinct_ignoring_case, english_list, join_parts, label_key, let, singular, strip, without_marks
-from tessella.operators.attributes import unit_of, value_of, value_with_unit
+from tessella.operators.attributes import keys, position
 
 _A = F.col
 MOUNT, CYCLES, VOLT, AMP = ("Mounting Type", "Mounting", "Mount"), ("Number of Wash Cycles", "Wash Cycles"), ("Voltage Rating", "Voltage"), ("Amperage Rating", "Amperage", "Current Rating")
 SOUND, DEPTH = ("Sound Level", "Noise Level"), ("Depth With Door Open", "Depth")
 
 
+#: Attribute lookups that the texts make, by name.
+LOOKUPS = {"mount": MOUNT, "cycles": CYCLES, "invoice_cycles": (*CYCLES, "Wash Cycle Count"), "material": ("Material",), "volt": VOLT, "amp": AMP, "depth": DEPTH, "sound": SOUND, "series": ("Series",), "color": ("Color", "Finish"), "size": ("Size",)}
+
+
 def with_parts(df: DataFrame) -> DataFrame:
-    """df and columns _p_*, everything that the texts use, looked up once."""
-    a = F.col("attributes")
+    """df and columns _p_*, everything that the texts use, looked up once.
+
+    Labels are normalised once, then each lookup is an index, a value and a unit in columns of
+    their own: nothing is copied into the expressions that use it.
+    """
     full = lambda c: F.nullif(strip(c), F.lit(""))
+    out = df.withColumn("_p_keys", keys(_A("attributes")))
+    out = out.withColumns({f"_p_at_{k}": position(_A("_p_keys"), *labels) for k, labels in LOOKUPS.items()})
+    out = out.withColumns({f"_p_{what}_{k}": full(F.get("attributes", _A(f"_p_at_{k}"))[field]) for k in LOOKUPS for what, field in (("value", "value"), ("unit", "uom"))})
+    value, unit = (lambda k: _A(f"_p_value_{k}")), (lambda k: _A(f"_p_unit_{k}"))
+    both = lambda k: F.when(value(k).isNotNull(), F.concat_ws(" ", value(k), unit(k)))
     kind = F.coalesce(full(_A("product_name")), F.nullif(singular(full(_A("fine"))), F.lit("")), full(_A("class_name")), full(_A("dept")))
     parts = {
         "type": kind, "manufacturer": full(_A("manufacturer_name")), "brand": full(_A("brand_name")), "mpn": full(_A("mpn")), "with": full(_A("with_value")),
-        "mount": value_of(a, *MOUNT), "cycles": clean_number(value_of(a, *CYCLES)), "invoice_cycles": clean_number(value_of(a, *CYCLES, "Wash Cycle Count")), "material": value_of(a, "Material"),
-        "volt": value_of(a, *VOLT), "volt_uom": unit_of(a, *VOLT), "amp": value_of(a, *AMP), "amp_uom": unit_of(a, *AMP), "depth": value_of(a, *DEPTH), "depth_uom": unit_of(a, *DEPTH),
-        "volts": value_with_unit(a, *VOLT), "amps": value_with_unit(a, *AMP), "sound": value_with_unit(a, *SOUND), "series": value_of(a, "Series"), "color": value_of(a, "Color", "Finish"), "size": value_of(a, "Size"),
+        "mount": value("mount"), "cycles": clean_number(value("cycles")), "invoice_cycles": clean_number(value("invoice_cycles")), "material": value("material"),
+        "volt": value("volt"), "volt_uom": unit("volt"), "amp": value("amp"), "amp_uom": unit("amp"), "depth": value("depth"), "depth_uom": unit("depth"),
+        "volts": both("volt"), "amps": both("amp"), "sound": both("sound"), "series": value("series"), "color": value("color"), "size": value("size"),
     }
-    return df.withColumns({f"_p_{k}": v for k, v in parts.items()})
+    return out.withColumns({f"_p_{k}": v for k, v in parts.items()})
 
 
 class Parts:

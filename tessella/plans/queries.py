@@ -361,7 +361,7 @@ def value_uom_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standin.part(spark, sf_dir).select("p_partkey", value.alias("value"), uom.alias("uom"))
 
 
-@query("SELECT p_partkey, 'pipe size' AS label, CAST(p_size AS VARCHAR) AS candidate_value, 'mm' AS candidate_uom, CAST(0.35 AS DOUBLE) AS confidence FROM part UNION ALL SELECT p_partkey, 'kind', p_type, NULL, CAST(0.35 AS DOUBLE) FROM part")
+@query("SELECT p_partkey, 'Pipe Size' AS label, CAST(p_size AS VARCHAR) AS candidate_value, 'mm' AS candidate_uom, CAST(0.35 AS DOUBLE) AS confidence FROM part UNION ALL SELECT p_partkey, 'Kind', p_type, NULL, CAST(0.35 AS DOUBLE) FROM part")
 def description_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.create_map(F.lit("pipe_size"), F.concat(F.col("p_size").cast("string"), F.lit(" mm")), F.lit("kind"), F.col("p_type"), F.lit("blank"), F.lit(" "))
     return standin.part(spark, sf_dir).select("p_partkey", F.inline(attributes.from_description(known))).select("p_partkey", "label", "candidate_value", "candidate_uom", "confidence")
@@ -436,9 +436,22 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("p_partkey", "confidence.overall", "confidence.status", "confidence.needs_review")
 
 
-@query()
+_PCT = lambda c, d: f"printf('%.{d}f%%', 100 * {c})"
+_QUOTED = "chr(39) || label || chr(39)"
+
+
+@query(f"""{_SCORED_SQL}, r AS (
+  SELECT p_partkey, 1 AS g, 0 AS pos, 'Overall confidence score (' || {_PCT("overall", 2)} || ') is LOW (< 60%)' AS reason FROM st WHERE status = 'LOW'
+  UNION ALL SELECT p_partkey, 2, 0, 'Manufacturer match confidence is low (' || {_PCT("(p_partkey % 100) / 99.0", 2)} || ')' FROM st WHERE (p_partkey % 100) / 99.0 < 0.7
+  UNION ALL SELECT p_partkey, 3, 0, 'Classification confidence is low (65.00%)' FROM st
+  UNION ALL SELECT p_partkey, 4, 0, count(*) || ' attribute(s) not LOV-matched: ' || array_to_string(list_slice(list({_QUOTED} ORDER BY pos), 1, 3), ', ') || CASE WHEN count(*) > 3 THEN ' (+' || (count(*) - 3) || ' more)' ELSE '' END FROM attr WHERE value IS NOT NULL AND NOT lov_matched GROUP BY p_partkey
+  UNION ALL SELECT p_partkey, 5, 0, 'UOM compliance rate is ' || {_PCT("unit", 1)} || ' (contains unapproved unit)' FROM st WHERE unit < 1
+  UNION ALL SELECT p_partkey, 6, 0, count(*) || ' attribute(s) lack source grounding' FROM attr WHERE value IS NOT NULL AND coalesce(source, '') = '' GROUP BY p_partkey
+  UNION ALL SELECT p_partkey, 7, pos, 'Attribute ' || {_QUOTED} || ' flagged with needs_review=True' FROM attr WHERE needs_review)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY g, pos) - 1 AS INT) AS n, reason FROM r""")
 def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("p_partkey", F.posexplode("confidence.reasons").alias("n", "reason"))
+    # The outer form: for the plain one Spark infers a filter, and copies all that the reasons rest on into it.
+    return _scored(spark, sf_dir).select("p_partkey", F.posexplode_outer("confidence.reasons").alias("n", "reason")).where("n IS NOT NULL")
 
 
 # -- Delivery --------------------------------------------------------------------------------------------------------
@@ -502,7 +515,7 @@ def structural_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.completeness(_complete(spark, sf_dir))
 
 
-@query()
+@query(_SCORED_SQL + "SELECT count(*) AS products, count(*) FILTER (WHERE status = 'HIGH') AS high, count(*) FILTER (WHERE status = 'LOW' OR flagged) AS needs_review, CAST(0 AS BIGINT) AS invalid, round(avg(lov), 4) AS lov_rate, round(avg(unit), 4) AS uom_rate, round(avg(ground), 4) AS grounding_rate, round(avg(overall), 4) AS confidence, (SELECT round(count(*) FILTER (WHERE trim(coalesce(source, '')) <> '') / count(*), 4) FROM attr WHERE trim(coalesce(value, '')) <> '') AS pooled_grounding, 1.0::DOUBLE AS field_accuracy, round(count(*) FILTER (WHERE status = 'LOW' OR flagged) / count(*), 4) AS review_share FROM st")
 def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.full_evaluation(_scored(spark, sf_dir), _products(spark, sf_dir).withColumn("brand_name", F.upper("brand_name")), "p_partkey", ["brand_name", "fine"])
 

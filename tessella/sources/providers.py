@@ -17,7 +17,9 @@ LEAST_TEXT = 50
 
 def fetched(sources: DataFrame, pages: DataFrame) -> DataFrame:
     """sources(url, ...) with status and text from a table pages(url, html): no PDF is read, short texts count as failed."""
-    texts = pages.groupBy("url").agg(F.first("html").alias("html")).join(sources.select("url").distinct(), "url", "left_semi").select("url", html_text("html").alias("_text"))
+    wanted = pages.join(sources.select("url").distinct(), "url", "left_semi")
+    # Of several pages under one url the one of the least text stays, so that every run gives the same.
+    texts = wanted.groupBy("url").agg(F.min("html").alias("html")).select("url", html_text("html").alias("_text"))
     joined = sources.join(texts, "url", "left")
     pdf = F.lower("url").endswith(".pdf")
     ok = ~pdf & (F.length("_text") > LEAST_TEXT)

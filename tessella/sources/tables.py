@@ -10,7 +10,6 @@ from tessella.operators.catalogue import HeaderReport, find_column, normalise_co
 from tessella.operators.delivery import complete, flat_attributes
 
 READERS = {"csv": "csv", "parquet": "parquet", "json": "json"}
-LARGEST_UPLOAD = 50 * 1024 * 1024
 
 
 def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, HeaderReport]:
@@ -51,6 +50,11 @@ def read_master(df: DataFrame, kind: str) -> DataFrame:
     return out.where("name <> ''") if kind == "brand" else out.where("name IS NOT NULL")
 
 
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Expected values, all as text; blanks are empty, not null."""
+    return spark.read.csv(path, header=True, inferSchema=False).na.fill("")
+
+
 def read_products(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, multiLine=True)
 

@@ -24,10 +24,11 @@ def enrich_uploads(spark: SparkSession, folder: str, checkpoint: str, out: str,
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_decisions(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Streaming (key, decision, at): the last valid decision so far; state older than the watermark's hour windows is given up."""
-    valid = events.where(F.col("decision").isin(DECISIONS) & F.col("key").isNotNull()).withWatermark("at", late)
-    return valid.groupBy(F.window("at", "1 hour"), "key").agg(F.max_by("decision", "at").alias("decision"), F.max("at").alias("at"))
+def last_decisions(events: DataFrame) -> DataFrame:
+    """Streaming (key, decision, at): the last valid decision of a key so far, whenever it was made; for the
+    output modes update and complete. State is one row a key, as the current state of reviews must keep."""
+    valid = events.where(F.col("decision").isin(DECISIONS) & F.col("key").isNotNull() & F.col("at").isNotNull())
+    return valid.groupBy("key").agg(F.max_by("decision", "at").alias("decision"), F.max("at").alias("at"))
 
 
 def progress(query: StreamingQuery) -> dict:
