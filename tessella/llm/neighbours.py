@@ -50,7 +50,7 @@ class Settings:
     threshold: float = 0.2
     rounds: int = 6
     rerank: int = 128
-    block: int = 8192
+    block: int = 4096
 
 
 @dataclass(frozen=True)
