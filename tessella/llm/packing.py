@@ -36,7 +36,8 @@ GROUP_TOKENS = LENGTH * 1024
 #: Cost of n tokens of one document: n + n * n / QUADRATIC.
 QUADRATIC = 1024
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-MEMO, MEMO_WORD = 200_000, 64
+#: Words that a worker remembers at most, twice over, and their greatest length; fewer where it has served other stages.
+MEMO, MEMO_WORD, MEMO_STAGE = 600_000, 64, 50_000
 
 
 def _simple(last: str) -> bool:
@@ -199,7 +200,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of docs, as op10_packing gives them; the last stage, so with columns of its own. Null text
     gives one piece, repeated rows their own pieces each, an empty table none. A worker has served other
     stages before, so it remembers fewer words."""
-    return op10_of(docs, MEMO // 4)
+    return op10_of(docs, MEMO_STAGE)
 
 
 def op10_of(docs: DataFrame, memo: int = MEMO) -> DataFrame:
