@@ -13,8 +13,8 @@ together that consist of them to a large part. Two rounds follow.
    number at a time; a signature tree over each lot (nodes hold the OR of token bitmaps, and
    the range of set sizes) is traversed against itself. Node pairs whose greatest possible
    overlap is too small are cut off, as are those that are linked already; what is left is
-   compared exactly. Large lots are dealt in parts, and one set of each group that the parts
-   have found goes on to a lot of such sets. This joins most copies, and need not be complete.
+   compared exactly. Large lots are dealt in parts, and some sets of each group that the parts
+   have found go on to a lot of such sets. This joins most copies, and need not be complete.
 2. Within each prefix token's group the same traversal runs over the members that round 1
    left apart. Groups beyond a bound are cut into blocks; members of the group's main label
    meet only the others. Pairs that the trees can't rule out, and that met in as many tokens as
@@ -51,13 +51,14 @@ _ONE = np.uint64(1)
 class Settings:
     """Shingles of words; links at percent; often: classes beyond which a token is hot; lot, part and
     block bound what a task holds at once in rounds 1 and 2, carried what a lot keeps from one
-    filling to the next; leaf is the size of a tree's leaves."""
+    filling to the next, and heads how many of a group's sets go on from a part to the next level; leaf is the size of a tree's leaves."""
 
     words: int = 4
     percent: int = 85
     often: int = 64
     lot: int = 384
-    part: int = 1024
+    part: int = 4096
+    heads: int = 16
     carried: int = 64
     block: int = 1024
     leaf: int = 32
@@ -334,8 +335,10 @@ def _first_round(docs: DataFrame, one: DataFrame, s: Settings) -> DataFrame:
     out = common.materialise(_round1(_texts(docs, rows), s))
     level = out
     while not (large := rows.where("parts > 1")).isEmpty():
-        # A label stands for what its part has joined; parts are closed, so labels of one part meet once more at most.
-        heads = level.where("bits IS NOT NULL AND key = label").select("key")
+        # Some sets of each group stand for what a part has joined; of sets that were joined with none, each for itself.
+        groups = level.where("bits IS NOT NULL")
+        sizes = groups.groupBy("label").agg(F.greatest(F.lit(1), F.floor(F.count("*") / s.heads)).alias("share"))
+        heads = groups.join(sizes.hint("merge"), "label").where((F.col("key") == F.col("label")) | (F.pmod(F.xxhash64("key", F.lit(11)), F.col("share")) == 0)).select("key")
         left = common.materialise(large.drop("parts", "part").join(heads.hint("merge"), "key"), tidy=False)
         if left.count() >= large.count():
             break  # nothing was joined: the same lots would come again
