@@ -20,6 +20,7 @@ _MODULES = {
     "op8_quality_rules": "quality",
     "op9_jaccard_join": "jaccard",
     "op10_packing": "packing",
+    "op11_alignment": "alignment",
     "op12_source_divergence": "divergence",
     "op13_trie_bpe": "trie",
 }
