@@ -41,15 +41,16 @@ MEMO, MEMO_WORD, MEMO_STAGE = 600_000, 64, 50_000
 
 
 def _simple(last: str) -> bool:
-    """Latin letters and digits below U+0250: normal as they are, and of simple lower case."""
+    """Latin letters and digits below U+0250, or nothing: normal as they are, and of simple lower case."""
     return last < "\u0250" and last != "\u0130"
 
 
 def _stem(word: str) -> tuple[str, str]:
     """A word with a small first letter and without one closing mark, and the mark: the vocabulary
     is lower case, and a lone mark after a letter or digit is apart. Normal forms and lower case of
-    some letters end in a combining mark, which would join it, so only _simple() ones count."""
-    if "A" <= word[:1] <= "Z":
+    some letters end in a combining mark, which would join it, so only _simple() ones count. Likewise
+    a capital before a combining mark stays: the two may have a normal form that the small letter hasn't."""
+    if "A" <= word[:1] <= "Z" and _simple(word[1:2]):
         word = word[0].lower() + word[1:]
     if word[-1:] in (".", ",") and word[-2:-1].isalnum() and _simple(word[-2]):
         return word[:-1], word[-1]

@@ -79,3 +79,13 @@ def test_marks_and_combining_letters_equal_the_library():
     texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 24))) for _ in range(40_000)]
     for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == e.ids, repr(t)
+
+
+def test_every_capital_with_every_mark_equals_the_library():
+    lib, own = library(), p.WordEncoder(PATH)
+    pairs = [chr(c) + chr(m) for c in (*range(65, 91), *range(97, 123), 0xC0, 0xD8, 0x130, 0x3A9) for m in range(0x300, 0x370)]
+    marks = "\u0308\u0301\u0331\u030c\u030a\u0327\u0323\u0307"
+    pairs += [chr(c) + a + b for c in range(65, 91) for a in marks for b in marks]
+    texts = pairs + [f"In {x}otem, {x}. a{x}b {x}{x}\n{x}, end" for x in pairs]
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == e.ids, repr(t)
