@@ -1,17 +1,19 @@
 """License scans by conditional compression.
 
 Blocks of lines that speak of licences are looked at through windows little longer than each
-template; a window that lacks more of a template's words than may differ is passed over. The
-rest are confirmed or refused by their exact wording: every word that the template has and
-the window lacks, or the other way round inside the match, counts as a difference, and the
-words that tell a licence from its relatives must all be there. What is confirmed is
-compressed plainly, and with the template as a raw zstandard dictionary in front: of templates
-that match alike, what they save relative to their own size ranks them. Neither the text
-around a licence nor its rank decides whether its wording is compared. Spans are code points,
-end exclusive.
-
-Null text counts as empty text: no licences. Every row gives one row; other columns are not
-read. All blocks of a text are looked at, however long it is, and all licences of a block or line.
+template; a window that lacks more of a template's words than may differ can't hold it. In the
+others the template's place is found, and what stands there is compressed plainly and with the
+template as a raw zstandard dictionary in front. The size reductions rank all templates and
+places of a block; in that order they are confirmed or refused by exact wording: every word
+that the template has and the place lacks, or the other way round inside it, counts as a
+difference, and the words that tell a licence from its relatives must all be there. Of
+confirmed ones that overlap, the one that saves most is reported, so a longer text with small
+edits goes before its unedited part. No reduction is too small to be looked at. Spans are code
+points, end exclusive.
+
+Null text counts as empty text: no licences. Every row gives one row, repeated rows each their
+own; other columns are not read, and an empty table gives no rows. All blocks of a text are
+looked at, however long it is, and all licences of a block or line.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
@@ -48,6 +52,20 @@ class Template:
     must: tuple[str, ...] = ()
 
 
+#: Identifiers as SPDX spells them; fixed values.
+_SPDX = ("0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib")
+_WORD = re.compile(r"[A-Za-z0-9]+")
+
+
+def _words(text: str) -> list[str]:
+    return [m[0].lower() for m in _WORD.finditer(text)]
+
+
+def read_templates(folder: str) -> tuple[Template, ...]:
+    """Whole licence texts from a folder of the driver: each NAME.txt is the template of licence NAME."""
+    return tuple(Template(f.stem, f.read_text(encoding="utf-8")) for f in sorted(Path(folder).glob("*.txt")))
+
+
 def _notices() -> list[Template]:
     out = [
         Template("mit", _MIT, ("sublicense", "sell", "noninfringement")),
@@ -72,6 +90,13 @@ def _notices() -> list[Template]:
         ("mpl-2.0", "Mozilla Public License, version 2.0.", ("mozilla", "2", "0")),
     )
     out += [Template(name, start + rest, must) for name, rest, must in short for start in lead]
+    for mark, name in (("GPL", "gpl"), ("LGPL", "lgpl"), ("AGPL", "agpl")):
+        for version in ("2", "2.1", "3") if mark == "LGPL" else ("2", "3") if mark == "GPL" else ("3",):
+            full = f"{name}-{version}" if "." in version else f"{name}-{version}.0"
+            for form in (f"{mark} v{version}", f"{mark}v{version}", f"{mark} {version}", f"{mark} version {version}", f"{mark}-{version}"):
+                out += [Template(full, f"{start}{form}", tuple(_words(form))) for start in ("under ", "under the ")]
+    for mark in _SPDX:
+        out.append(Template(mark.lower(), f"SPDX-License-Identifier: {mark}", tuple(_words(f"spdx identifier {mark}"))))
     for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
         for version in ("3.0", "4.0"):
             must = ("cc", *kind.lower().split("-"), *version.split("."))
@@ -82,33 +107,41 @@ def _notices() -> list[Template]:
 @dataclass(frozen=True)
 class Settings:
     """differences: largest share of a template's words that may differ; gap: lines without a sign
-    of a licence inside a block; long: words of a template that may run over lines."""
+    of a licence inside a block; long: words of a template that may run over lines; more: templates
+    besides TEMPLATES, such as read_templates() gives."""
 
     differences: float = 0.10
     gap: int = 6
     long: int = 40
     level: int = 3
+    more: tuple[Template, ...] = ()
 
 
-TEMPLATES = _notices()
-_SIGN = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|unencumbered", re.I | re.A)
-_WORD = re.compile(r"[A-Za-z0-9]+")
-_packers: dict[int, list] = {}
+TEMPLATES = tuple(_notices())
+_SIGN = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|unencumbered|gpl", re.I | re.A)
 
 
-def _compressors(level: int) -> list:
-    if level not in _packers:
+class Library:
+    """Templates with their words, and compressors primed with each."""
+
+    def __init__(self, templates: tuple[Template, ...], level: int) -> None:
         plain = dict(level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
-        _packers[level] = [zstandard.ZstdCompressor(**plain)] + [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain) for t in TEMPLATES]
-    return _packers[level]
+        self.templates = templates
+        self.words = [_words(t.text) for t in templates]
+        self.counts = [Counter(w) for w in self.words]
+        self._plain = zstandard.ZstdCompressor(**plain)
+        self._primed = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain) for t in templates]
 
+    def saved(self, text: str, k: int) -> int:
+        """Bytes by which template k in front makes the compressed text smaller."""
+        data = text.encode()
+        return len(self._plain.compress(data)) - len(self._primed[k].compress(data))
 
-def _words(text: str) -> list[str]:
-    return [m[0].lower() for m in _WORD.finditer(text)]
 
-
-_TEMPLATE_WORDS = [_words(t.text) for t in TEMPLATES]
-_TEMPLATE_COUNTS = [Counter(w) for w in _TEMPLATE_WORDS]
+@cache
+def library(templates: tuple[Template, ...], level: int) -> Library:
+    """One for each worker process."""
+    return Library(templates, level)
 
 
 def blocks(text: str, gap: int) -> list[tuple[int, int]]:
@@ -169,29 +202,36 @@ def _windows(words: list[str], counts: Counter, size: int, most: int) -> Iterato
             yield start
 
 
-def _saved(text: str, k: int, level: int) -> float:
-    """Bytes that template k saves of the compressed text, relative to what the template takes itself."""
-    plain, *primed = _compressors(level)
-    data = text.encode()
-    return (len(plain.compress(data)) - len(primed[k].compress(data))) / len(plain.compress(TEMPLATES[k].text.encode()))
-
-
 def judge(block: str, s: Settings = Settings(), least: int = 0) -> list[tuple[int, str, int, int]]:
-    """(differences, name, start, end) of all confirmed matches in a block, best first; they may overlap;
-    templates of least words or more."""
+    """(differences, name, start, end) of all confirmed matches in a block, by size reduction, greatest first;
+    they may overlap; templates of least words or more."""
+    held = library(TEMPLATES + s.more, s.level)
     places = [m.span() for m in _WORD.finditer(block)]
-    words, found = _words(block), set()
-    distinct = set(words)
-    for k, (t, want) in enumerate(zip(TEMPLATES, _TEMPLATE_WORDS, strict=True)):
+    words = _words(block)
+    distinct, located = set(words), []
+    for k, (t, want) in enumerate(zip(held.templates, held.words, strict=True)):
         if len(want) < least or not distinct.issuperset(t.must):
             continue
         most = int(s.differences * len(want) + 0.5)
-        for at in _windows(words, _TEMPLATE_COUNTS[k], len(want), most):
+        own = set()
+        for at in _windows(words, held.counts[k], len(want), most):
             n, missing, first, last = differences(words[at : at + len(want) + 2 * most], want)
-            if n <= most and not missing.intersection(t.must):
-                a, b = places[at + first][0], places[at + last][1]
-                found.add((n, -len(want), -_saved(block[a:b], k, s.level), t.name, a, b))
-    return [(n, name, a, b) for n, _, _, name, a, b in sorted(found)]
+            if last >= first:
+                own.add((n > most or bool(missing.intersection(t.must)), n, places[at + first][0], places[at + last][1]))
+        # Windows that overlap see one place cut differently: the cut with the fewest differences is that place.
+        taken: list[tuple[int, int]] = []
+        located += [(k, *place) for place in sorted(own) if _free(taken, *place[2:])]
+    ranked = sorted(located, key=lambda x: (-held.saved(block[x[3] : x[4]], x[0]), x[2], -len(held.words[x[0]]), held.templates[x[0]].name, x[3]))
+    return [(n, held.templates[k].name, a, b) for k, refused, n, a, b in ranked if not refused]
+
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Takes (a, b) into the sorted list of spans if it overlaps none of them."""
+    k = bisect_left(taken, (a, b))
+    free = (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0])
+    if free:
+        taken.insert(k, (a, b))
+    return free
 
 
 def _take(text: str, start: int, end: int, s: Settings, least: int = 0) -> tuple[list[tuple[str, int, int, int]], list[tuple[int, int]]]:
@@ -203,9 +243,7 @@ def _take(text: str, start: int, end: int, s: Settings, least: int = 0) -> tuple
         taken: list[tuple[int, int]] = []
         for n, name, x, y in judge(text[start:end], s, least) if _SIGN.search(text, start, end) else ():
             a, b = start + x, start + y
-            k = bisect_left(taken, (a, b))
-            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
-                taken.insert(k, (a, b))
+            if _free(taken, a, b):
                 out.append((name, a, b, n))
         if taken:
             todo += [(a, b) for a, b in zip([start] + [y for _, y in taken], [x for x, _ in taken] + [end], strict=True) if a < b]

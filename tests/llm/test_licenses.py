@@ -76,3 +76,70 @@ def test_every_licence_of_a_block_and_of_a_line_is_found():
     line = "Licensed under the MIT License. Or: Licensed under the Apache License, Version 2.0. Docs: Licensed under CC BY 4.0. Again: Licensed under the MIT License."
     assert [f[0] for f in lic.scan(line)] == ["mit", "apache-2.0", "cc-by-4.0", "mit"]
     assert [f[0] for f in lic.scan(f"{wrapped('isc')} {line}\n{wrapped('mit')}")] == ["isc", "mit", "apache-2.0", "cc-by-4.0", "mit", "mit"]
+
+
+def test_size_reduction_chooses_between_confirmed_templates(monkeypatch):
+    """An edited text of the longer licence holds the unedited shorter one: by differences alone the shorter would win."""
+    words = next(t.text for t in lic.TEMPLATES if t.name == "bsd-3-clause").replace("copyright holder", "company").replace("specific prior", "prior").split()
+    text = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+    assert [f[0] for f in lic.scan(text)] == ["bsd-3-clause"] and lic.scan(text)[0][3] > 0
+    monkeypatch.setattr(lic.Library, "saved", lambda self, text, k: 0)
+    assert [f[0] for f in lic.scan(text)] == ["bsd-2-clause"]
+
+
+@pytest.mark.parametrize("mark", ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "BSD-3-Clause", "CC0-1.0", "MIT-0"])
+def test_spdx_lines(mark):
+    for text in (f"# SPDX-License-Identifier: {mark}", f"/* code */\n// spdx-license-identifier: {mark}\nint x;", f"{_prose(30, 1)} SPDX-License-Identifier: {mark} {_prose(30, 2)}"):
+        assert [f[0] for f in lic.scan(text)] == [mark.lower()]
+
+
+def test_short_forms():
+    for text, name in (("Released under GPL v2", "gpl-2.0"), ("This is under the GPLv3.", "gpl-3.0"), ("distributed under LGPL v2.1 or so", "lgpl-2.1"), ("under AGPL-3", "agpl-3.0")):
+        assert [f[0] for f in lic.scan(text)] == [name], text
+
+
+def test_further_templates(tmp_path):
+    own = " ".join(f"clause{i} grants permission {i * 7}" for i in range(60))
+    (tmp_path / "house-1.0.txt").write_text(own)
+    settings = lic.Settings(more=lic.read_templates(str(tmp_path)))
+    text = f"Intro\n{own.replace('clause9 ', 'section9 ')}\nLicensed under the MIT License."
+    assert [(f[0], f[3]) for f in lic.scan(text, settings)] == [("house-1.0", 1), ("mit", 0)] and [f[0] for f in lic.scan(text)] == ["mit"]
+
+
+def brute(text, s):
+    """Every template at every window of a one-block text of long templates, the one that saves most first."""
+    held = lic.library(lic.TEMPLATES, s.level)
+    places, words, found = [m.span() for m in lic._WORD.finditer(text)], lic._words(text), []
+    for k, want in enumerate(held.words):
+        most = int(s.differences * len(want) + 0.5)
+        own = set()
+        if len(want) < s.long:
+            continue
+        for at in range(max(1, len(words) - len(want) + most + 1)):
+            n, missing, a, b = lic.differences(words[at : at + len(want) + 2 * most], want)
+            if b >= a and n <= most and not missing.intersection(held.templates[k].must):
+                own.add((n, places[at + a][0], places[at + b][1]))
+        for n, a, b in sorted(own):
+            if all(b <= x or y <= a for j, _, x, y in found if j == k):
+                found.append((k, n, a, b))
+    out = []
+    for k, n, a, b in sorted(found, key=lambda x: (-held.saved(text[x[2] : x[3]], x[0]), x[1])):
+        if all(b <= y or z <= a for _, y, z, _ in out):
+            out.append((held.templates[k].name, a, b, n))
+    return sorted(out, key=lambda f: f[1])
+
+
+def test_equals_brute_force():
+    rnd = random.Random(7)
+    long = [t for t in lic.TEMPLATES if len(lic._words(t.text)) >= lic.Settings().long]
+    for seed in range(24):
+        parts = [_prose(12, 100 + seed)]
+        for t in rnd.sample(long, 2):
+            words = t.text.split()
+            for _ in range(rnd.choice([0, 2, len(words) // 14, len(words) // 5])):
+                words[rnd.randrange(len(words))] = rnd.choice(["other", "words", ""])
+            parts += [" ".join(words), _prose(rnd.randint(3, 40), seed)]
+        text = " ".join(" ".join(parts).split())
+        got = [f for f in lic.scan(text) if any(f[0] == t.name for t in long) and f[2] - f[1] > 200]
+        want = [f for f in brute(text, lic.Settings())]
+        assert [(f[0], f[3]) for f in got] == [(f[0], f[3]) for f in want]
