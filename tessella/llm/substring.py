@@ -96,7 +96,8 @@ _PIECES = "anchor long, piece long, segment long, place int, weight long, words
 
 
 def _texts(rows: DataFrame, s: Settings, wide: bool) -> DataFrame:
-    """rows(text, wanted: array of (anchor, segment, weight)): the wanted segments' words, or those of each of their windows."""
+    """rows(id, text, wanted: array of (anchor, segment, weight)): the wanted segments' words, or those of each of their windows.
+    Equal rows have equal ids; most of them are passed over here, and what is left of them where pieces are looked up."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
     names = [c.split()[0] for c in _PIECES.split(", ")]
 
@@ -109,8 +110,14 @@ def _texts(rows: DataFrame, s: Settings, wide: bool) -> DataFrame:
             out = []
             return made
 
+        met: set[int] = set()
         for batch in batches:
-            for text, wanted in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key in met:
+                    continue
+                if len(met) >= 100_000:
+                    met.clear()
+                met.add(key)
                 words = (text or b"").split()
                 want = {w["segment"]: w for w in wanted}
                 first, count, _, g = segments(words, s)
@@ -131,7 +138,7 @@ def _texts(rows: DataFrame, s: Settings, wide: bool) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return rows.select("text", "wanted").mapInArrow(common.lean(run, 256), _PIECES)
+    return rows.select("id", "text", "wanted").mapInArrow(common.lean(run, 256), _PIECES)
 
 
 Lookup = Callable[[list[tuple[int, list[bytes]]], np.ndarray, Settings], list[int]]
@@ -145,8 +152,9 @@ def by_index(held: list[tuple[int, list[bytes]]], weights: np.ndarray, s: Settin
 
 
 def _looked_up(rows: DataFrame, s: Settings, lookup: Lookup) -> DataFrame:
-    """Shards of rows(anchor, piece, weight, words), sorted by anchor: (anchor, piece, mask) of pieces with repeated windows.
-    All pieces of an anchor that may hold equal windows must be in one shard: s.wide at most, or windows that are all different."""
+    """Shards of rows(anchor, piece, weight, words), sorted by anchor and piece: (anchor, piece, mask) of pieces with repeated windows.
+    A piece that comes again, from an equal row, is passed over. All different pieces of an anchor that may hold equal windows
+    must be in one shard: s.wide at most, or windows that are all different."""
 
     def search(held: list[tuple]) -> pa.RecordBatch:
         masks = lookup([(r[0], r[3].split(b" ")) for r in held], np.array([r[2] for r in held], np.int64), s)
@@ -154,9 +162,12 @@ def _looked_up(rows: DataFrame, s: Settings, lookup: Lookup) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], names=["anchor", "piece", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, anchor, pieces = [], 0, None, 0
+        held, words, anchor, pieces, before = [], 0, None, 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row == before:
+                    continue
+                before = row
                 pieces = pieces + 1 if row[0] == anchor else 1
                 if (row[0] != anchor or pieces > s.wide) and words >= s.shard:
                     yield search(held)
@@ -194,7 +205,7 @@ def _repeats(docs: DataFrame, s: Settings, lookup: Lookup) -> DataFrame:
         return _texts(common.split(docs, wanted.select("id"), ["id"])[0].join(wanted, "id"), s, windows)
 
     whole = pieces(different.join(wide.hint("merge"), "anchor", "left_anti") if some else different, False)
-    masks = _looked_up(whole.repartition(n, "anchor").sortWithinPartitions("anchor"), s, lookup).select("anchor", F.col("piece").alias("segment"), "mask")
+    masks = _looked_up(whole.repartition(n, "anchor").sortWithinPartitions("anchor", "piece"), s, lookup).select("anchor", F.col("piece").alias("segment"), "mask")
     if some:
         cut = common.materialise(pieces(different.join(wide.hint("merge"), "anchor"), True))
         each = cut.groupBy("anchor", "piece", "words").agg(F.sum("weight").alias("weight"))

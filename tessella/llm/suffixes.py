@@ -6,7 +6,8 @@ what follows, compares neighbours, and for every length that neighbours share so
 that share it by what precedes, so that each match is extended left as far as any other place
 allows. A window is repeated if some match reaches over it on both sides; so none is missed.
 
-Null text has no words. Repeated rows repeat each other. Other columns are not read.
+Null text has no words; an empty table gives no rows. Repeated rows repeat each other. Other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -82,3 +82,13 @@ def test_stage(spark):
     out = s.stage(spark, docs, "")
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("start end", 9), 2: ("", 0), 3: ("clean\n text", 11), 4: (None, None)}
+
+
+@pytest.mark.parametrize("settings", [s.Settings(width=4, anchor=2, shard=1, wide=3), s.Settings(width=4, anchor=2, shard=50, wide=3), s.Settings(width=4)])
+def test_many_equal_rows_hide_no_repeat_of_others(spark, settings):
+    """One row 40 times, beside others that share a passage with it or only with each other."""
+    shared, lone = "a b c d e f", "p q r s t u"
+    rows = [(1, f"x1 {shared} y1")] * 40 + [(2, f"k1 {shared} k6"), (3, f"k2 {shared} k7"), (4, f"m1 {lone} m2"), (5, f"m3 {lone} m4")] + [(6, " ".join(f"w{i}" for i in range(9)))] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = Counter((r.n_words, r.n_removed, bytes(r.kept)) for r in s.removed(docs, settings).collect())
+    assert got == Counter(brute([t for _, t in rows], settings.width))

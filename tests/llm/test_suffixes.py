@@ -52,3 +52,13 @@ def test_neighbours_equal_counting():
 def test_empty_table(spark):
     assert suffixes.passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert common.partitions(spark) == 4
+
+
+@pytest.mark.parametrize("settings", [substring.Settings(width=4, anchor=2, shard=1, wide=3), substring.Settings(width=4)])
+def test_many_equal_rows_hide_no_repeat_of_others(spark, settings):
+    shared = "a b c d e f"
+    rows = [(1, f"x1 {shared} y1")] * 40 + [(2, f"k1 {shared} k6"), (3, f"k2 {shared} k7")]
+    words = [t.encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + settings.width]) for w in words for i in range(len(w) - settings.width + 1))
+    got = Counter((r.n_words, r.n_repeated, tuple((x.start, x.end) for x in r.spans)) for r in suffixes.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), settings).collect())
+    assert got == Counter(brute(w, seen, settings.width) for w in words)
