@@ -84,7 +84,7 @@ def test_stage(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: ("start end", 9), 2: ("", 0), 3: ("clean\n text", 11), 4: (None, None)}
 
 
-@pytest.mark.parametrize("settings", [s.Settings(width=4, anchor=2, shard=1, wide=3), s.Settings(width=4, anchor=2, shard=50, wide=3), s.Settings(width=4)])
+@pytest.mark.parametrize("settings", [s.Settings(width=4, anchor=2, shard=1, wide=3), s.Settings(width=4, anchor=2, shard=50, wide=3), s.Settings(width=4, anchor=2)])
 def test_many_equal_rows_hide_no_repeat_of_others(spark, settings):
     """One row 40 times, beside others that share a passage with it or only with each other."""
     shared, lone = "a b c d e f", "p q r s t u"

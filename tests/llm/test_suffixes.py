@@ -54,7 +54,7 @@ def test_empty_table(spark):
     assert common.partitions(spark) == 4
 
 
-@pytest.mark.parametrize("settings", [substring.Settings(width=4, anchor=2, shard=1, wide=3), substring.Settings(width=4)])
+@pytest.mark.parametrize("settings", [substring.Settings(width=4, anchor=2, shard=1, wide=3), substring.Settings(width=4, anchor=2)])
 def test_many_equal_rows_hide_no_repeat_of_others(spark, settings):
     shared = "a b c d e f"
     rows = [(1, f"x1 {shared} y1")] * 40 + [(2, f"k1 {shared} k6"), (3, f"k2 {shared} k7")]
