@@ -2,36 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import refdata
 from tessella.functions.text import strip
-from tessella.functions.udfs import similarity
 from tessella.operators import resolve
 
 #: Confidence of a model's choice of a name, and of a class.
-NAME_CONFIDENCE, CLASS_CONFIDENCE = 0.80, 0.82
-#: (id, options array<string>) to (id, answer); stands for the service, none by default.
-Chooser = Callable[[DataFrame], DataFrame]
-
-
-def options(values: DataFrame, master: DataFrame, k: int = 5) -> DataFrame:
-    """values(raw), those that all rungs have left, to (id, options): the k most similar names of a master list, best first."""
-    scored = values.join(master.select("name", "ordinal")).withColumn("score", F.round(similarity(F.lower("raw"), F.lower("name")), 4))
-    rank = F.row_number().over(Window.partitionBy("raw").orderBy(F.desc("score"), "ordinal"))
-    best = scored.withColumn("rank", rank).where(F.col("rank") <= k)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])
-    return best.groupBy(F.col("raw").alias("id")).agg(listed.alias("options"))
+NAME_CONFIDENCE, CLASS_CONFIDENCE = resolve.CHOSEN, 0.82
+Chooser = resolve.Chooser
+options = resolve.options
 
 
 def chosen(asked: DataFrame, choose: Chooser | None, confidence: float = NAME_CONFIDENCE) -> DataFrame:
     """asked(id, options) to (id, name, confidence, method): the option that the answer names, but for case
     and blanks around it. An answer that is no option is worth nothing, as is no answer."""
     none = asked.select("id", F.lit(None).cast("string").alias("answer"))
-    answers = (choose(asked) if choose else none).groupBy("id").agg(F.first("answer", ignorenulls=True).alias("answer"))
+    answers = resolve.first_answers(choose(asked) if choose else none)
     both = asked.join(answers, "id", "left")
     said = F.lower(strip("answer"))
     name = F.get(F.filter("options", lambda o: F.lower(o) == said), F.lit(0))
@@ -43,11 +31,11 @@ def brand_or_null(c: str):
     return F.when(~F.lower(strip(c)).isin(refdata.BRAND_PLACEHOLDERS), strip(c))
 
 
-def best_of(df: DataFrame, columns: list[str], master: DataFrame, reject: float = 0.72, review: float = 0.85) -> DataFrame:
+def best_of(df: DataFrame, columns: list[str], master: DataFrame, reject: float = 0.72, review: float = 0.85, choose: Chooser | None = None) -> DataFrame:
     """df and best_match: what the first of the columns that resolves gives, or else unresolved."""
     out = df
     for c in columns:
-        out = resolve.resolve(out.withColumn(c, brand_or_null(c)), c, master, reject, review, False)
+        out = resolve.resolve(out.withColumn(c, brand_or_null(c)), c, master, reject, review, False, choose)
     hits = [F.when(F.col(f"{c}_match.name").isNotNull(), F.col(f"{c}_match")) for c in columns]
     return out.withColumn("best_match", F.coalesce(*hits, F.col(f"{columns[0]}_match"))).drop(*(f"{c}_match" for c in columns))
 

@@ -133,8 +133,8 @@ def abbreviation_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- Resolution ------------------------------------------------------------------------------------------------------
-_RAW_BRANDS = ("CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN upper(replace(p_brand, '#', '  ')) WHEN 2 THEN concat('-', p_brand, '.') ELSE concat(p_brand, ' Company of Nowhere') END")
-_RAW_SQL = "raws AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN upper(replace(p_brand, '#', '  ')) WHEN 2 THEN concat('-', p_brand, '.') ELSE concat(p_brand, ' Company of Nowhere') END AS raw FROM part)"
+_RAW_BRANDS = ("CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN upper(replace(p_brand, '#', '  ')) WHEN 2 THEN concat('-', p_brand, '.') WHEN 3 THEN concat(p_brand, ' Company of Nowhere') WHEN 4 THEN concat('The ', p_brand, ' Co.') WHEN 5 THEN replace(p_brand, 'rand#', 'rnad ') ELSE concat(' ', p_brand, '0 ') END")
+_RAW_SQL = "raws AS (SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN upper(replace(p_brand, '#', '  ')) WHEN 2 THEN concat('-', p_brand, '.') WHEN 3 THEN concat(p_brand, ' Company of Nowhere') WHEN 4 THEN concat('The ', p_brand, ' Co.') WHEN 5 THEN replace(p_brand, 'rand#', 'rnad ') ELSE concat(' ', p_brand, '0 ') END AS raw FROM part)"
 _KEY = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -152,12 +152,33 @@ def resolve_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.normalised(_raw(spark, sf_dir), standin.master(standin.part(spark, sf_dir)))
 
 
-@query()
+#: Matching-blocks similarity of pairs(id, a, b), by recursion: the longest run that a range of a and one of b share, the first of equals, then what is left and right of it.
+_RATIO_SQL = """pos AS MATERIALIZED (SELECT id, i, j, coalesce(list_min(list_filter(range(0, least(length(a) - i, length(b) - j)), lambda k: a[i + k + 1] <> b[j + k + 1])), least(length(a) - i, length(b) - j)) AS run
+    FROM pairs, unnest(range(0, length(a))) AS t(i), unnest(range(0, length(b))) AS u(j) WHERE a[i + 1] = b[j + 1]),
+blocks(id, alo, ahi, blo, bhi, n) AS (SELECT id, 0::BIGINT, length(a), 0::BIGINT, length(b), 0::BIGINT FROM pairs UNION ALL
+  SELECT s.id, x.alo, x.ahi, x.blo, x.bhi, CASE WHEN x.k = 0 THEN s.size ELSE 0 END FROM (
+    SELECT g.id, alo, ahi, blo, bhi, max(least(run, ahi - i, bhi - j)) AS size, arg_max({'i': i, 'j': j}, least(run, ahi - i, bhi - j) * 1000000 - i * 1000 - j) AS at
+    FROM blocks g JOIN pos ON pos.id = g.id AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY ALL) s,
+    LATERAL (SELECT * FROM (VALUES (0, s.alo, s.at.i, s.blo, s.at.j), (1, s.at.i + s.size, s.ahi, s.at.j + s.size, s.bhi)) AS v(k, alo, ahi, blo, bhi)) x),
+ratios AS (SELECT id, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(n) / (length(a) + length(b)) END AS score FROM blocks JOIN pairs USING (id) GROUP BY id, a, b)"""
+
+
+def _fuzzy_sql(raws: str, floor: float) -> str:
+    """near(raw, name, code, confidence): the most similar key of master for each of raws(raw)."""
+    return f"""pairs AS (SELECT row_number() OVER () AS id, raw, name, code, ordinal, {_KEY("raw")} AS a, {_KEY("name")} AS b FROM (SELECT DISTINCT raw FROM {raws}), master), {_RATIO_SQL},
+near AS (SELECT raw, name, code, round(score, 4) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, ordinal) AS r FROM pairs JOIN ratios USING (id)) WHERE r = 1 AND score >= {floor})"""
+
+
+@query(f"WITH RECURSIVE {_RAW_SQL}, {_MASTER_SQL}, {_fuzzy_sql('raws', 0.70)} SELECT raw, name, code, confidence, 'fuzzy' AS method FROM near")
 def resolve_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.fuzzy(_raw(spark, sf_dir), standin.master(standin.part(spark, sf_dir)), 0.4)
+    return resolve.fuzzy(_raw(spark, sf_dir), standin.master(standin.part(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RAW_SQL}, {_MASTER_SQL}, trimmed AS (SELECT raw AS whole, trim(raw) AS raw FROM raws), {_fuzzy_sql('trimmed', 0.70)},
+keyed AS (SELECT {_KEY("name")} AS k, arg_min(name, ordinal) AS name, arg_min(code, ordinal) AS code FROM master GROUP BY 1),
+found AS (SELECT whole, CASE WHEN e.name IS NOT NULL THEN [e.name, e.code, '1.0', 'exact'] WHEN k.name IS NOT NULL THEN [k.name, k.code, '0.97', 'normalized'] WHEN near.name IS NOT NULL THEN [near.name, near.code, CAST(near.confidence AS VARCHAR), 'fuzzy'] ELSE [NULL, NULL, '0.0', 'unresolved'] END AS f
+  FROM trimmed t LEFT JOIN master e ON e.name = t.raw LEFT JOIN keyed k ON k.k = {_KEY("t.raw")} LEFT JOIN near ON near.raw = t.raw)
+SELECT p_partkey, raw, f[1] AS name, f[2] AS code, CAST(f[3] AS DOUBLE) AS confidence, f[4] AS method, CAST(f[3] AS DOUBLE) < 0.82 AS needs_review FROM (SELECT p_partkey, {_RAW_BRANDS} AS raw FROM part) p JOIN found ON whole = raw""")
 def resolve_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve.resolve(standin.part(spark, sf_dir).select("p_partkey", F.expr(_RAW_BRANDS).alias("raw")), "raw", standin.master(standin.part(spark, sf_dir)))
     return out.select("p_partkey", "raw", "raw_match.*")
@@ -173,12 +194,18 @@ def taxonomy_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.by_keywords(_texts(spark, sf_dir), standin.taxonomy(spark))
 
 
-@query()
+_KEYWORD_SQL = "h AS (SELECT text, tax.*, len(list_filter(keywords, lambda k: contains(text, k))) AS hits FROM t, tax), r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY hits DESC, ordinal) AS k FROM h WHERE hits > 0), keyed AS (SELECT text, dept, class_name, fine, CAST(least(0.95, 0.5 + 0.15 * hits) AS DOUBLE) AS confidence, 'keyword' AS method FROM r WHERE k = 1)"
+_LIKE_SQL = f"pairs AS (SELECT row_number() OVER () AS id, text, tax.* EXCLUDE (keywords), text AS a, lower(concat_ws(' ', fine, class_name, dept)) || ' ' || array_to_string(keywords, ' ') AS b FROM rest, tax), {_RATIO_SQL}, liked AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, ordinal) AS rank FROM pairs JOIN ratios USING (id))"
+
+
+@query(f"WITH RECURSIVE {standin.CATALOGUE_SQL}, {standin.TAXONOMY_SQL}, rest AS (SELECT DISTINCT lower(Part_Desc) AS text FROM cat), {_LIKE_SQL} SELECT text, CAST(rank AS INTEGER) AS rank, dept, class_name, fine, round(score, 4) AS confidence, 'fuzzy' AS method FROM liked WHERE rank <= 5 AND score >= 0.1")
 def taxonomy_fuzzy_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.by_similarity(_texts(spark, sf_dir), standin.taxonomy(spark), 5, 0.1)
 
 
-@query()
+@query(f"""WITH RECURSIVE {standin.CATALOGUE_SQL}, {standin.TAXONOMY_SQL}, t AS (SELECT DISTINCT lower(Part_Desc) AS text FROM cat), {_KEYWORD_SQL}, rest AS (SELECT text FROM t WHERE text NOT IN (SELECT text FROM keyed)), {_LIKE_SQL},
+every AS (SELECT * FROM keyed UNION ALL SELECT text, dept, class_name, fine, round(score, 4), 'fuzzy' FROM liked WHERE rank = 1 AND score >= 0.3)
+SELECT p_partkey, dept, class_name, fine, dept || '>' || class_name || '>' || fine AS classpath, coalesce(confidence, 0.0::DOUBLE) AS confidence, coalesce(method, 'unresolved') AS method, coalesce(confidence, 0.0::DOUBLE) < 0.6 AS needs_review FROM cat LEFT JOIN every ON text = lower(Part_Desc)""")
 def classify_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classify.classify(standin.catalogue(standin.part(spark, sf_dir), "p_partkey").withColumn("text", F.lower("Part_Desc")), "text", standin.taxonomy(spark))
     return out.select("p_partkey", "classification.*")

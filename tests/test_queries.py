@@ -1,6 +1,7 @@
 """Every catalogue query against its SQL on the smallest tables."""
 
 import os
+import re
 from difflib import SequenceMatcher
 
 import duckdb
@@ -47,13 +48,13 @@ def test_entry(spark):
 
 
 def test_fuzzy_resolution_looks_at_every_spelling(spark):
+    key = lambda s: " ".join(re.sub("[^a-z0-9 ]", " ", s.lower()).split())
     raws = [r.raw for r in queries._raw(spark, SF).collect()]
     master = queries.standin.master(queries.standin.part(spark, SF)).orderBy("ordinal").collect()
     want = {}
     for raw in raws:
-        scores = [(-round(SequenceMatcher(None, raw.lower(), m.name.lower()).ratio(), 4), m.ordinal, m.name) for m in master]
-        score, _, name = min(scores)
-        if -score >= 0.4:
-            want[raw] = (name, -score)
+        score, _, name = min((-SequenceMatcher(None, key(raw), key(m.name)).ratio(), m.ordinal, m.name) for m in master)
+        if -score >= 0.70:
+            want[raw] = (name, round(-score, 4))
     got = {r.raw: (r.name, r.confidence) for r in queries.resolve_fuzzy(spark, SF).collect()}
-    assert got == want and len(got) == len(raws)
+    assert got == want and 0 < len(got) < len(raws)
