@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text import let, strip
+
 DECISIONS = ["accept", "reject", "edit"]
 EDITABLE = ["attributes", "descriptions"]
 
@@ -35,6 +37,31 @@ def upsert(products: DataFrame, reviews: DataFrame) -> DataFrame:
     return joined.select(*rest, old("decision").alias("decision"), old("at").alias("at"))
 
 
+def problem(decision: Column, key: Column, at: Column) -> Column:
+    """Why an event can't count, whatever its product; null if it can."""
+    return F.when(F.coalesce(strip(key), F.lit("")) == "", "no key").when(~F.coalesce(decision.isin(DECISIONS), F.lit(False)), "bad decision").when(at.isNull(), "no time")
+
+
+def replay(products: DataFrame, events: DataFrame) -> DataFrame:
+    """products(key, ...) with decision and at after all events(key, decision, at, seq, and any of EDITABLE), whatever their order.
+
+    A key's last event by (at, seq) decides. Each editable column is what the last edit that brings it says, so an edit
+    merges only its own columns. Events that dead_letters() lists change nothing."""
+    when = F.struct("at", "seq")
+    brought = [c for c in EDITABLE if c in events.columns and c in products.columns]
+    edits = [F.max_by(c, F.when((F.col("decision") == "edit") & F.col(c).isNotNull(), when)).alias(f"_{c}") for c in brought]
+    last = events.where(problem(F.col("decision"), F.col("key"), F.col("at")).isNull()).groupBy("key").agg(F.max_by(F.struct("decision", "at"), when).alias("_last"), *edits)
+    kept = [F.coalesce(f"_{c}", c).alias(c) if c in brought else F.col(c) for c in products.columns if c not in ("decision", "at")]
+    return products.join(last, "key", "left").select(*kept, F.col("_last.decision").alias("decision"), F.col("_last.at").alias("at"))
+
+
+def dead_letters(products: DataFrame, events: DataFrame) -> DataFrame:
+    """events that change nothing, with error: no key, a bad decision, no time, or no product of this key."""
+    marked = events.join(products.select("key").distinct().withColumn("_known", F.lit(True)), "key", "left")
+    error = F.coalesce(problem(F.col("decision"), F.col("key"), F.col("at")), F.when(F.col("_known").isNull(), "unknown key"))
+    return marked.select(*events.columns, error.alias("error")).where("error IS NOT NULL")
+
+
 def flagged(needs_review: Column, attributes: Column) -> Column:
     return F.coalesce(needs_review, F.lit(False)) | F.exists(attributes, lambda a: F.coalesce(a["needs_review"], F.lit(False)))
 
@@ -70,9 +97,15 @@ def progress(products: DataFrame) -> DataFrame:
 
 
 def edit_diff(old: Column, new: Column) -> tuple[Column, Column]:
-    """(attributes after the edit, number of changed ones) for arrays of equal order: a changed value is marked edited."""
+    """(attributes after the edit, number of changed ones): each of old takes value and unit of the first of new that has its
+    label, in whatever order they come, and is marked edited where they differ. Labels that old lacks are not added."""
     changed = lambda a, b: ~a["value"].eqNullSafe(b["value"]) | ~a["uom"].eqNullSafe(b["uom"])
-    merged = F.zip_with(old, new, lambda a, b: F.struct(a["label"].alias("label"), F.when(b.isNotNull(), b["value"]).otherwise(a["value"]).alias("value"), F.when(b.isNotNull(), b["uom"]).otherwise(a["uom"]).alias("uom"), (b.isNotNull() & changed(a, b)).alias("edited")))
+
+    def one(a: Column) -> Column:
+        match = F.get(F.filter(new, lambda b: b["label"] == a["label"]), F.lit(0))
+        return let(match, lambda b: F.struct(a["label"].alias("label"), F.when(b.isNotNull(), b["value"]).otherwise(a["value"]).alias("value"), F.when(b.isNotNull(), b["uom"]).otherwise(a["uom"]).alias("uom"), (b.isNotNull() & changed(a, b)).alias("edited")))
+
+    merged = F.transform(old, one)
     return merged, F.size(F.filter(merged, lambda a: a["edited"]))
 
 
