@@ -1,4 +1,4 @@
-"""python -m tessella CATALOGUE TAXONOMY OUT [--limit N]: enrich a catalogue file and print the report."""
+"""python -m tessella CATALOGUE TAXONOMY OUT [--limit N] [--master FILE] [--delivery FOLDER] [--layout FILE]: enrich a catalogue file and print the report."""
 
 import argparse
 import json
@@ -11,11 +11,14 @@ from tessella.sources.tables import checked_limit
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tessella", description=__doc__)
-    for name, what in (("catalogue", "CSV, JSON or Parquet file of catalogue rows"), ("taxonomy", "Parquet table of classes"), ("out", "folder for the products")):
+    for name, what in (("catalogue", "CSV, JSON, Parquet or Excel file of catalogue rows"), ("taxonomy", "Parquet table of classes"), ("out", "folder for the products")):
         parser.add_argument(name, help=what)
-    parser.add_argument("--limit", type=checked_limit, default=None, help="rows to take at most")
+    parser.add_argument("--limit", type=checked_limit, default=None, help="take the first rows only")
+    parser.add_argument("--master", help="CSV, JSON, Parquet or Excel file of manufacturers and brands")
+    parser.add_argument("--delivery", help="folder for the delivery table as CSV")
+    parser.add_argument("--layout", help="CSV whose header is the delivery layout")
     a = parser.parse_args(args)
-    print(json.dumps(run(SparkSession.builder.appName("tessella").getOrCreate(), a.catalogue, a.taxonomy, a.out, a.limit)))
+    print(json.dumps(run(SparkSession.builder.appName("tessella").getOrCreate(), a.catalogue, a.taxonomy, a.out, a.limit, a.master, a.delivery, a.layout)))
 
 
 if __name__ == "__main__":

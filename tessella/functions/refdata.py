@@ -7,12 +7,12 @@ PLACEHOLDERS = ["-- unbranded --", "-- no unilog brand --", "-- no dib brand --"
 BRAND_PLACEHOLDERS = [*PLACEHOLDERS, "unbranded"]
 CATALOGUE_COLUMNS = ["Mfg_Part_Num", "Part_Desc", "E1_Brand", "Unilog_Brand", "DIB_Brand", "Part_Manuf"]
 HEADER_ALIASES = {
-    "Mfg_Part_Num": "manufacturerpartnumber manufacturerpartnum mfrpartnumber mfgpartnumber mfgpartnum mfrpartnum manufpartnumber manufacturernumber itemnumber itemno itemnum productcode partcode modelno productnumber modelnumber cataloguenumber catnumber skunumber partnumber partno partnum partid mpn sku pn".split(),
-    "Part_Desc": "partdescription productdescription itemdescription productname itemname partdesc description producttitle itemtitle desc".split(),
-    "E1_Brand": "e1brand ebrand brand1 brandone".split(),
-    "Unilog_Brand": "unilogbrand ubrand genericbrand brand".split(),
-    "DIB_Brand": "dibbrand dbrand brand2 secondarybrand".split(),
-    "Part_Manuf": "partmanufacturer partmanufacture manufacturername manufacturermfr manufacturer partmanuf mfr mfg maker vendor supplier brandowner".split(),
+    "Mfg_Part_Num": ["manufacturerpartnumber", "manufacturerpartnum", "mfrpartnumber", "mfgpartnumber", "mfgpartnum", "mfrpartnum", "manufpartnumber", "manufacturernumber", "itemnumber", "itemno", "itemnum", "productcode", "partcode", "modelno", "productnumber", "modelnumber", "cataloguenumber", "catnumber", "skunumber", "partnumber", "partno", "partnum", "partid", "mpn", "sku", "pn"],
+    "Part_Desc": ["partdescription", "productdescription", "itemdescription", "productname", "itemname", "partdesc", "description", "producttitle", "itemtitle", "desc"],
+    "E1_Brand": ["e1brand", "ebrand", "brand1", "brandone"],
+    "Unilog_Brand": ["unilogbrand", "ubrand", "genericbrand", "brand"],
+    "DIB_Brand": ["dibbrand", "dbrand", "brand2", "secondarybrand"],
+    "Part_Manuf": ["partmanufacturer", "partmanufacture", "manufacturername", "manufacturermfr", "manufacturer", "partmanuf", "mfr", "mfg", "maker", "vendor", "supplier", "brandowner"],
 }
 #: Applied in this order, without regard to case: (what, expansion); a word stands between word borders, and a pressure class not after a digit.
 ABBREVIATIONS = [
@@ -52,6 +52,13 @@ IRREGULAR_SINGULARS = {
     "generators": "generator", "lamps": "lamp", "lashes": "latch", "meters": "meter", "pumps": "pump", "reducers": "reducer", "sensors": "sensor", "switches": "switch", "valves": "valve",
 }
 MATERIAL_SHORT = {"stainless steel": "SST", "stainless-steel": "SST", "brass": "BRS", "bronze": "BRZ", "aluminum": "ALUM", "aluminium": "ALUM", "nylon": "NYL", "copper": "CPR", "cast iron": "CI", "plastic": "PLS"}
+#: Facts that become attributes, in this order, and their labels; what kind of product it is and its number are no attributes.
+FACT_LABELS = {
+    "material": "Material", "size": "Size", "finish": "Finish", "color": "Color", "shape": "Shape", "pressure_rating": "Pressure Rating", "temperature_rating": "Temperature Rating", "voltage": "Voltage", "amperage": "Amperage",
+    "wattage": "Wattage", "thread_type": "Thread Type", "connection_type": "Connection Type", "end_type": "End Type", "gender": "Gender", "application": "Application", "industry": "Industry", "series": "Series",
+}
+#: All facts that a description may state under a name of their own.
+FACTS = ["product_type", "series", "model_number", "size", "material", "finish", "color", "shape", "pressure_rating", "temperature_rating", "voltage", "amperage", "wattage", "thread_type", "connection_type", "end_type", "gender", "application", "industry"]
 LENGTH_LIMITS = {"INVOICE_DESC": 40}
 WEIGHTS = {"manufacturer": 0.25, "classification": 0.25, "lov": 0.20, "uom": 0.15, "grounding": 0.15}
 HIGH_ABOVE, MEDIUM_FROM, LOW_CONFIDENCE, REVIEW_BELOW = 0.85, 0.60, 0.70, 0.70

@@ -97,14 +97,21 @@ def no_facts(facts: Column, extras: Column) -> Column:
     return (F.size(known_facts(facts)) == 0) & (F.coalesce(F.size(extras), F.lit(0)) <= 0)
 
 
-def from_description(facts: Column) -> Column:
-    """Candidates from a map of facts: a trailing unit apart, no source, confidence 0.35. Names become labels."""
-
-    def one(e: Column) -> Column:
-        value, uom = split_value_unit(e["value"])
-        return F.struct(fact_label(e["key"]).alias("label"), value.alias("candidate_value"), uom.alias("candidate_uom"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("source_page"), F.lit(0.35).alias("confidence"))
-
-    return F.transform(F.filter(F.map_entries(facts), lambda e: F.length(strip(e["value"])) > 0), one)
+def from_description(facts: Column, extras: Column | None = None) -> Column:
+    """Candidates from what a description states: named facts in the order and with the labels of FACT_LABELS, then extras by
+    their own names. A trailing unit apart, no source, confidence 0.35. The kind of product and its number are no candidates."""
+
+    def one(label: Column, text: Column) -> Column:
+        value, uom = split_value_unit(text)
+        return F.struct(label.alias("label"), value.alias("candidate_value"), uom.alias("candidate_uom"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("source_page"), F.lit(0.35).alias("confidence"))
+
+    pair = lambda label, value: F.struct(label.alias("label"), value.alias("value"))
+    named = F.array(*(pair(F.lit(label), F.try_element_at(facts, F.lit(name))) for name, label in refdata.FACT_LABELS.items()))
+    if extras is not None:
+        more = F.transform(F.map_entries(extras), lambda e: pair(fact_label(e["key"]), e["value"]))
+        named = F.concat(named, F.coalesce(more, F.array().cast("array<struct<label:string,value:string>>")))
+    said = F.filter(named, lambda e: F.coalesce(F.length(strip(e["value"])) > 0, F.lit(False)))
+    return F.transform(said, lambda e: one(e["label"], e["value"]))
 
 
 def keys(attributes: Column) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import refdata
 from tessella.functions.text import strip
 from tessella.operators import resolve
+from tessella.operators.positions import row_index  # noqa: F401
 
 #: Confidence of a model's choice of a name, and of a class.
 NAME_CONFIDENCE, CLASS_CONFIDENCE = resolve.CHOSEN, 0.82
@@ -53,17 +54,6 @@ def by_path(paths: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return paths.join(known, "path", "left")
 
 
-def row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """df with the position of each row in its source, from 0: rows before its partition, and its place in it.
-    One number a partition goes through a small join; rows stay where they are. df must be a plain scan."""
-    part, place = "_partition", "_place"
-    marked = df.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id())
-    sizes = marked.groupBy(part).agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(part, "first", before.alias("before"))  # as many rows as the scan has partitions
-    return marked.join(F.broadcast(starts), part).withColumn(name, F.col("before") + F.col(place) - F.col("first")).drop(part, place, "first", "before")
-
-
 def point(df: DataFrame, key: str, value, order: str) -> DataFrame:
     """The first row of a key, by order."""
     return df.where(F.col(key) == F.lit(value)).orderBy(order).limit(1)

@@ -388,10 +388,16 @@ def value_uom_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standin.part(spark, sf_dir).select("p_partkey", value.alias("value"), uom.alias("uom"))
 
 
-@query("SELECT p_partkey, 'Pipe Size' AS label, CAST(p_size AS VARCHAR) AS candidate_value, 'mm' AS candidate_uom, CAST(0.35 AS DOUBLE) AS confidence FROM part UNION ALL SELECT p_partkey, 'Kind', p_type, NULL, CAST(0.35 AS DOUBLE) FROM part")
+@query("""SELECT p_partkey, label, candidate_value, candidate_uom, CAST(0.35 AS DOUBLE) AS confidence, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS INTEGER) AS place FROM (
+  SELECT p_partkey, 1 AS k, 'Material' AS label, p_brand AS candidate_value, NULL AS candidate_uom FROM part WHERE p_partkey % 3 > 0
+  UNION ALL SELECT p_partkey, 2, 'Size', CAST(p_size AS VARCHAR), 'mm' FROM part
+  UNION ALL SELECT p_partkey, 3, 'Voltage', '2.8-4', 'V' FROM part
+  UNION ALL SELECT p_partkey, 4, 'Terminal Kind', p_type, NULL FROM part WHERE p_partkey % 2 = 0)""")
 def description_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.create_map(F.lit("pipe_size"), F.concat(F.col("p_size").cast("string"), F.lit(" mm")), F.lit("kind"), F.col("p_type"), F.lit("blank"), F.lit(" "))
-    return standin.part(spark, sf_dir).select("p_partkey", F.inline(attributes.from_description(known))).select("p_partkey", "label", "candidate_value", "candidate_uom", "confidence")
+    """Named facts in their order, whatever the map's; product_type, model_number and blanks are none; extras come last."""
+    known = F.create_map(F.lit("voltage"), F.lit("2.8-4 V"), F.lit("size"), F.concat(F.col("p_size").cast("string"), F.lit(" mm")), F.lit("product_type"), F.col("p_name"), F.lit("model_number"), F.lit("M1"), F.lit("color"), F.lit(" "), F.lit("material"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")))
+    extras = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("terminal_kind"), F.col("p_type"), F.lit("nothing"), F.lit(None).cast("string")))
+    return standin.part(spark, sf_dir).select("p_partkey", F.posexplode(attributes.from_description(known, extras)).alias("place", "a")).select("p_partkey", "place", "a.label", "a.candidate_value", "a.candidate_uom", "a.confidence")
 
 
 @query(f"WITH {standin.TAXONOMY_SQL} SELECT fine, CASE fine WHEN 'Valves' THEN 'valve' ELSE left(fine, length(fine) - 1) END AS singular FROM tax")

@@ -3,36 +3,35 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import refdata
-from tessella.functions.text import strip
-from tessella.operators import metrics
+from tessella.functions.storing import stored
+from tessella.operators import delivery, metrics, positions
 from tessella.operators.attributes import CANDIDATE
-from tessella.plans.enrich import References, enrich
+from tessella.plans import envelope
+from tessella.plans.enrich import References, Services, stages
 from tessella.sources import tables
 
 
-def faults(rows: DataFrame) -> DataFrame:
-    """rows and _error: why a row can't be enriched, or null."""
-    blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
-    empty = blank("Mfg_Part_Num") & blank("Part_Desc")
-    why = F.when(empty, "neither part number nor description")
-    if "reply" in rows.columns:  # a model's reply, not parsed yet
-        why = why.when(F.col("reply").isNotNull() & F.from_json("reply", f"array<{CANDIDATE}>").isNull(), "candidates are not a JSON list")
-    return rows.withColumn("_error", why)
+def enveloped(rows: DataFrame, refs: References, services: Services = Services(), extra: Sequence[envelope.Stage] = ()) -> DataFrame:
+    """All rows through the stages, each in an envelope. extra: further stages, after those of the enrichment."""
+    if envelope.INDEX not in rows.columns:
+        rows = rows.withColumn(envelope.INDEX, F.monotonically_increasing_id())
+    return envelope.through(rows, [*stages(refs, services), *extra])
 
 
-def enrich_safely(rows: DataFrame, refs: References) -> DataFrame:
-    """Every row of rows: enriched where that is possible; else its raw columns, and _error. Only faults() decides, row by row."""
-    marked = faults(rows)
-    good = marked.where("_error IS NULL")
-    if "reply" in rows.columns:
-        good = good.withColumn("candidates", F.coalesce(F.from_json("reply", f"array<{CANDIDATE}>"), F.array().cast(f"array<{CANDIDATE}>")))
-    done = enrich(good.drop("_error", "reply"), refs).withColumn("_error", F.lit(None).cast("string"))
-    return done.unionByName(marked.where("_error IS NOT NULL").drop("reply"), allowMissingColumns=True)
+def enrich_safely(rows: DataFrame, refs: References, services: Services = Services()) -> DataFrame:
+    """Every row of rows: enriched where that is possible; else its raw columns, _error and _stage."""
+    done = enveloped(rows, refs, services)
+    failed = F.col(envelope.FAILED)
+    raw = {c.lower(): F.when(failed.isNotNull(), F.col(f"{envelope.RAW}.{c}")).alias(c) for c in rows.columns if c not in ("reply", envelope.INDEX)}
+    kept = [c for c in done.columns if c not in (envelope.RAW, envelope.FAILED) and (c != envelope.INDEX or c in rows.columns)]
+    own = [F.coalesce(F.col(c), raw.pop(c.lower())).alias(c) if c.lower() in raw else F.col(c) for c in kept]
+    return done.select(*own, *raw.values(), failed["reason"].alias("_error"), failed["stage"].alias("_stage"))
 
 
 def scale_report(scored: DataFrame) -> DataFrame:
@@ -61,15 +60,28 @@ def sample_products(spark: SparkSession) -> DataFrame:
     return validate.scored(content.with_content(df.withColumn("attributes", attributes.normalise_all(F.col("candidates"))).drop("candidates")))
 
 
-def run(spark: SparkSession, source: str, taxonomy: str, out: str, limit: int | None = None) -> dict:
-    """A catalogue file through the enrichment into out, as JSON products; returns the report and the seconds taken.
-    taxonomy: Parquet of (ordinal, dept, class_name, fine, keywords)."""
+def run(spark: SparkSession, source: str, taxonomy: str, out: str, limit: int | None = None, master: str | None = None, delivery_path: str | None = None, layout: str | None = None) -> dict:
+    """A catalogue file through the enrichment; returns the report and the seconds taken.
+
+    out gets the products as JSON, out + '-errors' the rows that can't be enriched, with stage and reason, if there are any.
+    delivery_path gets one CSV row for each input row, in their order; those of bad rows hold what came in. taxonomy: Parquet
+    of (ordinal, dept, class_name, fine, keywords). master: a table of manufacturers and brands; without one, names pass
+    through. layout: a CSV whose header is the delivery layout. limit: the first rows of the file."""
     start = time.time()
     rows, headers = tables.read_catalogue(spark, source)
-    rows = rows if limit is None else rows.limit(limit)
-    rows = rows.select(*(F.col(c) for c in refdata.CATALOGUE_COLUMNS))
-    tables.write_products(enrich_safely(rows, References(spark.read.parquet(taxonomy))), out)
-    done = spark.read.json(out)
-    report = metrics.batch_metrics(done.where("_error IS NULL") if "_error" in done.columns else done).first().asDict()
-    errors = done.where("_error IS NOT NULL").count() if "_error" in done.columns else 0
+    rows = tables.first_rows(positions.row_index(rows.select(*refdata.CATALOGUE_COLUMNS)), envelope.INDEX, limit)
+    tables.require_rows(rows)
+    lists = [tables.read_master(tables.read_table(spark, master), kind) for kind in ("manufacturer", "brand")] if master else [None, None]
+    done = stored(enveloped(rows.withColumn("row_id", F.col(envelope.INDEX).cast("string")), References(spark.read.parquet(taxonomy), *lists)))
+    good, bad = envelope.products(done), envelope.quarantine(done)
+    tables.write_products(good.drop(envelope.INDEX), out)
+    errors = bad.count()
+    if errors:
+        tables.write_products(bad, f"{out.rstrip('/')}-errors")
+    if delivery_path:
+        columns = tables.read_headers(spark, layout)
+        every = [*columns, envelope.INDEX]
+        delivered = delivery.delivery(good, every).unionByName(delivery.complete(bad.drop("stage", "reason"), every))
+        tables.write_delivery(delivered.orderBy(F.col(envelope.INDEX).cast("long")).drop(envelope.INDEX), delivery_path, columns)
+    report = metrics.batch_metrics(spark.read.schema(good.schema).json(out)).first().asDict()
     return report | {"errors": errors, "headers": headers.mapped, "seconds": round(time.time() - start, 1)}

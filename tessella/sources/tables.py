@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from tessella.functions import refdata
 from tessella.operators.catalogue import HeaderReport, find_column, normalise_columns
 from tessella.operators.delivery import complete, flat_attributes
+from tessella.operators.positions import row_index
+from tessella.sources import excel
 
-READERS = {"csv": "csv", "parquet": "parquet", "json": "json"}
+READERS = {"csv": "csv", "parquet": "parquet", "json": "json", "xlsx": "xlsx"}
 
 
-def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, HeaderReport]:
-    """Canonical columns and the header report of a CSV, Parquet or JSON catalogue; all columns are strings, so part numbers keep their digits."""
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV, Parquet, JSON or Excel table; what CSV and Excel hold are strings, so part numbers keep their digits."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind not in READERS:
         raise ValueError(f"can't read .{kind}: {', '.join(READERS)} are supported")
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False) if kind == "csv" else getattr(spark.read, kind)(path)
-    return normalise_columns(df)
+    if kind == "csv":
+        return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    return excel.read_xlsx(spark, path) if kind == "xlsx" else getattr(spark.read, kind)(path)
+
+
+def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, HeaderReport]:
+    """Canonical columns and the header report of a catalogue."""
+    return normalise_columns(read_table(spark, path))
+
+
+def require_rows(df: DataFrame) -> DataFrame:
+    """df, or an error if it has no rows."""
+    if df.isEmpty():
+        raise ValueError("the file has no rows")
+    return df
 
 
 def checked_limit(limit: str | int | None) -> int | None:
@@ -37,16 +52,17 @@ def first_rows(df: DataFrame, index: str, n: int | None) -> DataFrame:
 
 def read_master(df: DataFrame, kind: str) -> DataFrame:
     """(name, code, ordinal) of a master list: columns are found by the words in their headers."""
-    names = {c: c.strip() for c in df.columns}
+    names, index = {c: c.strip() for c in df.columns}, "_ordinal"
+    df = row_index(df, index)
     df = df.withColumnsRenamed(names)
-    columns = list(names.values())
+    columns = list(names.values())  # without the index
     if kind == "manufacturer":
         name = find_column(columns, ["manufacturer", "name"], columns[0])
         code = find_column(columns, ["manufacturer", "code"])
     else:
         name = find_column(columns, ["brand", "name"]) or find_column(columns, ["manufacturer", "name"], columns[0])
         code = find_column(columns, ["brand", "code"])
-    out = df.select(F.trim(F.col(f"`{name}`")).alias("name"), (F.nullif(F.trim(F.col(f"`{code}`")), F.lit("")) if code else F.lit(None).cast("string")).alias("code"), F.monotonically_increasing_id().alias("ordinal"))
+    out = df.select(F.trim(F.col(f"`{name}`")).alias("name"), (F.nullif(F.trim(F.col(f"`{code}`")), F.lit("")) if code else F.lit(None).cast("string")).alias("code"), F.col(index).alias("ordinal"))
     return out.where("name <> ''") if kind == "brand" else out.where("name IS NOT NULL")
 
 

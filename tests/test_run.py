@@ -1,35 +1,111 @@
 """Readers, sinks, safe runs, the command line and streams, on small rows."""
 
 import json
+import zipfile
+from xml.sax.saxutils import escape
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella import __main__ as cli
 from tessella.functions.units import controlled_value
-from tessella.operators import attributes, choices
+from tessella.operators import attributes, choices, positions
 from tessella.plans import run, standin
-from tessella.sources import tables
+from tessella.plans.enrich import References, Services
+from tessella.sources import excel, tables
 from tessella.streaming import jobs
 
 HEADER = "Mfg_Part_Num,Part_Desc,E1_Brand,Unilog_Brand,DIB_Brand,Part_Manuf\n"
 
 
 def test_command_line_isolates_bad_rows(spark, tmp_path, capsys):
-    (tmp_path / "in.csv").write_text(HEADER + "0012,steel bolt M8,,ACME,,ACME Corp\n ,  ,,,,\nP2,vlv sst,,,,\n")
+    (tmp_path / "in.csv").write_text(HEADER + "0012,steel bolt M8,,ACME,,ACME Corp\n ,  ,,,,\nP2,vlv sst,,,,\nP3,late,,,,\n")
     standin.taxonomy(spark).write.parquet(str(tmp_path / "tax"))
-    cli.main([str(tmp_path / "in.csv"), str(tmp_path / "tax"), str(tmp_path / "out")])
+    (tmp_path / "master.csv").write_text("Manufacturer Name,Manufacturer Code,Brand Name,Brand Code\nAcme Corporation,M1,Acme,B1\nOther,M2,,\nACME corp.,M3,Zed,B3\n")
+    out = str(tmp_path / "out")
+    cli.main([str(tmp_path / "in.csv"), str(tmp_path / "tax"), out, "--limit", "3", "--master", str(tmp_path / "master.csv"), "--delivery", str(tmp_path / "csv")])
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert report["products"] == 2 and report["errors"] == 1
-    rows = {r.mpn: r for r in spark.read.json(str(tmp_path / "out")).collect()}
-    assert rows["0012"].classpath == "Hardware>Fasteners>Bolts" and rows[None]._error == "neither part number nor description"
+    rows = {r.mpn: r for r in spark.read.json(out).collect()}
+    assert set(rows) == {"0012", "P2"} and rows["0012"].classpath == "Hardware>Fasteners>Bolts" and rows["0012"].row_id == "0"
+    assert (rows["0012"].manufacturer_name, rows["0012"].brand_name) == ("ACME corp.", "Acme")
+    assert [(r.row_index, r.stage, r.reason) for r in spark.read.json(out + "-errors").collect()] == [(1, "input", "neither part number nor description")]
+    delivered = spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=False)
+    assert delivered.columns == tables.read_headers(spark, None)
+    assert [(r.Mfg_Part_Num, r.Classpath, r.BRAND_NAME) for r in delivered.collect()] == [("0012", "Hardware>Fasteners>Bolts", "Acme"), (None, None, None), ("P2", "Plumbing>Valves>Valves", None)]
+
+
+def workbook(path, rows):
+    """A small workbook: shared, inline and rich strings, numbers, booleans, errors, gaps."""
+    cells, shared = [], []
+    for r, row in enumerate(rows, 1):
+        out = []
+        for c, v in enumerate(row):
+            at = f"{chr(65 + c)}{r}"
+            if isinstance(v, bool):
+                out.append(f'<c r="{at}" t="b"><v>{int(v)}</v></c>')
+            elif isinstance(v, (int, float)):
+                out.append(f'<c r="{at}"><v>{v!r}</v></c>')
+            elif isinstance(v, tuple):
+                out.append(f'<c r="{at}" t="{v[0]}">{v[1]}</c>')
+            elif v is not None:
+                shared.append(v)
+                out.append(f'<c r="{at}" t="s"><v>{len(shared) - 1}</v></c>')
+        cells.append(f'<row r="{r}">{"".join(out)}</row>')
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Parts" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="t" Target="worksheets/sheet9.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst {ns}>{"".join(f"<si><t>{escape(s)}</t></si>" if s != "rich" else "<si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si>" for s in shared)}</sst>')
+        z.writestr("xl/worksheets/sheet9.xml", f'<worksheet {ns}><sheetData>{"".join(cells)}</sheetData></worksheet>')
+
+
+def test_workbooks(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    rows = [["MPN", "Description", None, "Maker"], ["007", "a <bolt> & \u00e9 ", 12, True], [], [15, None, 2.5, False], [("inlineStr", "<is><t>in line</t></is>"), "rich", 3.0, ("e", "<v>#N/A</v>")], [None, None, None, ("str", "<v>formula</v>")]]
+    workbook(path, rows + [[f"P{i}", f"text {i}"] for i in range(5000)])
+    got = excel.read_xlsx(spark, path)
+    assert got.columns == ["MPN", "Description", "Unnamed: 2", "Maker"] and got.count() == 5004
+    assert [tuple(r) for r in got.take(4)] == [("007", "a <bolt> & \u00e9 ", "12", "True"), ("15", None, "2.5", "False"), ("in line", "rich", "3", None), (None, None, None, "formula")]
+    catalogue, report = tables.read_catalogue(spark, path)
+    assert catalogue.select("Mfg_Part_Num", "Part_Desc").first() == ("007", "a <bolt> & \u00e9 ") and report.mapped["Part_Manuf"] == "Maker"
+    assert [r.Mfg_Part_Num for r in tables.first_rows(positions.row_index(catalogue), "row_index", 3).collect()] == ["007", "15", "in line"]
+    with pytest.raises(ValueError, match="no rows"):
+        tables.require_rows(catalogue.where("false"))
+
+
+def test_a_model_fills_the_seams(spark):
+    """Stubs for all services: understanding, names, classes; each question is asked once."""
+    rows = spark.createDataFrame([("A1", "mystery cplg 150#", "Acmee Tols"), ("A2", "mystery cplg 150#", "Acmee Tols"), ("A3", "steel bolt", None), ("A1", "mystery cplg 150#", None)], "Mfg_Part_Num string, Part_Desc string, Part_Manuf string")
+    rows = rows.select("*", *(F.lit(None).cast("string").alias(c) for c in ("E1_Brand", "Unilog_Brand", "DIB_Brand")))
+    asked = []
+
+    def understand(q):
+        asked.append(sorted(r.id for r in q.collect()))
+        return q.withColumn("answer", F.when(F.contains("id", F.lit("mystery Coupling 150 lb")), '{"product_type": "Widget", "voltage": "24 V", "odd_fact": 3}'))
+
+    def names(q):
+        return q.withColumn("answer", F.lit("- acme tools"))
+
+    def classes(q):
+        return q.withColumn("answer", F.lit("plumbing>valves>valves"))
+
+    master = spark.createDataFrame([("Acme Tools", "A", 0), ("Zeta", "Z", 1)], "name string, code string, ordinal int")
+    refs = References(standin.taxonomy(spark), master)
+    done = {(r.mpn, r.best_manufacturer): r for r in run.enrich_safely(rows, refs, Services(understand, names, classes)).collect()}
+    assert asked == [["Part Number: A1\nDescription: mystery Coupling 150 lb", "Part Number: A2\nDescription: mystery Coupling 150 lb", "Part Number: A3\nDescription: steel bolt"]]
+    a1 = done["A1", "Acmee Tols"]
+    assert a1.manufacturer_name == "Acme Tools" and a1.manufacturer_confidence >= 0.7
+    assert [(x.label, x.value, x.uom) for x in a1.attributes] == [("Voltage", "24", "V"), ("Odd Fact", "3", None)] and a1._error is None
+    assert done["A3", None].classpath == "Hardware>Fasteners>Bolts" and a1.classpath == "Plumbing>Valves>Valves"
 
 
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("MPN,Description,Maker,Else\n007,a bolt,Acme,x\n")
     rows, report = tables.read_catalogue(spark, str(tmp_path / "a.csv"))
     assert rows.select("Mfg_Part_Num", "Part_Manuf").first() == ("007", "Acme") and report.ignored == ["Else"]
-    with pytest.raises(ValueError, match="can't read .xlsx"):
-        tables.read_catalogue(spark, "book.xlsx")
+    with pytest.raises(ValueError, match="can't read .xls:"):
+        tables.read_catalogue(spark, "book.xls")
     (tmp_path / "truth.csv").write_text("a,b\n1,\n,x\n")
     assert sorted(map(tuple, tables.read_truth(spark, str(tmp_path / "truth.csv")).collect())) == [("", "x"), ("1", "")]
     assert tables.checked_limit("") is None and tables.checked_limit("7") == 7
@@ -57,8 +133,6 @@ def test_last_decision_in_a_stream(spark, tmp_path):
 
 
 def test_values_and_labels(spark):
-    from pyspark.sql import functions as F
-
     row = spark.range(1).select(controlled_value(F.lit("Material"), F.lit(" Iron "))["value"].alias("v"), attributes.fact_label(F.lit("max_temp-rating 3m")).alias("l")).first()
     assert tuple(row) == ("Cast Iron", "Max Temp-Rating 3M")
 
