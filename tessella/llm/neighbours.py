@@ -10,10 +10,16 @@ floor: the angle between a row and its code, and the rounding of the table, boun
 true cosine from above, and every row whose bound reaches the floor is ranked exactly too. So
 no neighbour is lost to the codes, however many rows share theirs.
 
-The codebook is fitted on a bounded sample (Settings.sample rows, by hash order of vec_id);
-every row is coded and scanned. Rows are dealt in blocks of bounded size and coded once, in the
-one task that holds their block; the queries are streamed past each block, and the best of all
-blocks are merged by a ranking that each task begins with its own. Neither goes through the driver.
+The codebook and the cells' centres are fitted on a bounded sample (Settings.sample rows, by hash
+order of vec_id); every row is coded and scanned. A row goes once, to the cell of its nearest
+centre; large cells are split into blocks of bounded size, each coded in the one task that holds
+it. A query's exact cosines to the sample give it a floor that its k-th neighbour can't lie
+below, and the angle to a cell's centre less the cell's widest angle bounds what the cell can
+hold; the query goes only to cells whose bound reaches its floor. So where vectors are
+clustered, as embeddings are, it meets few cells; where they are not, it meets all, and a block
+holds as many rows as memory allows so that this costs few copies of a query. What blocks find
+is merged by a ranking that each task begins with its own. Nothing goes through the driver but
+the sample, and the size and widest angle of each cell.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part. A repeated
 row is a candidate of its copies; a query's own row is left out once. Ties go to the smaller
@@ -42,7 +48,8 @@ class Settings:
     """k: neighbours; sample: rows that the codebook is fitted on; width: components of a
     sub-vector; threshold: cosine above which scores matter, which sets the loss's weight;
     rerank: rows of each block that are ranked exactly at first, to find the floor that the other
-    rows' bounds must reach; block: rows in a block."""
+    rows' bounds must reach; block, least: rows in a block at most, and those that a block should
+    have before rows are dealt to more tasks; cells: centres at most."""
 
     k: int = 5
     sample: int = 4096
@@ -50,7 +57,9 @@ class Settings:
     threshold: float = 0.2
     rounds: int = 6
     rerank: int = 128
-    block: int = 4096
+    block: int = 131_072
+    least: int = 4096
+    cells: int = 256
 
 
 @dataclass(frozen=True)
@@ -140,6 +149,44 @@ def fit(x: np.ndarray, settings: Settings = Settings()) -> Codebook:
     return book
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Unit centres, and the sample in units, both of bounded size."""
+
+    centres: np.ndarray
+    sample: np.ndarray
+
+    def nearest(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and the cosine of its angle to the centre."""
+        dots = units @ self.centres.T
+        cell = dots.argmax(1)
+        return cell, dots[np.arange(len(units)), cell]
+
+    def reached(self, units: np.ndarray, narrowest: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the cells that may hold one of its k nearest. narrowest: of each cell the least cosine of a row to its centre."""
+        if len(self.sample) > k:
+            dots = units @ self.sample.T
+            floor = np.partition(dots, -k - 1, axis=1)[:, -k - 1] - SLACK  # the query's own row may be one of them
+        else:
+            floor = np.full(len(units), -2.0)
+        angle = np.arccos(np.clip(units @ self.centres.T, -1, 1)) - np.arccos(np.clip(narrowest, -1, 1))[None, :]
+        bound = np.cos(np.clip(angle, 0, np.pi)) + SLACK
+        return [np.flatnonzero(row >= f) for row, f in zip(bound, floor, strict=True)]
+
+
+def cells(units: np.ndarray, n: int, rounds: int = 8) -> Cells:
+    """n centres at most, by alternating nearest centres and means of directions."""
+    rnd = np.random.default_rng(11)
+    centres = units[rnd.choice(len(units), min(n, len(units)), replace=False)]
+    for _ in range(rounds):
+        own = (units @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, units)
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), centres)
+    return Cells(centres, units)
+
+
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id long, v array<double>) of the rows that take part."""
     v = F.col("v")
@@ -170,10 +217,12 @@ class Block:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
         self.book, self.settings = book, settings
         self.ids, self.x = [ids[i] for i in order], x[order]
-        self.scaled = _scaled(self.x)
-        units = _units(self.x)
-        codes = book.codes(units)
-        self.length, self.cos, self.sin = book.bounds(units, codes)
+        made = []
+        for k in range(0, len(ids), 4096):
+            units = _units(self.x[k : k + 4096])
+            codes = book.codes(units)
+            made.append((codes, *book.bounds(units, codes)))
+        codes, self.length, self.cos, self.sin = (np.concatenate(m) for m in zip(*made, strict=True))
         if codes.shape[1] % 2:
             codes = np.concatenate([codes, np.zeros_like(codes[:, :1])], 1)
         self.packed = (codes[:, 0::2] | codes[:, 1::2] << 4).T.copy()
@@ -183,17 +232,17 @@ class Block:
         ids, k, out = self.ids, self.settings.k, []
         keep, place = min(len(ids), self.settings.rerank), np.arange(len(ids), dtype=np.int64)
         for (query_id, row), own, vector, table, step, least in zip(queries, q, _scaled(q), *self.book.tables(_units(q)), strict=True):
-            score = np.zeros(len(ids), np.int64)
-            for byte, code in zip(table, self.packed, strict=True):
+            score = np.zeros(len(ids), np.int32)
+            for byte, code in zip(table.astype(np.int32), self.packed, strict=True):
                 score += byte[code]
-            best = np.argpartition(place - (score << 32), keep - 1)[:keep]
+            best = np.argpartition(place - (score.astype(np.int64) << 32), keep - 1)[:keep]
             if keep < len(ids):
-                floor = np.sort(_cosines(self.scaled[best], vector))[-k - 1] - SLACK if keep > k else -1.0
+                floor = np.sort(_cosines(_scaled(self.x[best]), vector))[-k - 1] - SLACK if keep > k else -1.0
                 # The angle of query to code is at most that of query to row and that of row to code together.
                 need = np.where(self.cos > -floor, floor * self.cos - np.sqrt(max(0.0, 1 - floor * floor)) * self.sin, -1) * self.length - SLACK
                 best = np.flatnonzero(score * step + least >= need)
             best = np.sort(best)
-            exact = _cosines(self.scaled[best], vector)
+            exact = _cosines(_scaled(self.x[best]), vector)
             for j in np.lexsort((best, -exact))[: k + 1]:
                 i = int(best[j])
                 out.append((query_id, row, ids[i], float(exact[j]), ids[i] == query_id and bool((self.x[i] == own).all())))
@@ -209,13 +258,44 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
     rows, asked = valid(vectors).withColumn("dims", F.size("v")), valid(queries)
     asked = asked.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("dims", F.size("v")).withColumn("row", F.xxhash64("v"))
     sizes = {r.dims: r["count"] for r in rows.groupBy("dims").count().collect()}
-    books = {}
-    for dims in sizes:
-        sample = rows.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).collect()
-        books[dims] = fit(_units(np.array([r.v for r in sample])), settings)
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = F.create_map(*(F.lit(x) for dims, n in sizes.items() for x in (dims, -(-n // settings.block))))[F.col("dims")]
+    books, laid = {}, {}
+    for dims, n in sizes.items():
+        sample = rows.where(F.col("dims") == dims).orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).collect()
+        units = _units(np.array([r.v for r in sample]))
+        books[dims], laid[dims] = fit(units, settings), cells(units, max(1, min(settings.cells, len(units) // 16, n // settings.least)))
+
+    def by_dims(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(dims, places in the batch, unit rows) of a batch that ends in dims and v."""
+        dims = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
+            yield d, at, _units(batch.column(batch.num_columns - 1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, cos = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for d, at, units in by_dims(batch):
+                cell[at], cos[at] = laid[d].nearest(units)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(cos)], names=["vec_id", "dims", "v", "cell", "cos"])
+
+    homes = common.materialise(rows.select("vec_id", "dims", "v").mapInArrow(common.lean(placed), "vec_id long, dims int, v array<double>, cell int, cos double"))
+    most = {d: min(settings.block, max(settings.least, -(-n // common.partitions(spark)))) for d, n in sizes.items()}
+    narrowest = {d: np.ones(len(c.centres)) for d, c in laid.items()}
+    pieces: dict[int, dict[int, int]] = {d: {} for d in sizes}
+    for r in homes.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.min("cos").alias("cos")).collect():
+        narrowest[r.dims][r.cell], pieces[r.dims][r.cell] = r.cos, -(-r.n // most[r.dims])
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries, each with the blocks that it goes to: cell << 32 | piece."""
+        for batch in batches:
+            to: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for d, at, units in by_dims(batch):
+                for k, reached in zip(at.tolist(), laid[d].reached(units, narrowest[d], settings.k), strict=True):
+                    to[k] = [c << 32 | p for c in reached.tolist() for p in range(pieces[d].get(c, 0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.list_(pa.int64()))], names=["vec_id", "row", "dims", "v", "to"])
+
     columns = [c.split()[0] for c in FOUND.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
 
@@ -240,8 +320,11 @@ def search(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings
                     yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate(kinds)], names=columns)
                 start = end
 
-    each = rows.select("dims", F.pmod(F.xxhash64("vec_id", "v"), blocks).alias("block"), F.lit(False).alias("asks"), "vec_id", F.lit(0).cast("long").alias("row"), "v")
-    streamed = asked.where(blocks.isNotNull()).select("dims", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("block"), F.lit(True).alias("asks"), "vec_id", "row", "v")
+    count = F.create_map(*(F.lit(x) for d, own in pieces.items() for c, n in own.items() for x in (f"{d}:{c}", n)))[F.concat_ws(":", "dims", "cell")]
+    each = homes.select("dims", (F.shiftleft(F.col("cell").cast("long"), 32) + F.pmod(F.xxhash64("vec_id", "v"), count)).alias("block"), F.lit(False).alias("asks"), "vec_id", F.lit(0).cast("long").alias("row"), "v")
+    known = asked.where(F.col("dims").isin(*sizes)).select("vec_id", "row", "dims", "v")
+    sent = known.mapInArrow(common.lean(routed), "vec_id long, row long, dims int, v array<double>, to array<long>")
+    streamed = sent.select("dims", F.explode("to").alias("block"), F.lit(True).alias("asks"), "vec_id", "row", "v")
     dealt = each.unionByName(streamed).repartition(common.partitions(spark), "dims", "block").sortWithinPartitions("dims", "block", "asks")
     found = dealt.mapInArrow(common.lean(run, 256), FOUND)
     query = ("query_id", "query_row")

@@ -105,3 +105,22 @@ def test_many_vectors_under_one_id_and_many_blocks(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(map(tuple, nn.search(df, df.where("vec_id % 50 = 0"), nn.Settings(block=40, rerank=8)).collect()))
     assert [r[:3] for r in got] == [r[:3] for r in sorted(brute(rows))]
+
+
+@pytest.mark.parametrize("noise", [0.05, 3.0])
+def test_cells_lose_no_neighbour_and_spare_most_blocks_of_clusters(spark, noise, monkeypatch):
+    """Clustered and unclustered rows over many cells, one cell with a third of all rows, against brute force."""
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(30, 16))
+    own = np.where(rnd.random(4000) < 0.33, 0, rnd.integers(30, size=4000))
+    x = (centres[own] + rnd.normal(size=(4000, 16)) * noise).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, nn.search(df, df.where("vec_id % 50 = 0"), nn.Settings(block=300, least=100, rerank=16)).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(brute(rows))]
+    units = nn._units(x.astype(float))
+    laid = nn.cells(units[:2000], 40)
+    cell, cos = laid.nearest(units)
+    narrowest = np.array([cos[cell == c].min(initial=1.0) for c in range(len(laid.centres))])
+    share = np.mean([len(r) for r in laid.reached(units[::50], narrowest, 5)]) / len(laid.centres)
+    assert share < 0.1 if noise < 1 else share > 0.5
