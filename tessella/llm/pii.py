@@ -2,11 +2,11 @@
 
 All work on documents is Spark SQL expressions: a pattern's matches and the text between them
 give the places, generators propose further spans that may overlap, features of format and
-context feed gradient-boosted trees written out as CASE expressions, and a calibrated
-threshold selects. Nothing is shuffled and no Python runs on the executors.
+context feed gradient-boosted trees written out as CASE expressions, and a threshold selects,
+calibrated for each kind apart. Nothing is shuffled and no Python runs on the executors.
 
-The trees are fitted by the driver on SAMPLE labelled snippets that this module makes itself;
-their features come from the same expressions. Spans are code points, end exclusive. A
+The trees are fitted by the driver on SAMPLE labelled snippets that this module makes itself, in
+the company of English, German, French and Spanish words; their features come from the same expressions. Spans are code points, end exclusive. A
 proposed span that overlaps a base span, or a better proposal, is dropped.
 
 Null text counts as empty text: no spans. Every row gives one row, repeated rows too, and an empty table
@@ -48,14 +48,15 @@ GENERATORS = (
     ("bank", "", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("ip", ":", r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"),
 )
+#: Beginnings of words that tell what a span is, in English, German, French and Spanish.
 _CONTEXT = {
-    "phone": "phone|tel|call|mobile|fax|cell|whatsapp|dial|text me",
-    "mail": "mail|contact|write|reach",
-    "card": "card|visa|master|amex|payment|credit|debit",
-    "id": "ssn|social|security|passport|tax|identity",
-    "bank": "iban|bank|account|transfer|swift",
-    "net": "ip|host|server|address|login|from",
-    "other": "order|invoice|part|sku|version|isbn|serial|model|page|item|ref|batch|build",
+    "phone": "phone|tel|tél|call|mobile|fax|cell|whatsapp|dial|text me|anruf|handy|mobil|rufen|appel|portable|llam|móvil|movil",
+    "mail": "mail|e-mail|contact|write|reach|schreib|kontakt|écri|ecri|courriel|escrib|correo",
+    "card": "card|visa|master|amex|payment|credit|debit|karte|kreditkarte|zahlung|carte|paiement|crédit|tarjeta|pago",
+    "id": "ssn|social|security|passport|tax|identity|sozialversicherung|ausweis|steuer|reisepass|sécurité|securite|passeport|identité|fiscal|seguridad|pasaporte|identidad|dni",
+    "bank": "iban|bank|account|transfer|swift|konto|überweis|ueberweis|compte|virement|banque|cuenta|banco",
+    "net": "ip|host|server|address|login|from|rechner|adresse|anmeldung|serveur|hôte|connexion|servidor|dirección|direccion|equipo",
+    "other": "order|invoice|part|sku|version|isbn|serial|model|page|item|ref|réf|batch|build|bestell|rechnung|teil|seite|artikel|commande|facture|pièce|piece|article|modèle|pedido|factura|pieza|página|pagina|artículo|articulo|lote",
 }
 #: Characters before a span that its features see.
 CONTEXT = 32
@@ -168,7 +169,7 @@ def features(span: Column, source: int) -> Column:
         "distinct": F.size(F.array_distinct(F.split(digits, ""))),
         "size": F.length(s),
         "luhn": luhn(digits).cast("int"),
-        **{f"near_{k}": low.rlike(rf"\b(?:{words})").cast("int") for k, words in _CONTEXT.items()},
+        **{f"near_{k}": low.rlike(rf"(?<![a-zà-ÿ0-9_])(?:{words})").cast("int") for k, words in _CONTEXT.items()},
         "before_word": before.rlike("[A-Za-z0-9]$").cast("int"),
         "after_word": span["after"].rlike("[A-Za-z0-9]").cast("int"),
         "brackets": s.rlike(r"[(\[{]").cast("int"),
@@ -194,12 +195,11 @@ _PROPOSED = f"array<struct<kind:string,start:int,end:int,x:struct<{','.join(f'{f
 
 @dataclass(frozen=True)
 class Trees:
-    """Sum of depth-two trees (feature, cut, (feature, cut, low, high) twice), and the calibration of the sum."""
+    """Sum of depth-two trees (feature, cut, (feature, cut, low, high) twice), and for each kind the calibration of the sum:
+    slope, offset, and the threshold that its probability must reach."""
 
     trees: tuple
-    slope: float
-    offset: float
-    threshold: float
+    kinds: dict[str, tuple[float, float, float]]
 
     def margin(self, x: Column) -> Column:
         def node(t: tuple) -> Column:
@@ -209,22 +209,50 @@ class Trees:
 
         return reduce(lambda a, b: a + b, (node(t) for t in self.trees))
 
-    def probability(self, x: Column) -> Column:
-        return 1 / (1 + F.exp(-(self.margin(x) * self.slope + self.offset)))
+    def _of(self, kind: Column, k: int) -> Column:
+        return reduce(lambda acc, item: acc.when(kind == item[0], item[1][k]), self.kinds.items(), F.when(F.lit(False), 0.0))
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def probability(self, x: Column, kind: Column) -> Column:
+        return 1 / (1 + F.exp(-(self.margin(x) * self._of(kind, 0) + self._of(kind, 1))))
+
+    def chosen(self, p: Column, kind: Column) -> Column:
+        return p >= self._of(kind, 2)
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
         def node(t: tuple, row: np.ndarray) -> float:
             while isinstance(t, tuple):
                 t = t[2] if row[t[0]] <= t[1] else t[3]
             return t
 
-        m = np.array([sum(node(t, r) for t in self.trees) for r in x])
-        return 1 / (1 + np.exp(-(m * self.slope + self.offset)))
+        return np.array([sum(node(t, r) for t in self.trees) for r in x])
+
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities, and whether they reach their kind's threshold."""
+        own = np.array([self.kinds[kind] for kind in kinds_of(x)]).reshape(-1, 3)
+        p = 1 / (1 + np.exp(-(self.margins(x) * own[:, 0] + own[:, 1])))
+        return p, p >= own[:, 2]
+
+
+def kinds_of(x: np.ndarray) -> list[str]:
+    """The kind of each row of features, by the generator that proposed it."""
+    return [GENERATORS[int(k)][0] for k in x[:, FEATURES.index("source")]]
+
+
+def calibrated(m: np.ndarray, t: np.ndarray, precision: float) -> tuple[float, float, float]:
+    """(slope, offset, threshold) for margins m of labels t: a logistic curve, drawn to the margin itself where there is
+    little to go by, and the least probability, 0.5 at least, from which on precision is reached; 1 and more if none does."""
+    w = np.array([1.0, 0.0])
+    d = np.stack([m, np.ones(len(m))], 1)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-d @ w))
+        w += np.linalg.solve((d * (q * (1 - q))[:, None]).T @ d + 0.05 * np.eye(2), d.T @ (t - q) - 0.05 * (w - [1, 0]))
+    q = 1 / (1 + np.exp(-d @ w))
+    good = [c for c in np.unique(np.floor(q * 1000) / 1000) if c >= 0.5 and (chosen := q >= c).any() and t[chosen].mean() >= precision]
+    return float(w[0]), float(w[1]), float(good[0]) if good else 1.01
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, precision: float = 0.98) -> Trees:
-    """Newton-boosted depth-two trees on three quarters of the rows; the rest calibrates their sum
-    and gives the least threshold, 0.5 at least, at which precision is reached."""
+    """Newton-boosted depth-two trees on three quarters of the rows; the rest calibrates their sum, each kind apart."""
     held = np.arange(len(y)) % 4 == 3
     a, b = x[~held], y[~held]
     cuts = [(f, c) for f in range(x.shape[1]) for c in (np.unique(a[:, f])[:-1] + np.unique(a[:, f])[1:]) / 2]
@@ -252,24 +280,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, preci
             sides.append((cuts[k][0], float(cuts[k][1]), low, high))
         score += value
         trees.append((cuts[top][0], float(cuts[top][1]), *sides))
-    raw = Trees(tuple(trees), 1.0, 0.0, 0.5)
-    p = np.clip(raw.predict(x[held]), 1e-9, 1 - 1e-9)
-    m, t = np.log(p / (1 - p)), y[held]
-    w = np.array([1.0, 0.0])
-    d = np.stack([m, np.ones(len(m))], 1)
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-d @ w))
-        w += np.linalg.solve((d * (q * (1 - q))[:, None]).T @ d + 0.05 * np.eye(2), d.T @ (t - q) - 0.05 * (w - [1, 0]))
-    q = 1 / (1 + np.exp(-d @ w))
-    good = [c for c in np.unique(np.round(q, 3)) if c >= 0.5 and (chosen := q >= c).any() and t[chosen].mean() >= precision]
-    return Trees(raw.trees, float(w[0]), float(w[1]), float(good[0]) if good else 1.0)
+    raw = Trees(tuple(trees), {})
+    kinds, m = np.array(kinds_of(x[held])), raw.margins(x[held])
+    return Trees(raw.trees, {kind: calibrated(m[kinds == kind], y[held][kinds == kind], precision) for kind in sorted({g[0] for g in GENERATORS})})
 
 
 def snippets(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, int]]:
     """Labelled texts with one proposed span each: personal data in its usual company, and look-alikes."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice(["an", "er", "tion", "on", "the", "li", "mo", "ka", "st"]) for _ in range(r.randint(1, 3)))
+    word = lambda: "".join(r.choice(["an", "er", "tion", "on", "the", "li", "mo", "ka", "st", "sch", "ung", "eau", "é", "ción", "os", "ein"]) for _ in range(r.randint(1, 3)))
 
     def card(good: bool) -> str:
         body = "4" + d(14)
@@ -281,8 +301,15 @@ def snippets(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, int]]:
         return mark.join(s[k : k + 4] for k in range(0, len(s), 4))
 
     def one(kind: str, own: bool) -> str:
-        near = {"phone": ["call", "tel", "Tel:", "phone", "mobile", "fax"], "mail": ["mail", "contact", "write to"], "card": ["card", "credit card", "visa", "payment"], "id": ["ssn", "SSN:", "social security", "tax id"], "bank": ["IBAN", "bank account", "transfer to"], "net": ["host", "server", "ip address", "login from"]}
-        off = ["order", "invoice", "part", "sku", "version", "isbn", "serial", "model", "page", "item", "ref", "batch"]
+        near = {
+            "phone": ["call", "tel", "Tel:", "phone", "mobile", "fax", "Telefon", "Anruf unter", "Handy", "Tél.", "appelez le", "portable", "teléfono", "llame al", "móvil"],
+            "mail": ["mail", "contact", "write to", "E-Mail", "schreiben an", "Kontakt", "écrire à", "courriel", "correo", "escriba a"],
+            "card": ["card", "credit card", "visa", "payment", "Karte", "Kreditkarte", "Zahlung", "carte", "paiement", "tarjeta", "pago"],
+            "id": ["ssn", "SSN:", "social security", "tax id", "Sozialversicherung", "Ausweis", "Steuer", "sécurité sociale", "passeport", "seguridad social", "pasaporte", "DNI"],
+            "bank": ["IBAN", "bank account", "transfer to", "Konto", "Überweisung an", "compte", "virement à", "cuenta", "banco"],
+            "net": ["host", "server", "ip address", "login from", "Rechner", "Adresse", "serveur", "connexion", "servidor", "dirección"],
+        }
+        off = ["order", "invoice", "part", "sku", "version", "isbn", "serial", "model", "page", "item", "ref", "batch", "Bestellung", "Rechnung", "Teil", "Seite", "Artikel", "commande", "facture", "pièce", "article", "réf.", "pedido", "factura", "pieza", "página", "lote"]
         if kind == "email":
             mark = r.choice([" (at) ", "[at]", " [at] ", "(at)"])
             dot = r.choice([".", " [dot] ", " dot ", "(dot)"])
@@ -340,9 +367,9 @@ def find(docs: DataFrame, model: Trees | None = None) -> DataFrame:
         return F.coalesce(F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), empty)
 
     based = _proposals(placed.select(*df.columns, F.concat(*map(kept, BASE)).alias("base")))
-    scored = F.transform("proposed", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), model.probability(p["x"]).alias("p")))
+    scored = F.transform("proposed", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["kind"].alias("kind"), model.probability(p["x"], p["kind"]).alias("p")))
     item = "struct<start:int,rank:int,end:int,kind:string,p:double>"
-    good = F.filter(scored, lambda s: s["p"] >= model.threshold)
+    good = F.filter(scored, lambda s: model.chosen(s["p"], s["kind"]))
     own = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p")))
     fixed = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(2.0).alias("p")))
     none, empty_items = F.lit(None).cast(item), F.array().cast(f"array<{item}>")

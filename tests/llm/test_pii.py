@@ -73,12 +73,33 @@ def test_trees_agree_with_their_expressions_and_hold_out(spark):
     rows = spark.createDataFrame(p.snippets(800, seed=99), "text string, y int")
     from pyspark.sql import functions as F
 
-    one = p._proposals(rows).where(F.size("proposed") > 0).select("y", F.element_at("proposed", 1)["x"].alias("x"))
-    got = one.select("y", "x", model.probability(F.col("x")).alias("p")).collect()
-    x, y = np.array([tuple(r.x) for r in got]), np.array([r.y for r in got])
-    assert np.array([r.p for r in got]) == pytest.approx(model.predict(x), abs=1e-9)
-    said = np.array([r.p >= model.threshold for r in got])
+    one = p._proposals(rows).where(F.size("proposed") > 0).select("y", F.element_at("proposed", 1).alias("p")).select("y", "p.x", "p.kind")
+    score = model.probability(F.col("x"), F.col("kind"))
+    got = one.select("y", "x", "kind", score.alias("p"), model.chosen(score, F.col("kind")).alias("said")).collect()
+    x, y, kinds = np.array([tuple(r.x) for r in got]), np.array([r.y for r in got]), np.array([r.kind for r in got])
+    chance, said = model.predict(x)
+    assert np.array([r.p for r in got]) == pytest.approx(chance, abs=1e-9)
+    assert [r.said for r in got] == said.tolist() and p.kinds_of(x) == kinds.tolist()
     assert len(y) > 700 and y[said].mean() > 0.95 and said[y == 1].mean() > 0.7
+    assert set(model.kinds) == set(kinds) and len({t for _, _, t in model.kinds.values()}) > 1
+    for kind, (_, _, threshold) in model.kinds.items():
+        own = kinds == kind
+        assert y[own & said].mean() > 0.9 or threshold > 1
+
+
+def test_thresholds_are_calibrated_apart():
+    """A kind whose labels are noise gets a threshold that nothing reaches; a clean one doesn't."""
+    rnd = np.random.default_rng(3)
+    m = rnd.normal(size=4000) * 3
+    slope, offset, threshold = p.calibrated(m, (rnd.random(4000) < 1 / (1 + np.exp(-2 * m - 1))).astype(float), 0.95)
+    assert slope == pytest.approx(2, abs=0.3) and offset == pytest.approx(1, abs=0.3) and 0.5 <= threshold < 1
+    assert p.calibrated(m, (rnd.random(4000) < 0.5).astype(float), 0.98)[2] > 0.5
+
+
+def test_context_words_of_four_languages(spark, tmp_path):
+    texts = [f"{w} (212) 555-0187 bitte" for w in ("Telefon:", "Tél.", "teléfono", "llame al", "Anruf unter", "appelez le")] + [f"{w} 078-05-1120" for w in ("Ausweis", "pasaporte", "passeport")] + ["Bestellung 078-05-1120", "facture 078-05-1120", "factura 078-05-1120"]
+    got = {r.doc_id: r.spans for r in table(spark, tmp_path, list(enumerate(texts))).collect()}
+    assert [got[i].split(":")[0] for i in range(len(texts))] == ["phone"] * 6 + ["number"] * 3 + [""] * 3
 
 
 def test_added_spans(spark, tmp_path):
@@ -96,11 +117,11 @@ def added_by_brute_force(text, model):
             t, before, digits = m[0], text[max(0, m.start() - p.CONTEXT) : m.start()], re.sub("[^0-9]", "", m[0])
             letters = len(re.sub("[^A-Za-z]", "", t))
             total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(int(c) for c in digits[::-1]))
-            near = [int(bool(re.search(rf"\b(?:{w})", before.lower()))) for w in p._CONTEXT.values()]
+            near = [int(bool(re.search(rf"(?<![a-zà-ÿ0-9_])(?:{w})", before.lower()))) for w in p._CONTEXT.values()]
             x = [len(digits), letters, len(t) - len(digits) - letters, len(set(digits)), len(t), int(1 <= len(digits) <= 40 and total % 10 == 0), *near, int(bool(re.search("[A-Za-z0-9]$", before))), int(bool(re.match("[A-Za-z0-9]", text[m.end() : m.end() + 1]))), int(bool(re.search(r"[(\[{]", t))), k]
             found.append((m.start(), m.end(), kind, x))
-    said = model.predict(np.array([f[3] for f in found], float)) if found else []
-    good = sorted((a, b, kind, q) for (a, b, kind, _), q in zip(found, said) if q >= model.threshold and not any(c < b and a < d for c, d in base))
+    chance, said = model.predict(np.array([f[3] for f in found], float)) if found else ([], [])
+    good = sorted((a, b, kind, q) for (a, b, kind, _), q, yes in zip(found, chance, said) if yes and not any(c < b and a < d for c, d in base))
     out = []
     for x in good:
         if not out or out[-1][1] <= x[0]:
