@@ -46,9 +46,9 @@ class Settings:
     wide: int = 2048
 
 
-def segments(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor, segment hash) of each run of windows with one anchor."""
-    h = common.word_hashes(words)
+def segments(words: list[bytes] | bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor, segment hash) of each run of windows with one anchor, in a text or its words."""
+    h = common.text_hashes(words if isinstance(words, bytes) else b" ".join(words))
     n = len(h) - s.width + 1
     if n <= 0:
         none = np.empty(0, np.int64)
@@ -77,7 +77,7 @@ def _anchors(docs: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             anchors, segs = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                _, _, a, g = segments((text or b"").split(), s)
+                _, _, a, g = segments(text or b"", s)
                 if len(g) > 1:
                     order = np.argsort(g, kind="stable")
                     same = g[order][1:] == g[order][:-1]
@@ -120,7 +120,7 @@ def _texts(rows: DataFrame, s: Settings, wide: bool) -> DataFrame:
                 met.add(key)
                 words = (text or b"").split()
                 want = {w["segment"]: w for w in wanted}
-                first, count, _, g = segments(words, s)
+                first, count, _, g = segments(text or b"", s)
                 keys = g.view(np.int64)
                 for k in np.flatnonzero(np.isin(keys, np.fromiter(want, np.int64, len(want)))).tolist():
                     w = want.pop(int(keys[k]), None)
@@ -130,7 +130,7 @@ def _texts(rows: DataFrame, s: Settings, wide: bool) -> DataFrame:
                     if not wide:
                         out.append((w["anchor"], w["segment"], w["segment"], 0, w["weight"], b" ".join(own)))
                         continue
-                    pieces = common.windows(common.word_hashes(own), s.width).view(np.int64)
+                    pieces = common.windows(common.text_hashes(b" ".join(own)), s.width).view(np.int64)
                     out += [(w["anchor"], p, w["segment"], o, w["weight"], b" ".join(own[o : o + s.width])) for o, p in enumerate(pieces.tolist())]
                     if len(out) >= 10_000:
                         yield flush()

@@ -48,7 +48,7 @@ def by_neighbours(held: list[tuple[int, list[bytes]]], weights: np.ndarray, s: s
     anchors: dict[int, int] = {}
     for k, (anchor, words) in enumerate(held):
         symbols = [ids.setdefault(w, len(ids) + 1) for w in words]
-        at[k] = a = int(np.flatnonzero(common.windows(common.word_hashes(words), s.anchor).view(np.int64) == anchor)[0])
+        at[k] = a = int(np.flatnonzero(common.windows(common.text_hashes(b" ".join(words)), s.anchor).view(np.int64) == anchor)[0])
         right[k, 0] = anchors.setdefault(anchor, len(anchors) + 1)
         behind = symbols[a : a + reach]
         right[k, 1 : 1 + len(behind)] = behind

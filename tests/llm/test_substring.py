@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessella.llm import fm
+from tessella.llm import common, fm
 from tessella.llm import substring as s
 
 
@@ -92,3 +92,16 @@ def test_many_equal_rows_hide_no_repeat_of_others(spark, settings):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = Counter((r.n_words, r.n_removed, bytes(r.kept)) for r in s.removed(docs, settings).collect())
     assert got == Counter(brute([t for _, t in rows], settings.width))
+
+
+def test_text_hashes_follow_the_words():
+    """Equal words have equal hashes wherever they stand, different words different ones, at all lengths."""
+    rnd = random.Random(8)
+    words = sorted({bytes(rnd.choice([0, 1, 97, 98, 200, 255]) for _ in range(rnd.choice([1, 2, 7, 8, 9, 16, 17, 40, 255, 256, 257, 300]))) for _ in range(3000)} | {b"a" * k for k in range(1, 600)} | {b"\x00" * k for k in range(1, 40)})
+    seen = dict(zip(words, common.text_hashes(b" ".join(words)).tolist(), strict=True))
+    assert len(set(seen.values())) == len(words)
+    for _ in range(300):
+        text = b"".join(rnd.choice(words) + rnd.choice([b" ", b"\n", b"\t\r ", b"\x0b\x0c"]) for _ in range(rnd.randint(0, 12)))
+        text = rnd.choice([b"", b" ", b"\n "]) + text
+        assert common.text_hashes(text).tolist() == [seen[w] for w in text.split()]
+    assert len(common.text_hashes(b"")) == len(common.text_hashes(b" \n")) == 0
