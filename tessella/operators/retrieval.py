@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import refdata
+from tessella.functions.storing import stored
 from tessella.functions.text import chunks, tokens
 
+#: Words that a plan may hold as a list.
+LISTED = 2000
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with page and chunk: one row a chunk."""
@@ -33,19 +36,37 @@ def document_frequencies(chunk_rows: DataFrame, group: list[str]) -> DataFrame:
     return rows.groupBy(*group, "token").agg(F.count("*").alias("df"))
 
 
+def asked_words(chunk_rows: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, length, token) rows, stored: of each chunk its number of tokens and those that are wanted(token); chunks without
+    any have one row of null token. Chunks are tokenised once, and their text is read no more.
+
+    LISTED wanted words at most are written into the plan and picked from the array before it is exploded; more than that are
+    joined, since a list in a plan must be bounded."""
+    listed = [r.token for r in wanted.select("token").distinct().limit(LISTED + 1).collect()]
+    rows = chunk_rows.withColumn("_tokens", tokens("chunk"))
+    if len(listed) <= LISTED:
+        picked = rows.select(*keep, F.size("_tokens").alias("length"), F.filter("_tokens", lambda t: t.isin(listed) if listed else F.lit(False)).alias("_own"))
+        return stored(picked).select(*keep, "length", F.explode_outer("_own").alias("token"))
+    each = rows.select(*keep, F.size("_tokens").alias("length"), F.explode_outer(F.concat("_tokens", F.array(F.lit(None).cast("string")))).alias("_token"))
+    words = wanted.select("token").distinct()
+    return stored(each.join(words, each["_token"] == words["token"], "left").where("token IS NOT NULL OR _token IS NULL").drop("_token"))
+
+
 def bm25(chunk_rows: DataFrame, queries: DataFrame, group: list[str], keys: list[str], k: int = 5) -> DataFrame:
-    """(group, query_id, keys, score, rank): the k best chunks of each group for queries(query_id, query).
+    """(group, query_id, keys, score, rank): the k best chunks of each group for queries(query_id, query); group and keys name a chunk.
 
-    A query's repeated words count each time. Scores of zero are no hits; ties go to the smaller keys.
-    """
+    A query's repeated words count each time. Scores of zero are no hits; ties go to the smaller keys. A common word of a
+    large group has many rows, but they meet one row of weights for each query, in a join that Spark can split."""
     asked = queries.select("query_id", F.explode(tokens("query")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    sizes = chunk_rows.select(*group, F.size(tokens("chunk")).alias("length")).groupBy(*group).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
-    tf = term_frequencies(chunk_rows, [*group, *keys], asked)
+    words = asked_words(chunk_rows, asked, [*group, *keys])
+    tf = words.groupBy(*group, *keys, "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    sizes = words.groupBy(*group, *keys).agg(F.first("length").alias("length")).groupBy(*group).agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
+    tf = tf.where("token IS NOT NULL")
     df = tf.groupBy(*group, "token").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     share = F.col("tf") * (refdata.BM25_K1 + 1) / (F.col("tf") + refdata.BM25_K1 * (1 - refdata.BM25_B + refdata.BM25_B * F.col("length") / F.col("avg_length")))
-    weights = df.join(sizes, group).select(*group, "token", idf.alias("idf"), "avg_length")
-    scored = tf.join(weights, [*group, "token"]).withColumn("share", share).join(asked, "token")
+    weights = df.join(sizes, group).join(asked, "token").select(*group, "token", "query_id", "times", idf.alias("idf"), "avg_length")
+    scored = tf.join(weights, [*group, "token"]).withColumn("share", share)
     total = scored.groupBy(*group, "query_id", *keys).agg(F.sum(F.col("idf") * F.col("share") * F.col("times")).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy(*group, "query_id").orderBy(F.desc(F.round("score", 4)), *keys))
     return total.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
