@@ -606,6 +606,17 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(rows, References(standin.taxonomy(spark), None, standin.master(p)))
 
 
-@query()
+_SINGULAR = "CASE fine WHEN 'Bolts' THEN 'BOLT' WHEN 'Rings' THEN 'RING' WHEN 'Anvils' THEN 'ANVIL' WHEN 'Gears' THEN 'GEAR' WHEN 'Plates' THEN 'PLATE' WHEN 'Valves' THEN 'VALVE' END"
+_ENRICH_SQL = f"""WITH RECURSIVE {_CONTENT_SQL.removeprefix("WITH ").rstrip()}, {_SCORED_SQL[_SCORED_SQL.index("rt AS"):_SCORED_SQL.index(", st AS")]}, {standin.CATALOGUE_SQL}, {_CLEANED_SQL}, {standin.TAXONOMY_SQL},
+t AS (SELECT DISTINCT lower(part_desc) AS text FROM cln WHERE part_desc IS NOT NULL), {_KEYWORD_SQL}, rest AS (SELECT text FROM t WHERE text NOT IN (SELECT text FROM keyed)), {_LIKE_SQL},
+every AS (SELECT text, dept, class_name, fine, confidence FROM keyed UNION ALL SELECT text, dept, class_name, fine, round(score, 4) FROM liked WHERE rank = 1 AND score >= 0.3),
+e AS (SELECT c.*, y.dept, y.class_name, y.fine, round(0.25 * 0.35 + 0.25 * coalesce(y.confidence, 0) + 0.2 * lov + 0.15 * unit + 0.15 * ground, 4) AS overall, flagged, lov, unit, ground,
+    left(concat_ws(' ', {_SINGULAR.replace("fine", "y.fine")}, upper(mount), cyc, short_mat, CASE WHEN volt = '240.0' THEN '240' ELSE volt END || 'V', amp || upper(amp_uom)), 40) AS invoice, b.p_brand
+  FROM cln c JOIN rt ON rt.p_partkey = c.p_partkey JOIN x ON x.p_partkey = c.p_partkey JOIN part b ON b.p_partkey = c.p_partkey LEFT JOIN every y ON y.text = lower(c.part_desc))
+SELECT row_id, mpn, coalesce(part_manuf, unilog_brand, e1_brand, dib_brand) AS manufacturer_name, CASE WHEN coalesce(unilog_brand, e1_brand, dib_brand) IS NOT NULL THEN p_brand END AS brand_name,
+  dept || '>' || class_name || '>' || fine AS classpath, invoice, overall, CASE WHEN overall > 0.85 THEN 'HIGH' WHEN overall >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS status, overall < 0.6 OR flagged AS needs_review FROM e"""
+
+
+@query(_ENRICH_SQL)
 def enrich_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _enriched(spark, sf_dir).select("row_id", "mpn", "manufacturer_name", "brand_name", "classpath", F.try_element_at("descriptions", F.lit("INVOICE_DESC")).alias("invoice"), "confidence.overall", "confidence.status", "confidence.needs_review")
