@@ -6,7 +6,8 @@ longest matches; it steps back to a shorter token wherever the last two tokens c
 stand side by side, that is wherever merging their joined bytes would give other tokens.
 That test is memoised, so the walk is linear and reproduces the merges exactly.
 
-Null text counts as empty text: no ids. Every row gives one row; other columns are not read.
+Null text counts as empty text: no ids. Every row gives one row, repeated rows too, and an empty table
+none; other columns are not read.
 """
 
 from __future__ import annotations

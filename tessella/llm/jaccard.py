@@ -25,7 +25,7 @@ the cluster; nothing is collected or broadcast but bitmaps of fixed size.
 
 Null or wordless text has an empty set and is linked with nothing: its component is its own
 doc_id. Repeated rows are one class. A null doc_id takes part, and is the component's id only
-if no other id is there. Other columns are not read. Tokens are 64-bit hashes of shingles, and
+if no other id is there. Other columns are not read, and an empty table gives no rows. Tokens are 64-bit hashes of shingles, and
 a class is known by a 64-bit hash of its set.
 """
 

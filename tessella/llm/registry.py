@@ -7,30 +7,27 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+# All at once: where a dependency of one is missing, the whole subpackage is, and the entry leaves it out.
+from tessella.llm import alignment, bpe, divergence, jaccard, licenses, neighbours, packing, pii, quality, secrets, substring, suffixes, trie
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = {
-    "op1_byte_bpe": "bpe",
-    "op2_license_scan": "licenses",
-    "op3_substring_dedup": "substring",
-    "op4_nearest_neighbours": "neighbours",
-    "op5_pii": "pii",
-    "op6_suffix_dedup": "suffixes",
-    "op7_secret_scan": "secrets",
-    "op8_quality_rules": "quality",
-    "op9_jaccard_join": "jaccard",
-    "op10_packing": "packing",
-    "op11_alignment": "alignment",
-    "op12_source_divergence": "divergence",
-    "op13_trie_bpe": "trie",
+_QUERIES: dict[str, Query] = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op3_substring_dedup": substring.op3_substring_dedup,
+    "op4_nearest_neighbours": neighbours.op4_nearest_neighbours,
+    "op5_pii": pii.op5_pii,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_packing": packing.op10_packing,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_trie_bpe": trie.op13_trie_bpe,
 }
-
-
-def _query(name: str, module: str) -> Query:
-    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(import_module(f"tessella.llm.{module}"), name)(spark, sf_dir)
-
-    return call
+_SQL = {"op3_substring_dedup": substring.SQL, "op6_suffix_dedup": suffixes.SQL, "op8_quality_rules": quality.SQL, "op12_source_divergence": divergence.SQL}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +35,8 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _query(name, module) for name, module in _MODULES.items()} | {"pipeline": _pipeline}
+    return _QUERIES | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f"tessella.llm.{module}"), "SQL", None) for name, module in _MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return dict(_SQL)
