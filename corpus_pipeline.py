@@ -4,6 +4,10 @@ Each stage works on all rows that the one before it kept, and its decisions take
 texts that the quality rules reject go, one document of each group of near copies stays,
 passages that occur elsewhere are cut out, secrets are blanked, and what is left is packed.
 All but the last return the columns of documents.
+
+Null and empty texts fail the quality rules and go; repeated rows are copies of each other, of which
+one stays; ties between copies go to the smaller doc_id; very long texts are worked on whole. Further
+columns are kept, whatever their names, up to the last stage. An empty table gives an empty table.
 """
 
 from __future__ import annotations
