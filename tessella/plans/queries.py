@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import refdata, text, udfs, units
+from tessella.functions import text, udfs, units
 from tessella.operators import attributes, catalogue, classify, content, delivery, discovery, metrics, resolve, retrieval, review, validate
-from tessella.plans import standin
+from tessella.plans import oracles, standin
 from tessella.plans.enrich import References, enrich
 from tessella.sources import providers, tables
 
@@ -35,28 +35,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(table: dict[str, str], names: str) -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    return f"(VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v in table.items())}) AS {names}"
-
-
-def _list(items: list[str]) -> str:
-    return "(" + ", ".join("'" + i + "'" for i in items) + ")"
-
-
-_CLEAN = lambda c: f"CASE WHEN lower(trim({c})) NOT IN {_list(refdata.PLACEHOLDERS)} THEN trim({c}) END"
+_CLEAN = lambda c: f"CASE WHEN lower(trim({c})) NOT IN {oracles.PLACEHOLDERS} THEN trim({c}) END"
 _CLEANED_SQL = f"cln AS (SELECT p_partkey, row_id, {_CLEAN('Mfg_Part_Num')} AS mpn, {_CLEAN('Part_Desc')} AS part_desc, {_CLEAN('E1_Brand')} AS e1_brand, {_CLEAN('Unilog_Brand')} AS unilog_brand, {_CLEAN('DIB_Brand')} AS dib_brand, {_CLEAN('Part_Manuf')} AS part_manuf FROM cat)"
 _WITH = f"WITH {standin.CATALOGUE_SQL}, {_CLEANED_SQL} "
 _MASTER_SQL = "master AS (SELECT p_brand AS name, concat('B-', split_part(p_brand, '#', 2)) AS code, min(p_partkey) AS ordinal FROM part GROUP BY p_brand)"
-_UNITS_SQL = _values(refdata.inverted(refdata.UNITS), "u(spelling, uom)")
-_VALUES_SQL = _values(refdata.inverted(refdata.VALUES), "v(spelling, canonical)")
+_UNITS_SQL = oracles.UNITS
+_VALUES_SQL = oracles.VALUES
 #: Fractions of an inch for a column n of numbers.
 _FRACTION = lambda n: f"""(CASE WHEN round_even(({n} - floor({n})) * 64, 0) IN (0, 64) THEN CAST(CAST(floor({n}) + CASE WHEN round_even(({n} - floor({n})) * 64, 0) = 64 THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR)
   ELSE (CASE WHEN floor({n}) = 0 THEN '' ELSE CAST(CAST(floor({n}) AS BIGINT) AS VARCHAR) || '-' END) ||
     CAST(CAST(round_even(({n} - floor({n})) * 64, 0) AS INT) // gcd(CAST(round_even(({n} - floor({n})) * 64, 0) AS INT), 64) AS VARCHAR) || '/' || CAST(64 // gcd(CAST(round_even(({n} - floor({n})) * 64, 0) AS INT), 64) AS VARCHAR) END)"""
 _ATTR_SQL = f"""{standin.ATTRIBUTES_SQL}, attr0 AS (
   SELECT p_partkey, pos, label, nullif(trim(candidate_value), '') AS raw_value, nullif(trim(candidate_uom), '') AS raw_uom, candidate_uom, source, source_page, CASE WHEN coalesce(confidence, 0) = 0 THEN 0.5 ELSE confidence END AS confidence,
-    (SELECT uom FROM {_UNITS_SQL} WHERE spelling = lower(trim(candidate_uom))) AS known, (SELECT canonical FROM {_VALUES_SQL} WHERE spelling = lower(trim(candidate_value))) AS canonical, lower(label) NOT IN {_list(refdata.CONTROLLED_LABELS)} AS free FROM cand),
+    (SELECT uom FROM {_UNITS_SQL} WHERE spelling = lower(trim(candidate_uom))) AS known, (SELECT canonical FROM {_VALUES_SQL} WHERE spelling = lower(trim(candidate_value))) AS canonical, lower(label) NOT IN {oracles.CONTROLLED_LABELS} AS free FROM cand),
 attr AS (SELECT p_partkey, pos, label,
     CASE WHEN raw_value IS NULL THEN NULL WHEN known = 'in' AND try_cast(raw_value AS DOUBLE) IS NOT NULL THEN {_FRACTION("try_cast(raw_value AS DOUBLE)")} WHEN free OR canonical IS NULL THEN raw_value ELSE canonical END AS value,
     CASE WHEN raw_value IS NULL THEN nullif(candidate_uom, '') ELSE coalesce(known, raw_uom) END AS uom, raw_value, source, source_page, confidence,
@@ -226,7 +217,7 @@ def query_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cleaned(spark, sf_dir, "p_partkey").select("p_partkey", F.array_join(discovery.search_queries(F.col("mpn"), F.col("part_manuf"), F.col("part_desc"), F.lit("Things")), " / ").alias("queries"))
 
 
-@query(f"SELECT page_id, len(list_filter({[*refdata.BLOCKED_SITES]}, lambda s: contains(lower(u), s))) > 0 AS blocked, regexp_replace(regexp_replace(u, '^https?://', '', 'i'), '/$', '') AS short FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.Rebuilders.com/' WHEN 1 THEN 'http://x.ebay.com/a/' ELSE url END AS u FROM pages)")
+@query(f"SELECT page_id, len(list_filter({oracles.BLOCKED_SITES}, lambda s: contains(lower(u), s))) > 0 AS blocked, regexp_replace(regexp_replace(u, '^https?://', '', 'i'), '/$', '') AS short FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.Rebuilders.com/' WHEN 1 THEN 'http://x.ebay.com/a/' ELSE url END AS u FROM pages)")
 def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.expr("CASE page_id % 5 WHEN 0 THEN 'https://www.Rebuilders.com/' WHEN 1 THEN 'http://x.ebay.com/a/' ELSE url END")
     return _read(spark, sf_dir, "pages").select("page_id", discovery.blocked(u).alias("blocked"), text.short_url(u).alias("short"))
@@ -436,7 +427,7 @@ def feature_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- Validation and scores -------------------------------------------------------------------------------------------
-_SCORED_SQL = f"""WITH {_ATTR_SQL}, rt AS (SELECT p_partkey, round(coalesce(avg(CAST(lov_matched AS INT)) FILTER (WHERE value IS NOT NULL), 1.0), 4) AS lov, round(coalesce(avg(CAST(uom IN {_list(refdata.KNOWN_UNITS)} AS INT)) FILTER (WHERE uom IS NOT NULL), 1.0), 4) AS unit, round(coalesce(avg(CAST(length(trim(coalesce(source, ''))) > 0 AS INT)) FILTER (WHERE value IS NOT NULL), 1.0), 4) AS ground,
+_SCORED_SQL = f"""WITH {_ATTR_SQL}, rt AS (SELECT p_partkey, round(coalesce(avg(CAST(lov_matched AS INT)) FILTER (WHERE value IS NOT NULL), 1.0), 4) AS lov, round(coalesce(avg(CAST(uom IN {oracles.KNOWN_UNITS} AS INT)) FILTER (WHERE uom IS NOT NULL), 1.0), 4) AS unit, round(coalesce(avg(CAST(length(trim(coalesce(source, ''))) > 0 AS INT)) FILTER (WHERE value IS NOT NULL), 1.0), 4) AS ground,
   max(CAST(needs_review AS INT)) = 1 AS flagged, count(*) FILTER (WHERE value IS NOT NULL) AS valued FROM attr GROUP BY p_partkey),
 sr AS (SELECT *, round(0.25 * (p_partkey % 100) / 99.0 + 0.25 * 0.65 + 0.2 * lov + 0.15 * unit + 0.15 * ground, 4) AS overall FROM rt), st AS (SELECT *, CASE WHEN overall > 0.85 THEN 'HIGH' WHEN overall >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS status FROM sr) """
 
@@ -457,7 +448,7 @@ def char_limit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ATTR_SQL}, i AS (SELECT p_partkey, 0 AS g, pos, 'LOV non-compliance: attribute ''' || label || ''' value=''' || value || ''' not LOV-matched -- needs human review' AS s FROM attr WHERE value IS NOT NULL AND NOT lov_matched
- UNION ALL SELECT p_partkey, 1, pos, 'UOM non-compliance: attribute ''' || label || ''' uom=''' || uom || ''' not in approved UOM set' FROM attr WHERE uom IS NOT NULL AND uom NOT IN {_list(refdata.KNOWN_UNITS)}
+ UNION ALL SELECT p_partkey, 1, pos, 'UOM non-compliance: attribute ''' || label || ''' uom=''' || uom || ''' not in approved UOM set' FROM attr WHERE uom IS NOT NULL AND uom NOT IN {oracles.KNOWN_UNITS}
  UNION ALL SELECT p_partkey, 2, pos, 'Ungrounded: attribute ''' || label || ''' value=''' || value || ''' has no source -- needs review' FROM attr WHERE value IS NOT NULL AND trim(coalesce(source, '')) = '')
 SELECT p_partkey, true AS valid, coalesce(string_agg(s, ' / ' ORDER BY g, pos), '') AS issues FROM part LEFT JOIN i USING (p_partkey) GROUP BY p_partkey""")
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
