@@ -1,4 +1,4 @@
-"""python -m tessella CATALOGUE TAXONOMY OUT [--limit N] [--master FILE] [--delivery FOLDER] [--layout FILE]: enrich a catalogue file and print the report."""
+"""python -m tessella CATALOGUE TAXONOMY OUT [--limit N] [--master FILE] [--delivery FOLDER] [--layout FILE] [--snapshot FOLDER]: enrich a catalogue file and print the report."""
 
 import argparse
 import json
@@ -17,8 +17,9 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--master", help="CSV, JSON, Parquet or Excel file of manufacturers and brands")
     parser.add_argument("--delivery", help="folder for the delivery table as CSV")
     parser.add_argument("--layout", help="CSV whose header is the delivery layout")
+    parser.add_argument("--snapshot", help="folder where all results become visible together")
     a = parser.parse_args(args)
-    print(json.dumps(run(SparkSession.builder.appName("tessella").getOrCreate(), a.catalogue, a.taxonomy, a.out, a.limit, a.master, a.delivery, a.layout)))
+    print(json.dumps(run(SparkSession.builder.appName("tessella").getOrCreate(), a.catalogue, a.taxonomy, a.out, a.limit, a.master, a.delivery, a.layout, a.snapshot)))
 
 
 if __name__ == "__main__":

@@ -14,7 +14,7 @@ from tessella.operators import delivery, metrics, positions
 from tessella.operators.attributes import CANDIDATE
 from tessella.plans import envelope
 from tessella.plans.enrich import References, Services, stages
-from tessella.sources import tables
+from tessella.sources import snapshots, tables
 
 
 def enveloped(rows: DataFrame, refs: References, services: Services = Services(), extra: Sequence[envelope.Stage] = ()) -> DataFrame:
@@ -60,13 +60,14 @@ def sample_products(spark: SparkSession) -> DataFrame:
     return validate.scored(content.with_content(df.withColumn("attributes", attributes.normalise_all(F.col("candidates"))).drop("candidates")))
 
 
-def run(spark: SparkSession, source: str, taxonomy: str, out: str, limit: int | None = None, master: str | None = None, delivery_path: str | None = None, layout: str | None = None) -> dict:
+def run(spark: SparkSession, source: str, taxonomy: str, out: str, limit: int | None = None, master: str | None = None, delivery_path: str | None = None, layout: str | None = None, snapshot: str | None = None) -> dict:
     """A catalogue file through the enrichment; returns the report and the seconds taken.
 
     out gets the products as JSON, out + '-errors' the rows that can't be enriched, with stage and reason, if there are any.
     delivery_path gets one CSV row for each input row, in their order; those of bad rows hold what came in. taxonomy: Parquet
     of (ordinal, dept, class_name, fine, keywords). master: a table of manufacturers and brands; without one, names pass
-    through. layout: a CSV whose header is the delivery layout. limit: the first rows of the file."""
+    through. layout: a CSV whose header is the delivery layout. limit: the first rows of the file. snapshot: a folder where products,
+    errors, delivery and metrics become visible together, see sources.snapshots."""
     start = time.time()
     rows, headers = tables.read_catalogue(spark, source)
     rows = tables.first_rows(positions.row_index(rows.select(*refdata.CATALOGUE_COLUMNS)), envelope.INDEX, limit)
@@ -78,10 +79,15 @@ def run(spark: SparkSession, source: str, taxonomy: str, out: str, limit: int |
     errors = bad.count()
     if errors:
         tables.write_products(bad, f"{out.rstrip('/')}-errors")
+    columns = tables.read_headers(spark, layout)
+    every = [*columns, envelope.INDEX]
+    delivered = delivery.delivery(good, every).unionByName(delivery.complete(bad.drop("stage", "reason"), every))
+    delivered = delivered.orderBy(F.col(envelope.INDEX).cast("long")).drop(envelope.INDEX)
     if delivery_path:
-        columns = tables.read_headers(spark, layout)
-        every = [*columns, envelope.INDEX]
-        delivered = delivery.delivery(good, every).unionByName(delivery.complete(bad.drop("stage", "reason"), every))
-        tables.write_delivery(delivered.orderBy(F.col(envelope.INDEX).cast("long")).drop(envelope.INDEX), delivery_path, columns)
+        tables.write_delivery(delivered, delivery_path, columns)
+    if snapshot:
+        complete = {"no row id": F.col("row_id").isNotNull(), "no score": F.col("confidence.status").isNotNull()}
+        parts = {"products": good.drop(envelope.INDEX), "errors": bad, "delivery": delivered, "metrics": metrics.batch_metrics(good)}
+        snapshots.publish(spark, snapshot, parts, {"products": complete}, {"products": snapshots.json, "delivery": snapshots.csv})
     report = metrics.batch_metrics(spark.read.schema(good.schema).json(out)).first().asDict()
     return report | {"errors": errors, "headers": headers.mapped, "seconds": round(time.time() - start, 1)}

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.udfs import html_text
 
 LEAST_TEXT = 50
+#: Parts of names of models that don't chat; fixed values.
+NO_CHAT = ["whisper", "tts", "guard", "embed", "compound", "orpheus", "playai"]
 
 
 def fetched(sources: DataFrame, pages: DataFrame) -> DataFrame:
@@ -65,16 +67,42 @@ def paced(call: Callable[[str], str | None], pacing: Pacing = Pacing(), sleep: C
     return run
 
 
-def replies(df: DataFrame, prompt: str, connect: Callable[[], Callable[[str], str | None]] | None = None, pacing: Pacing = Pacing()) -> DataFrame:
-    """df and reply: null without a service. connect is called once in each task and gives the function to call."""
-    if connect is None:
-        return df.withColumn("reply", F.lit(None).cast("string"))
+def choose_model(active: Iterable[str], preferred: Sequence[str], default: str, override: str = "", excluded: Sequence[str] = NO_CHAT) -> str:
+    """The model to ask: the override if there is one, else the first preferred that is active, else the first active in
+    alphabetical order that is a chat model by its name, else the default."""
+    if override.strip():
+        return override.strip()
+    names = sorted(active)
+    chat = (n for n in names if not any(x in n for x in excluded))
+    return next((p for p in preferred if p in names), None) or next(chat, default)
+
+
+def answers(questions: DataFrame, connect: Callable[[], Callable[[str], str | None]], pacing: Pacing = Pacing(), tasks: int = 4, prompt: str = "id") -> DataFrame:
+    """questions(id, ...) to (id, answer): each different id is asked once, by its prompt column.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = paced(connect(), pacing)
-        for f in frames:
-            yield f.assign(reply=[ask(p) if isinstance(p, str) else None for p in f[prompt]])
+    pacing is the budget of the whole job: questions are dealt over so many tasks, and each task waits so many times as
+    long between its calls. connect is called once in a task and gives the function to call; what that raises is no answer."""
+    own = replace(pacing, interval=pacing.interval * tasks)
+    asked = questions.select(F.col("id").cast("string").alias("id"), F.col(prompt).cast("string").alias("_prompt")).dropDuplicates(["id"]).repartition(tasks, "id")
 
-    from pyspark.sql.types import StringType, StructField, StructType
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = None
+        for batch in batches:
+            said = []
+            for p in batch.column(1).to_pylist():
+                ask = ask or paced(connect(), own)
+                try:
+                    said.append(ask(p) if p is not None else None)
+                except Exception:  # one call's fault is no fault of the others
+                    said.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string())], names=["id", "answer"])
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("reply", StringType())]))
+    return asked.mapInArrow(run, "id string, answer string")
+
+
+def replies(df: DataFrame, prompt: str, connect: Callable[[], Callable[[str], str | None]] | None = None, pacing: Pacing = Pacing(), tasks: int = 4) -> DataFrame:
+    """df and reply: null without a service. Equal prompts are asked once, within the budget of answers()."""
+    if connect is None:
+        return df.withColumn("reply", F.lit(None).cast("string"))
+    said = answers(df.select(F.col(prompt).alias("id")).where(F.col(prompt).isNotNull()), connect, pacing, tasks)
+    return df.join(said.select(F.col("id").alias("_asked"), F.col("answer").alias("reply")), df[prompt] == F.col("_asked"), "left").drop("_asked")

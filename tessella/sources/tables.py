@@ -71,10 +71,6 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False).na.fill("")
 
 
-def read_products(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.json(path, schema=schema, multiLine=True)
-
-
 def read_headers(spark: SparkSession, path: str | None) -> list[str]:
     """The layout of a header-only CSV, or the built one where there is no file to read."""
     return refdata.delivery_columns() if path is None else spark.read.csv(path, header=True).columns
@@ -93,24 +89,8 @@ def write_products(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_snapshot(products: DataFrame, metrics: DataFrame, path: str) -> None:
-    products.write.mode("overwrite").parquet(f"{path}/products")
-    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
-
-
 def export_rows(df: DataFrame) -> DataFrame:
     """Ten flat columns for a spreadsheet, commas inside as semicolons; df is what is left after rejections."""
     flat = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(","), F.lit(";"))
     plain = ["mpn", "part_desc", "manufacturer_name", "brand_name", "classpath"]
     return df.select(*(flat(c).alias(c) for c in plain), F.col("confidence.status").alias("status"), F.col("confidence.overall").alias("overall"), flat_attributes(F.col("attributes")).alias("attributes"), F.to_json("descriptions").alias("descriptions"), F.coalesce("decision", F.lit("")).alias("decision"))
-
-
-def cached_or(spark: SparkSession, path: str, make) -> DataFrame:
-    """The Parquet at path, or what make() gives, written there first."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)

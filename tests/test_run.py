@@ -12,7 +12,7 @@ from tessella.functions.units import controlled_value
 from tessella.operators import attributes, choices, positions
 from tessella.plans import run, standin
 from tessella.plans.enrich import References, Services
-from tessella.sources import excel, tables
+from tessella.sources import excel, providers, snapshots, tables
 from tessella.streaming import jobs
 
 HEADER = "Mfg_Part_Num,Part_Desc,E1_Brand,Unilog_Brand,DIB_Brand,Part_Manuf\n"
@@ -23,7 +23,7 @@ def test_command_line_isolates_bad_rows(spark, tmp_path, capsys):
     standin.taxonomy(spark).write.parquet(str(tmp_path / "tax"))
     (tmp_path / "master.csv").write_text("Manufacturer Name,Manufacturer Code,Brand Name,Brand Code\nAcme Corporation,M1,Acme,B1\nOther,M2,,\nACME corp.,M3,Zed,B3\n")
     out = str(tmp_path / "out")
-    cli.main([str(tmp_path / "in.csv"), str(tmp_path / "tax"), out, "--limit", "3", "--master", str(tmp_path / "master.csv"), "--delivery", str(tmp_path / "csv")])
+    cli.main([str(tmp_path / "in.csv"), str(tmp_path / "tax"), out, "--limit", "3", "--master", str(tmp_path / "master.csv"), "--delivery", str(tmp_path / "csv"), "--snapshot", str(tmp_path / "snap")])
     report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert report["products"] == 2 and report["errors"] == 1
     rows = {r.mpn: r for r in spark.read.json(out).collect()}
@@ -33,6 +33,9 @@ def test_command_line_isolates_bad_rows(spark, tmp_path, capsys):
     delivered = spark.read.csv(str(tmp_path / "csv"), header=True, inferSchema=False)
     assert delivered.columns == tables.read_headers(spark, None)
     assert [(r.Mfg_Part_Num, r.Classpath, r.BRAND_NAME) for r in delivered.collect()] == [("0012", "Hardware>Fasteners>Bolts", "Acme"), (None, None, None), ("P2", "Plumbing>Valves>Valves", None)]
+    version = snapshots.current(spark, str(tmp_path / "snap"))
+    assert sorted(p.name for p in (tmp_path / "snap" / version).iterdir()) == ["delivery", "errors", "metrics", "products"]
+    assert spark.read.parquet(snapshots.folder(spark, str(tmp_path / "snap"), "metrics")).first().products == 2
 
 
 def workbook(path, rows):
@@ -143,3 +146,34 @@ def test_options_are_the_most_similar_names(spark):
     (row,) = choices.options(values, master, 2).collect()
     assert row.options == ["Acme Corp.", "Acme"]
     assert choices.chosen(choices.options(values, master, 2), None).first().method == "unresolved"
+
+
+def test_one_budget_is_dealt_over_all_tasks(spark, tmp_path):
+    """Six different questions in two tasks at 0.2 s a call: no more than five calls a second in all, each question once."""
+    log = str(tmp_path / "log")
+
+    def connect():
+        def ask(prompt):
+            import time
+
+            with open(log, "a") as f:
+                f.write(f"{time.time()} {prompt}\n")
+            if prompt == "bad":
+                raise RuntimeError("no")
+            return prompt.upper()
+
+        return ask
+
+    df = spark.createDataFrame([(q,) for q in ["a", "b", "c", "d", "e", "bad", "a", "b", None]], "q string")
+    got = providers.replies(df, "q", connect, providers.Pacing(interval=0.2), tasks=2).collect()
+    assert sorted((str(r.q), r.reply) for r in got) == [("None", None), ("a", "A"), ("a", "A"), ("b", "B"), ("b", "B"), ("bad", None), ("c", "C"), ("d", "D"), ("e", "E")]
+    calls = [line.split() for line in open(log)]
+    times = sorted(float(t) for t, _ in calls)
+    assert sorted(q for _, q in calls) == ["a", "b", "bad", "c", "d", "e"] and all(b - a > 0.75 for a, b in zip(times, times[4:]))
+    assert [r.reply for r in providers.replies(df, "q").collect()] == [None] * 9
+
+
+def test_model_choice():
+    choose = providers.choose_model
+    assert choose(["b", "a"], ["x", "b"], "d") == "b" and choose(["whisper-1", "zeta", "beta"], ["x"], "d") == "beta"
+    assert choose(["tts-1"], ["x"], "d") == "d" and choose([], [], "d") == "d" and choose(["a"], ["a"], "d", " own ") == "own"
