@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import strip
+from tessella.operators import positions
 from tessella.operators.validate import grounded
 
+#: Rows below which accuracy is little to go by.
+FEW = 5
+
 
 def batch_metrics(scored: DataFrame) -> DataFrame:
     """One row: counts and the means of per-product rates; zeros for no rows."""
@@ -40,13 +44,21 @@ def same_field(a: Column, b: Column) -> Column:
 
 
 def field_accuracy(predicted: DataFrame, expected: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(field, n, accuracy) over rows that both have, and field '(overall)', the mean of the fields'."""
+    """(field, n, accuracy, warning) over rows that both have, and field '(overall)', the mean of the fields'. warning: that
+    there are fewer than FEW rows to go by, or null."""
     p = predicted.select(key, *(F.col(f).alias(f"p_{f}") for f in fields))
     e = expected.select(key, *(F.col(f).alias(f"e_{f}") for f in fields))
     both = p.join(e, key)
     hits = both.agg(F.count("*").alias("n"), *(F.round(F.avg(same_field(F.col(f"p_{f}"), F.col(f"e_{f}")).cast("int")), 4).alias(f) for f in fields))
     rows = hits.select("n", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("accuracy")) for f in fields), F.struct(F.lit("(overall)").alias("field"), F.round(sum(F.col(f) for f in fields) / len(fields), 4).alias("accuracy")))).alias("r"))
-    return rows.select("r.field", "n", "r.accuracy")
+    return rows.select("r.field", "n", "r.accuracy", F.when(F.col("n") < FEW, f"fewer than {FEW} rows").alias("warning"))
+
+
+def aligned_accuracy(predicted: DataFrame, expected: DataFrame, fields: list[str], predicted_order: list, expected_order: list) -> DataFrame:
+    """field_accuracy() of tables that share no key: the first row of one order against the first of the other, and so on, as far
+    as the shorter table goes. Tables may be of any length."""
+    p, e = positions.ordered_index(predicted, *predicted_order), positions.ordered_index(expected, *expected_order)
+    return field_accuracy(p, e, "row_index", fields)
 
 
 def completeness(products: DataFrame) -> DataFrame:

@@ -163,12 +163,10 @@ def sample_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.sample_products(spark).select("mpn", "confidence.status", F.try_element_at("descriptions", F.lit("INVOICE_DESC")).alias("invoice"), F.size("attributes").alias("n_attributes"))
 
 
-@query(f"WITH a AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM ({_ACC})), s AS (SELECT * FROM a WHERE k <= 100) SELECT 'quality' AS field, count(*) AS n, round(avg(CAST(CASE WHEN lower(pq) = 'none' THEN '' ELSE pq END = coalesce(trim(eq), '') AS INT)), 4) AS accuracy FROM s UNION ALL SELECT '(overall)', count(*), round(avg(CAST(CASE WHEN lower(pq) = 'none' THEN '' ELSE pq END = coalesce(trim(eq), '') AS INT)), 4) FROM s")
+@query("""WITH p AS (SELECT CASE WHEN n_chars > 200 THEN '1' ELSE '' END AS said, row_number() OVER (ORDER BY doc_id) AS k FROM documents), e AS (SELECT CASE WHEN quality = 1 THEN '1' ELSE '' END AS want, row_number() OVER (ORDER BY toxic DESC, doc_id) AS k FROM labels),
+h AS (SELECT count(*) AS n, round(avg(CAST(said = want AS INT)), 4) AS accuracy FROM p JOIN e USING (k)) SELECT f.field, n, accuracy, CASE WHEN n < 5 THEN 'fewer than 5 rows' END AS warning FROM h, (VALUES ('quality'), ('(overall)')) AS f(field)""")
 def positional_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions and a shorter list of expected values, aligned by their position."""
-    from pyspark.sql import Window
-
-    both = _read(spark, sf_dir, "labels").join(_read(spark, sf_dir, "documents"), "doc_id").withColumn("k", F.row_number().over(Window.orderBy("doc_id")))
-    predicted = both.select("k", F.expr("CASE WHEN n_chars > 200 THEN '1' ELSE 'None' END").alias("quality"))
-    expected = both.where("k <= 100").select("k", F.expr("CASE WHEN quality = 1 THEN ' 1 ' END").alias("quality"))
-    return metrics.field_accuracy(predicted, expected, "k", ["quality"])
+    """Predictions and expected values of another number and order, aligned by their positions."""
+    predicted = _read(spark, sf_dir, "documents").select("doc_id", F.expr("CASE WHEN n_chars > 200 THEN '1' ELSE 'None' END").alias("quality"))
+    expected = _read(spark, sf_dir, "labels").select("doc_id", "toxic", F.expr("CASE WHEN quality = 1 THEN ' 1 ' END").alias("quality"))
+    return metrics.aligned_accuracy(predicted, expected, ["quality"], ["doc_id"], [F.desc("toxic"), "doc_id"])

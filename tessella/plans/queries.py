@@ -527,7 +527,7 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     predicted = docs.select("doc_id", F.expr("CASE WHEN n_chars > 200 THEN '1' ELSE 'None' END").alias("quality"), F.expr("CASE WHEN lang = 'en' THEN 'EN' ELSE 'x' END").alias("tone"))
     expected = labels.select("doc_id", F.expr("CASE WHEN quality = 1 THEN ' 1 ' END").alias("quality"), F.expr("CASE WHEN toxic = 1 THEN 'x' ELSE 'en' END").alias("tone"))
-    return metrics.field_accuracy(predicted, expected, "doc_id", ["quality", "tone"])
+    return metrics.field_accuracy(predicted, expected, "doc_id", ["quality", "tone"]).drop("warning")
 
 
 def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ from tessella.operators.delivery import complete, flat_attributes
 from tessella.operators.positions import row_index
 from tessella.sources import excel
 
+#: Largest upload.
+UPLOAD_BYTES = 50 * 1024 * 1024
 READERS = {"csv": "csv", "parquet": "parquet", "json": "json", "xlsx": "xlsx"}
 
 
@@ -29,6 +31,16 @@ def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, HeaderRep
     return normalise_columns(read_table(spark, path))
 
 
+def checked_upload(name: str, size: int) -> str:
+    """The kind of an uploaded file, or an error if it can't be read or is too large."""
+    kind = name.rsplit(".", 1)[-1].lower() if "." in name else ""
+    if kind not in READERS:
+        raise ValueError(f"can't read .{kind}: {', '.join(READERS)} are supported")
+    if size > UPLOAD_BYTES:
+        raise ValueError(f"{name} has {size} bytes; {UPLOAD_BYTES} are allowed")
+    return kind
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     """df, or an error if it has no rows."""
     if df.isEmpty():

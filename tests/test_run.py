@@ -114,6 +114,10 @@ def test_readers(spark, tmp_path):
     assert tables.checked_limit("") is None and tables.checked_limit("7") == 7
     with pytest.raises(ValueError, match="not a row limit"):
         tables.checked_limit("-1")
+    assert tables.checked_upload("a.XLSX", 50 * 1024 * 1024) == "xlsx"
+    for name, size in (("a.exe", 1), ("noext", 1), ("a.csv", 50 * 1024 * 1024 + 1)):
+        with pytest.raises(ValueError):
+            tables.checked_upload(name, size)
 
 
 def test_sinks(spark, tmp_path):
