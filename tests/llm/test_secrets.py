@@ -71,3 +71,60 @@ def test_long_texts_take_linear_time():
     assert time.time() - start < 6 and len(base) == 8000 and len(added) > 7000
     spans = sorted((a, b) for _, a, b in base + added)
     assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def added_by_brute_force(text, base, rules):
+    """Every run of candidate characters, found and cleared of its copies character by character."""
+    import zstandard
+
+    inside = set(string.ascii_letters + string.digits + "+/_-")
+
+    def size(data):
+        words = zstandard.ZstdCompressionDict(s._PLAIN.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=rules.level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data.encode()))
+
+    def cleared(side, low, high, candidate):
+        pieces = {candidate[k : k + rules.piece] for k in range(len(candidate) - rules.piece + 1)}
+        gone = [any(side[k : k + rules.piece] in pieces for k in range(max(0, i - rules.piece + 1), i + 1)) for i in range(len(side))]
+        out = ""
+        for i in range(low, high):
+            if not gone[i]:
+                out += side[i]
+            elif i > low and not gone[i - 1]:
+                out += " "
+        return out
+
+    out, at = [], 0
+    while at < len(text):
+        if text[at] not in inside:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] in inside:
+            end += 1
+        run, stop = text[at:end], end
+        while stop < len(text) and stop < end + 2 and text[stop] == "=":
+            stop += 1
+        if len(run) >= 16 and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            candidate, low, high = text[at:stop], max(0, at - rules.before), min(len(text), stop + rules.before)
+            named = any(w in text[low:at].lower() for w in s._CONTEXT_WORDS)
+            if named and len(set(candidate)) >= rules.kinds and not any(a < stop and at < b for _, a, b in base):
+                around = cleared(text[:at], low, at, candidate) + cleared(text[stop:], 0, high - stop, candidate)
+                if (size(around + candidate) - size(around)) / len(candidate) >= rules.share:
+                    out.append(("novel", at, stop))
+        at = max(stop, at + 1)
+    return out
+
+
+def test_added_spans_equal_brute_force():
+    rnd = random.Random(5)
+    letters = string.ascii_letters + string.digits + "+/_-"
+    own = ["".join(rnd.choice(letters) for _ in range(rnd.randint(14, 60))) for _ in range(12)]
+    words = ["auth", "Bearer", "token", "secret", "the", "build", "get_user_by_id_2", "max_length_0123456789", "password=abcdef9", "deadbeef" * 3, "api_key: Zx9Zx9", "x==", "é", "\n", "=", "0123456789abcdefABCDEF", "aaaaaaaaaaaaaaaaaa1"]
+    found = 0
+    for _ in range(250):
+        text = "".join(rnd.choice(words if rnd.random() < 0.7 else own) + rnd.choice([" ", " ", "", ", ", "=", "== "]) for _ in range(rnd.randint(1, 40)))
+        base, added = s.scan(text)
+        assert added == added_by_brute_force(text, base, s.Novelty()), text
+        found += len(added)
+    assert found > 200
