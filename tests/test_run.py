@@ -181,3 +181,26 @@ def test_model_choice():
     choose = providers.choose_model
     assert choose(["b", "a"], ["x", "b"], "d") == "b" and choose(["whisper-1", "zeta", "beta"], ["x"], "d") == "beta"
     assert choose(["tts-1"], ["x"], "d") == "d" and choose([], [], "d") == "d" and choose(["a"], ["a"], "d", " own ") == "own"
+
+
+def test_uploads_are_enriched_once_in_batches(spark, tmp_path):
+    """Two files, then a third; bad rows stay in their batch with their reason; a second run finds nothing new."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    refs = References(standin.taxonomy(spark))
+
+    def upload(name, *rows):
+        (folder / name).write_text(HEADER + "".join(f"{r}\n" for r in rows))
+
+    def go():
+        query = jobs.enrich_uploads(spark, str(folder), str(tmp_path / "check"), out, lambda df: run.enrich_safely(df, refs).select("mpn", "classpath", "_error"))
+        query.awaitTermination()
+        assert jobs.progress(query)["status"] == "done"
+        return sorted((str(r.mpn), r.classpath, r._error) for r in spark.read.parquet(out).collect())
+
+    upload("a.csv", "007,steel bolt,,,,", " , ,,,,")
+    upload("b.csv", "P2,vlv,,,,")
+    first = [("007", "Hardware>Fasteners>Bolts", None), ("None", None, "neither part number nor description"), ("P2", "Plumbing>Valves>Valves", None)]
+    assert go() == first
+    upload("c.csv", "P3,anvil,,,,")
+    assert go() == go() == sorted([*first, ("P3", "Hardware>Tools>Anvils", None)])
