@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from tessella.operators.metrics import print_report
 from tessella.plans.run import run
 from tessella.sources.tables import checked_limit
 
@@ -19,7 +20,9 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--layout", help="CSV whose header is the delivery layout")
     parser.add_argument("--snapshot", help="folder where all results become visible together")
     a = parser.parse_args(args)
-    print(json.dumps(run(SparkSession.builder.appName("tessella").getOrCreate(), a.catalogue, a.taxonomy, a.out, a.limit, a.master, a.delivery, a.layout, a.snapshot)))
+    report = run(SparkSession.builder.appName("tessella").getOrCreate(), a.catalogue, a.taxonomy, a.out, a.limit, a.master, a.delivery, a.layout, a.snapshot)
+    print(print_report(report, a.catalogue))
+    print(json.dumps(report))
 
 
 if __name__ == "__main__":

@@ -107,11 +107,3 @@ def edit_diff(old: Column, new: Column) -> tuple[Column, Column]:
 
     merged = F.transform(old, one)
     return merged, F.size(F.filter(merged, lambda a: a["edited"]))
-
-
-def verdict_badge(decision: Column) -> Column:
-    return F.when(decision == "accept", "approved").when(decision == "reject", "rejected").otherwise("")
-
-
-def confidence_pill(status: Column) -> Column:
-    return F.coalesce(status, F.lit("n/a"))

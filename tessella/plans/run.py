@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import refdata
 from tessella.functions.storing import stored
-from tessella.operators import delivery, metrics, positions
+from tessella.operators import catalogue, delivery, metrics, positions
 from tessella.operators.attributes import CANDIDATE
 from tessella.plans import envelope
 from tessella.plans.enrich import References, Services, stages
@@ -71,7 +71,7 @@ def run(spark: SparkSession, source: str, taxonomy: str, out: str, limit: int |
     start = time.time()
     rows, headers = tables.read_catalogue(spark, source)
     rows = tables.first_rows(positions.row_index(rows.select(*refdata.CATALOGUE_COLUMNS)), envelope.INDEX, limit)
-    tables.require_rows(rows)
+    catalogue.require_some_content(catalogue.cleaned(tables.require_rows(rows)))
     lists = [tables.read_master(tables.read_table(spark, master), kind) for kind in ("manufacturer", "brand")] if master else [None, None]
     done = stored(enveloped(rows.withColumn("row_id", F.col(envelope.INDEX).cast("string")), References(spark.read.parquet(taxonomy), *lists)))
     good, bad = envelope.products(done), envelope.quarantine(done)

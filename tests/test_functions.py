@@ -70,3 +70,21 @@ def test_paced_calls():
 
     run = providers.paced(call, providers.Pacing(interval=0.0), waits.append, lambda: 0.0)
     assert run("p") == "ok" and [w for w in waits if w] == [1.3, 4.0]
+
+
+def test_flat_exports(spark):
+    """Ten columns, commas as semicolons, nothing null."""
+    df = spark.sql("SELECT 'M,1' AS mpn, 'a, b' AS part_desc, 'Acme' AS manufacturer_name, CAST(NULL AS STRING) AS brand_name, 'A>B' AS classpath, named_struct('status', 'HIGH', 'overall', 0.9D) AS confidence, array(named_struct('label', 'Size', 'value', '1,5', 'uom', 'in'), named_struct('label', 'Color', 'value', 'red', 'uom', '')) AS attributes, map('SHORT_DESC', 'x') AS descriptions, CAST(NULL AS STRING) AS decision")
+    row = tables.export_rows(df).first()
+    assert tuple(row) == ("M;1", "a; b", "Acme", "", "A>B", "HIGH", 0.9, "Size:1;5 in | Color:red", '{"SHORT_DESC":"x"}', "")
+
+
+def test_content_is_required(spark):
+    df = spark.createDataFrame([(None, None), (None, "x")], "mpn string, part_desc string")
+    assert catalogue.require_some_content(df) is df
+    with pytest.raises(ValueError, match="every row lacks"):
+        catalogue.require_some_content(df.where("part_desc IS NULL"))
+
+
+def test_title_case(spark):
+    assert values(spark, udfs.title_case, ["3rd x-ray o'neil", None, ""]) == ["3Rd X-Ray O'Neil", None, ""]
