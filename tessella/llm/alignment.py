@@ -29,6 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -162,27 +163,31 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run, 128), "doc_id long, groups array<struct<a:array<int>,b:array<int>>>")
 
 
-_BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digest array<string>, sizes array<int>, entry array<int>, times array<int>, pairs array<long>, docs array<int>"
+_BLOCK = "block long, doc_id long, n_a long, n_b long, n_groups long, digest string, entry array<int>, times array<int>, pairs array<long>, docs array<int>"
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of aligned documents. sizes: how many different linked pairs each document has; entry, times: these,
-    as places in the block's dictionary, and their occurrences; pairs, docs: the dictionary, and in how many of the block's documents a pair is."""
+    """Blocks of aligned documents: one row a document, and one row a block with its dictionary. entry, times: a document's different
+    linked pairs, as places in the dictionary, and their occurrences; pairs, docs: the dictionary (null in a document's row), and in
+    how many of the block's documents a pair is. Rows stay small, since Spark reads and writes them by the thousand, whatever they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, next_id = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         rows: list[tuple[int | None, int, int, int, str]] = []
         linked: list[np.ndarray] = []
         times: list[np.ndarray] = []
+        kinds = [pa.int64()] * 5 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = [c.split()[0] for c in _BLOCK.split(", ")]
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal rows, linked, times, next_id
             pairs, entry, n = np.unique(np.concatenate(linked), return_inverse=True, return_counts=True)
-            held = [*map(list, zip(*rows, strict=True)), [len(x) for x in linked], entry.astype(np.int32), np.concatenate(times).astype(np.int32), pairs, n.astype(np.int32)]
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int32()] * 3 + [pa.int64(), pa.int32()]
-            out = [pa.array([next_id], pa.int64()), *(pa.array([x], pa.list_(k)) for x, k in zip(held, kinds, strict=True))]
+            ends = pa.array(np.cumsum([0, *map(len, linked)]), pa.int32())
+            own = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (entry, np.concatenate(times))]
+            plain = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds[1:6], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([next_id] * len(rows), pa.int64()), *plain, *own, *(pa.nulls(len(rows), k) for k in kinds[8:])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([next_id], pa.int64()), *(pa.nulls(1, k) for k in kinds[1:8]), pa.array([pairs], kinds[8]), pa.array([n], kinds[9])], names=names)
             next_id, rows, linked, times = next_id + 1, [], [], []
-            return pa.RecordBatch.from_arrays(out, names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         size = 0
         for batch in batches:
@@ -193,41 +198,45 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> Dat
                 times.append(n)
                 size += len(own) + 16
                 if size >= block:
-                    yield flush()
+                    yield from flush()
                     size = 0
         if rows:
-            yield flush()
+            yield from flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run, 128), _BLOCK)
 
 
 def _scored(held: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of one block, from what its dictionary's pairs count."""
-    names = ["doc_id", "n_a", "n_b", "n_groups", "digest", "sizes", "entry", "times"]
-    doc_id, n_a, n_b, n_groups, digest, sizes, entry, times = (held.column(c).combine_chunks().values for c in names)
+    if _loaded:  # a worker that has aligned does so no more
+        _loaded.clear()
+        common.release()
+    held = held.combine_chunks()
     place, count, best = (found.column(c).to_numpy() for c in ("place", "count", "best"))
     counts, bests = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     counts[place], bests[place] = count, best
-    entry, times, sizes = entry.to_numpy(), times.to_numpy().astype(np.int64), sizes.to_numpy()
-    ends = np.cumsum(sizes)
+    entry, times = (pc.list_flatten(held.column(c)).to_numpy() for c in ("entry", "times"))
+    times, ends = times.astype(np.int64), np.cumsum(pc.list_value_length(held.column("entry")).to_numpy())
 
     def total(x: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(x)])
-        return sums[ends] - sums[ends - sizes]
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(x)])[np.concatenate([np.zeros(1, np.int64), ends])]
+        return sums[1:] - sums[:-1]
 
-    return pa.table([doc_id, n_a, n_b, n_groups, pa.array(total(times)), pa.array(total(times * bests[entry])), pa.array(total(times * counts[entry])), digest], names=[c.split()[0] for c in RESULT.split(", ")])
+    sums = [pa.array(total(x)) for x in (times, times * bests[entry], times * counts[entry])]
+    return pa.table([*(held.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")), *sums, held.column("digest")], names=[c.split()[0] for c in RESULT.split(", ")])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, block: int = BLOCK) -> DataFrame:
     """RESULT for docs(doc_id, text)."""
     held = common.materialise(blocks(docs, a_path, b_path, block))
-    counts = held.select(F.inline(F.arrays_zip("pairs", "docs"))).groupBy("pairs").agg(F.sum("docs").alias("count"))
+    pairs = held.where("pairs IS NOT NULL")
+    counts = pairs.select(F.inline(F.arrays_zip("pairs", "docs"))).groupBy("pairs").agg(F.sum("docs").alias("count"))
     # An id of the first side has as many partners at most as the second vocabulary has ids.
     most = F.max("count").over(Window.partitionBy(F.shiftright("pairs", 32)))
     scored = counts.select(F.col("pairs").alias("pair"), "count", (F.col("count") == most).cast("int").alias("best"))
-    listed = held.select(F.col("block").alias("of_block"), F.posexplode("pairs").alias("place", "pair"))
+    listed = pairs.select(F.col("block").alias("of_block"), F.posexplode("pairs").alias("place", "pair"))
     found = listed.join(scored, "pair").select("of_block", "place", "count", "best")
-    own = held.select("block", "doc_id", "n_a", "n_b", "n_groups", "digest", "sizes", "entry", "times")
+    own = held.where("pairs IS NULL").select("block", "doc_id", "n_a", "n_b", "n_groups", "digest", "entry", "times")
     return own.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_scored, RESULT)
 
 

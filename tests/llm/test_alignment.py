@@ -95,3 +95,16 @@ def test_groups_are_columns(spark):
     got = {r.doc_id: [(list(g.a), list(g.b)) for g in r.groups] for r in alignment.groups(docs, A, B).collect()}
     lib, sp = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     assert got[2] == [] and [i for a, _ in got[1] for i in a] == lib.encode(" the cat").ids and [i for _, b in got[1] for i in b] == sp.encode("the cat")
+
+
+def test_rows_hold_one_document_or_one_dictionary(spark):
+    # A whole block in one row made Parquet's readers hold thousands of blocks at once.
+    texts = random_texts(60) + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = alignment.blocks(docs, A, B).collect()
+    own, pairs = [r for r in rows if r.pairs is None], {r.block: r for r in rows if r.pairs is not None}
+    assert sorted(r.doc_id for r in own) == list(range(62)) and len(pairs) == 2
+    for block, r in pairs.items():
+        held = Counter(e for x in own if x.block == block for e in x.entry)
+        assert [held[k] for k in range(len(r.pairs))] == r.docs and r.pairs == sorted(set(r.pairs))
+    assert all(len(r.entry) == len(set(r.entry)) == len(r.times) and (r.n_a > 0) == bool(r.entry) for r in own)
